@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestar.plans import chunk_queries, evaluation_queries, ledger_queries, retrieval_queries, text_queries
+from lodestar.plans import chunk_queries, evaluation_queries, ledger_queries, retrieval_queries, stream_queries, text_queries
 
-REGISTRIES = [m.R for m in (text_queries, retrieval_queries, chunk_queries, evaluation_queries, ledger_queries)]
+REGISTRIES = [m.R for m in (text_queries, retrieval_queries, chunk_queries, evaluation_queries, ledger_queries, stream_queries)]
 
 
 def queries() -> dict:
