@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.retrieval import ranked
 
-TABLES, BITS, PROBES = 10, 6, 2
+TABLES, BITS, PROBES = 16, 6, 3
 
 
 def _codes(matrix: np.ndarray, tables: int, bits: int, probes: int, seed: int) -> np.ndarray:

@@ -76,7 +76,7 @@ def merged_evidence(ledger: DataFrame) -> DataFrame:
     is added after dots. A fold over one reference's own entries, in order.
     """
     rows = ledger.groupBy("session", "ref", "is_code").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("xs"))
-    fold = F.aggregate("xs", F.lit("").cast("string"), lambda a, x: F.when(a == "", x["text"]).when(F.contains(x["text"], a), x["text"]).when(F.col("is_code") | F.contains(a, x["text"]), a).otherwise(F.concat(a, F.lit("\n...\n"), x["text"])))
+    fold = F.aggregate("xs", F.lit("").cast("string"), lambda a, x: F.when(a == "", x["text"]).when(F.col("is_code"), a).when(F.contains(x["text"], a), x["text"]).when(F.contains(a, x["text"]), a).otherwise(F.concat(a, F.lit("\n...\n"), x["text"])))
     return rows.select("session", "ref", fold.alias("text"))
 
 

@@ -11,12 +11,16 @@ from lodestar.session import table
 
 R = Registry()
 #: Identifiers and references are made of row values: the tables' own text has none.
-NAME = F.concat(F.lit("parse"), F.upper("lang"), F.lit("Source_"), F.col("source"), F.lit("HTTPChunk"), F.col("doc_id"))
 NAME_SQL = "concat('parse', upper(lang), 'Source_', source, 'HTTPChunk', doc_id)"
 SPLIT_SQL = r"list_filter(string_split_regex(lower(regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g')), '_'), lambda y: y <> '')"
 TOKENS_SQL = rf"list_filter(string_split_regex(translate(lower({{x}}), '{T.MARKED}', '{T.PLAIN}'), '[^\p{{{{L}}}}\p{{{{N}}}}\p{{{{Co}}}}]+'), lambda y: y <> '')".replace("{{", "{").replace("}}", "}")
 
 
+def made_name():
+    """An identifier made of a row's values."""
+    return F.concat(F.lit("parse"), F.upper("lang"), F.lit("Source_"), F.col("source"), F.lit("HTTPChunk"), F.col("doc_id"))
+
+
 def tokens_sql(x: str) -> str:
     return TOKENS_SQL.replace("{x}", x)
 
@@ -33,7 +37,7 @@ def tokenize_unicode61(spark, d):
 
 @R.query(f"SELECT doc_id, array_to_string({SPLIT_SQL.replace('{x}', NAME_SQL)}, ' ') AS parts FROM documents")
 def split_identifiers(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(T.split_identifier(NAME), " ").alias("parts"))
+    return docs(spark, d).select("doc_id", F.array_join(T.split_identifier(made_name()), " ").alias("parts"))
 
 
 @R.query(r"SELECT page_id, len(t) AS n_identifiers, len(list_distinct(t)) AS n_distinct, sha256(array_to_string(t, ' ')) AS identifiers_sha FROM (SELECT page_id, regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*') AS t FROM pages)")
@@ -52,7 +56,7 @@ u AS (SELECT doc_id, {SPLIT_SQL.replace("{x}", "j")} AS p FROM t),
 v AS (SELECT doc_id, list_transform(range(1, len(p) + 1), lambda i: CASE WHEN list_position(p, p[i]) = i AND NOT list_contains({STOP_SQL}, p[i]) AND length(p[i]) > 1 THEN p[i] END) AS q FROM u)
 SELECT doc_id, array_to_string(list_transform(list_filter(q, lambda y: y IS NOT NULL), lambda y: concat('"', y, '"')), ' OR ') AS expression FROM v""")
 def fts_query_terms(spark, d):
-    question = F.concat(F.lit("Why does "), NAME, F.lit(" of the module wait?"))
+    question = F.concat(F.lit("Why does "), made_name(), F.lit(" of the module wait?"))
     return docs(spark, d).select("doc_id", T.match_expression(question).alias("expression"))
 
 
