@@ -1,39 +1,41 @@
-"""Exact BPE encoding with reuse: content-defined chunks, repaired joins and a memo of pieces.
+"""Exact BPE encoding with reuse: content-defined chunks, repaired joins and a memo of words.
 
 A text is cut where a rolling hash of its code points meets a mask, so a passage that documents
 share is cut alike in all of them. A chunk met before in the task is not encoded again. Tokens near
 a cut can differ from those of the whole text, so each join is repaired: the end of the left chunk
 and the start of the right one, back and forth to the nearest place where tokens surely break, are
-encoded again with one unit of overlap on either side, and the window is widened until the
-overlaps agree with what the chunks have.
-
-Inside a chunk, ids are looked up by unit: a stretch that starts at a space after a non-space. The
-library's BPE model encodes the pieces of each new unit, and a bounded memo holds the latest units.
-A unit with code points above Latin and general punctuation goes to the library as it is, as its
-character tables may differ from the regex library's, and so does a whole text that contains a
-special token's string.
+encoded again with one unit of overlap on either side, and the window is widened until the overlaps
+agree with what the chunks have. A unit is a stretch that starts at a space after a non-space.
+
+Ids are those of the tokenizers library. What is plain (Latin letters and general punctuation) is
+encoded by tiktoken over the same vocabulary, which is many times as fast; the rest, where character
+tables could differ, and texts with a special token's string go to the library. Both merge alike:
+tiktoken joins any two neighbours whose union is a token, the library only listed pairs, and inside
+the span of a token every merge but those across its ends happens as it does in the token alone; so
+they agree wherever each token, taken alone, is merged to itself. `unreachable` checks that.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import regex
+import tiktoken
 
 from lodestar.llm.words import mix
 
 #: White space, and the pieces of the byte-level and of the word vocabulary.
 SPACES = "\t-\r \x85\xa0  -     　"
 BYTE_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-WORD_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+"
 #: What is not plain has code points whose class may differ between libraries.
 _ODD = re.compile("[^\\x00-\\x1b\\x20-ɏ‐-‧‰-⁞€™]").search
-#: White space besides the single spaces and line feeds that the quick split expects.
-_BLANKS = re.compile("[\\t\\x0b-\\r\\x85\\xa0  -     　]|  | \\n|\\n ").search
-_STARTS = re.compile(f"(?<=[^{SPACES}]) ").finditer
+#: The word vocabulary's pieces of what is plain, for the re library.
+_PLAIN_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^" + SPACES + "0-9²³¹¼-¾a-zA-ZªµºÀ-ÖØ-öø-ɏ]+"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,43 +46,39 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-
-
-class Memo:
-    """Unit to ids, by the library's BPE model; the two latest generations of limit units are held."""
-
-    def __init__(self, tokenizer, pieces: str, limit: int = 200_000):
-        self.tokenizer, self.find, self.limit = tokenizer, regex.compile(pieces).findall, limit
-        self.model = tokenizer.model
-        self.pieces: dict[str, list[int]] = {}
-        self.now: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-
-    def _made(self, unit: str) -> list[int]:
-        if _ODD(unit):
-            return self.tokenizer.encode(unit, add_special_tokens=False).ids
-        out = []
-        for piece in self.find(unit):
-            got = self.pieces.get(piece)
-            if got is None:
-                if len(self.pieces) > self.limit:
-                    self.pieces = {}
-                got = self.pieces[piece] = [t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_LETTERS))]
-            out += got
-        return out
-
-    def ids(self, units: list[str]) -> list[int]:
-        """Ids of the units, one after the other."""
-        if len(self.now) > self.limit:
-            self.now, self.old = {}, self.now
-        now, out = self.now, []
-        for unit in units:
-            got = now.get(unit)
-            if got is None:
-                got = self.old.get(unit)
-                got = now[unit] = self._made(unit) if got is None else got
-            out += got
-        return out
+_BYTES = {c: b for b, c in _LETTERS.items()}
+
+
+def _bytes_of(letters: str) -> bytes:
+    return bytes(_BYTES[c] for c in letters)
+
+
+def _vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]], str]:
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    return model["vocab"], merges, model.get("end_of_word_suffix") or ""
+
+
+def unreachable(path: str) -> list[str]:
+    """Tokens that the merges do not build from their own letters."""
+    vocabulary, merges, suffix = _vocabulary(path)
+    ranks = {pair: i for i, pair in reversed(list(enumerate(merges)))}
+    out = []
+    for left, right in merges:
+        token = left + right
+        ends = bool(suffix) and token.endswith(suffix)
+        parts = list(token[: -len(suffix)]) if ends else list(token)
+        if ends:
+            parts[-1] += suffix
+        while len(parts) > 1:
+            rank, at = min((ranks.get(pair, len(ranks)), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == len(ranks):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) > 1 or token not in vocabulary:
+            out.append(token)
+    return out
 
 
 def load_tokenizer(path: str):
@@ -98,19 +96,28 @@ def _specials(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
-def units(text: str) -> list[str]:
-    """text parted before each space that follows a non-space.
+_SURE = re.compile(f"(?<=[^{SPACES}]) ")
+
 
-    Tokens surely part there, whatever surrounds: only runs of white space hold a space that is not
-    their first character, and no piece looks back.
+def ends(text: str) -> tuple[str, str, str, str]:
+    """First unit, the one after it, the one before the last, last unit; without a middle, (text, "", "", "").
+
+    A unit starts at a space after a non-space. Tokens surely part there, whatever surrounds: only
+    runs of white space hold a space that is not their first character, and no piece looks back.
     """
-    if not text:
-        return []
-    if not _BLANKS(text) and text[0] != " ":
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-    starts = [0, *[m.start() for m in _STARTS(text)]]
-    return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+    starts, at = [], 0
+    while len(starts) < 2 and (found := _SURE.search(text, at)):
+        starts.append(found.start())
+        at = found.start() + 1
+    if len(starts) < 2:
+        return text, "", "", ""
+    low, last, found = starts[0], [], len(text)
+    while len(last) < 2 and (found := text.rfind(" ", low + 1, found)) > 0:
+        if not text[found - 1].isspace():
+            last.append(found)
+    if len(last) < 2:
+        return text, "", "", ""
+    return text[:low], text[low : starts[1]], text[last[1] : last[0]], text[last[0] :]
 
 
 # ---- content-defined chunks -------------------------------------------------------------------
@@ -155,11 +162,17 @@ class ByteEncoder:
     def __init__(self, path: str, held_chars: int = 24_000_000):
         self.tokenizer = load_tokenizer(path)
         self.specials = _specials(self.tokenizer)
-        self.memo = Memo(self.tokenizer, BYTE_PIECES)
+        vocabulary, _, _ = _vocabulary(path)
+        ranks = {_bytes_of(t): i for t, i in vocabulary.items() if t not in self.specials}
+        self.fast = tiktoken.Encoding("byte", pat_str=BYTE_PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.chunks: dict[str, _Chunk] = {}
         self.held, self.limit = 0, held_chars
         self.reused = self.made = self.widened = 0
 
+    def _ids(self, text: str) -> list[int]:
+        """Ids of a stretch of units, without regard to chunks."""
+        return self.tokenizer.encode(text, add_special_tokens=False).ids if _ODD(text) else self.fast(text)
+
     def _chunk(self, text: str) -> _Chunk:
         if (chunk := self.chunks.get(text)) is not None:
             self.reused += 1
@@ -169,27 +182,26 @@ class ByteEncoder:
         self.made += 1
         self.held += len(text)
         chunk = self.chunks[text] = _Chunk()
-        parts = units(text)
-        chunk.first, chunk.last = (parts[0], parts[-1]) if len(parts) > 2 else (text, "")
-        chunk.after, chunk.before = (parts[1], parts[-2]) if len(parts) > 2 else ("", "")
-        chunk.ids = np.array(self.memo.ids(parts[1:-1]), dtype=np.int32)
+        chunk.first, chunk.after, chunk.before, chunk.last = ends(text)
+        body = text[len(chunk.first) : len(text) - len(chunk.last)]
+        chunk.ids = np.array(self._ids(body) if chunk.after else [], dtype=np.int32)
         return chunk
 
     def _joined(self, window: str, before: str, after: str) -> list[int] | None:
         """Ids of window, encoded again with the units around it; None if those come out otherwise."""
-        parts = units(before + window + after)
-        low, high = len(before) > 0, len(parts) - (len(after) > 0)
-        if low and parts[0] != before or high < len(parts) and parts[high] != after:
+        ids, left, right = self._ids(before + window + after), self._ids(before), self._ids(after)
+        low, high = len(left), len(ids) - len(right)
+        if low > high or ids[:low] != left or ids[high:] != right:
             return None
-        return self.memo.ids(parts[low:high])
+        return ids[low:high]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text."""
         if any(s in text for s in self.specials):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
-        ends = cuts(text)
-        out, window, before, overlap = [], "", "", True
-        for a, b in zip([0, *ends], ends, strict=False):
+        out, window, before = [], "", ""
+        stops = cuts(text)
+        for a, b in zip([0, *stops], stops, strict=False):
             chunk = self._chunk(text[a:b])
             window += chunk.first
             if not chunk.after:  # nothing in it surely stands: the window grows over all of it
@@ -204,23 +216,91 @@ class ByteEncoder:
             window, before = chunk.last, chunk.before
         if window:
             ids = self._joined(window, before, "")
-            overlap = ids is not None
-            out.append(np.array(ids or [], dtype=np.int32))
-        if not overlap:
-            return np.array(self.memo.ids(units(text)), dtype=np.int32)
+            if ids is None:
+                return np.array(self._ids(text), dtype=np.int32)
+            out.append(np.array(ids, dtype=np.int32))
         return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
 
 
 class WordEncoder:
-    """Ids of whole texts under a lower-casing word vocabulary whose pieces hold no white space."""
+    """Ids of whole texts under a lower-casing word vocabulary whose pieces hold no white space.
 
-    def __init__(self, path: str):
+    Words between white space are looked up in a memo of the two latest generations of `limit`
+    words. New words of a batch are encoded together: their pieces, each with MARK for the end of a
+    word, go to tiktoken as one string, and the ids are parted again at the tokens that end in MARK.
+    """
+
+    MARK = "\x01"
+
+    def __init__(self, path: str, limit: int = 250_000):
         self.tokenizer = load_tokenizer(path)
         self.specials = _specials(self.tokenizer)
-        self.memo = Memo(self.tokenizer, WORD_PIECES)
+        vocabulary, merges, suffix = _vocabulary(path)
+        mark = self.MARK.encode()
+        named = {(_bytes_of(t.removesuffix(suffix)) + mark * t.endswith(suffix)): i for t, i in vocabulary.items() if t not in self.specials}
+        order = [bytes([b]) for b in range(256)] + [bytes([b]) + mark for b in range(256)]
+        order += [_bytes_of(left) + _bytes_of(right.removesuffix(suffix)) + mark * right.endswith(suffix) for left, right in merges]
+        order = list(dict.fromkeys(order))  # ranks: the mark joins its letter before any other merge
+        self.fast = tiktoken.Encoding("word", pat_str=f"[^{self.MARK}]+{self.MARK}", mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={}).encode_ordinary
+        self.named = np.array([named.get(t, -1) for t in order], dtype=np.int64)
+        self.ends = np.array([t.endswith(mark) for t in order])
+        self.find = re.compile(_PLAIN_PIECES).findall
+        self.limit = limit
+        self.now: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit numbers
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        """Makes sure that the memo has words."""
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+        new = []
+        for word in words.difference(self.now):
+            ids = self.old.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.now[word] = ids
+        if not new:
+            return
+        pieces = [[word] if word.isalpha() else self.find(word) for word in new]
+        ranks = np.array(self.fast(self.MARK.join(chain.from_iterable(pieces)) + self.MARK))
+        ids = self.named[ranks].astype("<u4").tobytes()
+        stops = (4 * np.flatnonzero(self.ends[ranks]) + 4).tolist()
+        at = piece = 0
+        for word, own in zip(new, pieces, strict=True):
+            piece += len(own)
+            stop = stops[piece - 1] if own else at
+            self.now[word], at = ids[at:stop], stop
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        words: list[list[str] | None] = []
+        for text in texts:
+            if _ODD(text) or self.MARK in text or any(s in text for s in self.specials):
+                words.append(None)
+            else:
+                words.append((text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split())
+        self._learn(set().union(*[w for w in words if w]))
+        known, out = self.now.__getitem__, []
+        for text, own in zip(texts, words, strict=True):
+            if own is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
+            else:
+                out.append(np.frombuffer(b"".join(map(known, own)), dtype="<u4"))
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of one text."""
-        if _ODD(text) or any(s in text for s in self.specials):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return self.memo.ids((text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split())
+        return self.encode_batch([text])[0].tolist()
+
+
+@lru_cache(maxsize=2)
+def byte_encoder(path: str) -> ByteEncoder:
+    """The process's encoder for a byte-level vocabulary: its memo outlives a task."""
+    return ByteEncoder(path)
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The process's encoder for a word vocabulary: its memo outlives a task."""
+    return WordEncoder(path)

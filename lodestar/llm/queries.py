@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
-from lodestar.llm.encoding import ByteEncoder
+from lodestar.llm.encoding import byte_encoder
 from lodestar.llm.fingerprints import with_neighbours
 from lodestar.llm.html_text import extract
 from lodestar.llm.licenses import license_scan
@@ -33,7 +33,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of each document (null: empty)."""
 
     def make():
-        encoder = ByteEncoder(tokenizer)
+        encoder = byte_encoder(tokenizer)
         names = [str(i) for i in range(encoder.tokenizer.get_vocab_size(with_added_tokens=True))]
 
         def one(text: str | None) -> tuple:
