@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
-from lodestar.llm.encoding import WordEncoder
+from lodestar.llm.encoding import word_encoder
 from lodestar.session import cut
 
 CAPACITY, END, SHARD_ITEMS, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 1, 6000, 2, 2, 6, 4
@@ -34,12 +34,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     names = ("doc_id", "piece", "start", "length", "ids_crc32")
 
     def make():
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
+        end = np.array([END], dtype="<u4")
 
         def step(batch: pa.RecordBatch) -> dict | None:
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*encoder.encode(text or ""), END], dtype="<u4")
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoder.encode_batch(texts), strict=True):
+                ids = np.concatenate((own, end))
                 out += [(doc_id, i, at, min(capacity, len(ids) - at), zlib.crc32(ids[at : at + capacity].tobytes())) for i, at in enumerate(range(0, len(ids), capacity))]
             return dict(zip(names, zip(*out, strict=True), strict=True)) if out else None
 
