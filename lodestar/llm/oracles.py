@@ -1,6 +1,65 @@
-"""DuckDB SQL for those of the queries that SQL can express."""
+"""DuckDB SQL for those of the queries that SQL can express.
+
+The others need a tokenizer, Unicode normalisation, trees, fuzzy matching, divergences or a genetic
+search; the tests hold them against brute force.
+"""
+
+from __future__ import annotations
+
+from lodestar.llm.queries import RULES
+
+_A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"list_filter(string_split_regex({x}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("{x}", f"translate(coalesce(text, ''), '{_A}', '{_Z}')")} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * c >= 85 * (nx + ny - c)),
+l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, root AS component_id, root = doc_id AS kept FROM s JOIN c ON node = doc_id"""
+
+SUBSTRING = f"""WITH w AS (SELECT doc_id, {_WORDS.replace("{x}", "coalesce(text, '')")} AS ws FROM documents),
+t AS (SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i, ws FROM w),
+k AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 19 <= n THEN array_to_string(ws[i:i + 19], ' ') END AS span FROM t),
+d AS (SELECT doc_id, i, word, span IS NOT NULL AND row_number() OVER (PARTITION BY span ORDER BY doc_id, i) > 1 AS again FROM k),
+g AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM d)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(count(*) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id) GROUP BY w.doc_id, len(ws)"""
+
+
+def _rule_sql(value) -> str:
+    order = sorted(RULES, key=lambda r: (-len(r.name), r.verdict != "allow", r.name))
+    return "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{value(r)}'" for r in order) + " END"
+
+
+def _split(url: str) -> str:
+    rest = f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+    return f"coalesce(translate(regexp_extract({rest}, '^[^/?#]*'), '{_A}', '{_Z}'), '') AS host, coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path"
+
+
+_FORM = r"""CASE WHEN instr(url, '://') > 0 THEN concat(regexp_replace(host, '^(www|m)\.', ''), regexp_replace(path, '/+$', ''), CASE WHEN told <> '' THEN concat('?', told) ELSE '' END) END"""
+_TOLD = r"array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|ref|fbclid|gclid)=')), '&') AS told"
+_FORMS = f"SELECT *, {_FORM} AS form FROM (SELECT *, {_split('url')}, {_TOLD} FROM"
+_TARGETS = " UNION ALL ".join(
+    f"SELECT url AS source, regexp_extract(regexp_extract(html, '{tag}'), '{address}', 1) AS target FROM pages"
+    for tag, address in (
+        (r"(?is)<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"'']?([^\"''\s>]+)"),
+        (r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"'']?([^\"''\s>;]+)"),
+    )
+)
+
+URLS = f"""WITH RECURSIVE p AS ({_FORMS} (SELECT page_id, url FROM pages)) t),
+k AS (SELECT source, target FROM ({_TARGETS}) WHERE source IS NOT NULL AND target LIKE '%://%'),
+a AS (SELECT form, row_number() OVER () AS i FROM ({_FORMS} (SELECT source AS url FROM k)) t)), b AS (SELECT form, row_number() OVER () AS i FROM ({_FORMS} (SELECT target AS url FROM k)) t)),
+e AS (SELECT a.form AS x, b.form AS y FROM a JOIN b USING (i) WHERE a.form <> b.form), l AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r(node, root) AS (SELECT x, x FROM l UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node), c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+q AS (SELECT p.*, coalesce(root, form) AS component, {_rule_sql(lambda r: r.name)} AS rule, {_rule_sql(lambda r: r.verdict)} AS own FROM p LEFT JOIN c ON node = form),
+n AS (SELECT root AS component, {_split("concat('x://', node)")} FROM c),
+v AS (SELECT component, bool_or(own = 'allow') AS allowed, bool_or(own = 'block') AS blocked FROM (SELECT component, own FROM q UNION ALL SELECT component, {_rule_sql(lambda r: r.verdict)} FROM n) WHERE own IS NOT NULL GROUP BY component)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict, q.component FROM q LEFT JOIN v ON v.component = q.component"""
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL."""
-    return {}
+    return {"op3_near_duplicates": NEAR, "op4_substring_dedup": SUBSTRING, "op5_url_filter": URLS}
