@@ -65,34 +65,50 @@ def histograms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return classes, counts
 
 
-def distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance of two histograms of counts; 1.0 if either is empty."""
-    if not p.sum() or not q.sum():
-        return 1.0
-    p, q = p / p.sum(), q / q.sum()
+def distances(p: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of a histogram of counts to each row of known; 1.0 where either is empty."""
+    totals = known.sum(axis=1)
+    if not p.sum():
+        return np.ones(len(known))
+    p, q = p / p.sum(), known / np.where(totals > 0, totals, 1)[:, None]
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         each = np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)
-    return float(np.sqrt(max(0.0, each.sum() / 2)))
+    return np.where(totals > 0, np.sqrt(np.maximum(0.0, each.sum(axis=1) / 2)), 1.0)
+
+
+def distance(p: np.ndarray, q: np.ndarray) -> float:
+    """Jensen-Shannon distance of two histograms of counts; 1.0 if either is empty."""
+    return float(distances(np.asarray(p, dtype=float), np.asarray(q, dtype=float)[None, :])[0])
 
 
 Reference = dict[str, tuple[np.ndarray, np.ndarray]]
 
 
-def nearest(pair: tuple[np.ndarray, np.ndarray], known: Reference) -> tuple[float, float]:
-    """Distances of both histograms to the language that is nearest by the limits."""
-    far = [(distance(pair[0], x), distance(pair[1], y)) for x, y in known.values()]
-    return min(far, key=lambda d: max(d[0] / MAX_CHARACTERS, d[1] / MAX_COMMON))
+class Languages:
+    """References side by side, for many documents."""
+
+    def __init__(self, known: Reference):
+        self.classes = np.stack([x for x, _ in known.values()])
+        self.words = np.stack([y for _, y in known.values()])
+
+    def nearest(self, pair: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+        """Distances of both histograms to the language that is nearest by the limits."""
+        x, y = distances(pair[0], self.classes), distances(pair[1], self.words)
+        at = int(np.maximum(x / MAX_CHARACTERS, y / MAX_COMMON).argmin())
+        return float(x[at]), float(y[at])
 
 
 def _sums(docs: DataFrame, near: Reference | None) -> Reference:
     def make():
+        languages = Languages(near) if near is not None else None
+
         def step(batch: pa.RecordBatch) -> dict:
             sums: dict[str, list] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 a, b = histograms(text)
-                if near is not None:
-                    x, y = nearest((a, b), near)
+                if languages is not None:
+                    x, y = languages.nearest((a, b))
                     if x > NEAR_CHARACTERS or y > NEAR_COMMON:
                         continue
                 held = sums.setdefault(lang if lang in COMMON else OTHER, [np.zeros(CLASSES), np.zeros(len(_VOCABULARY) + 1)])
@@ -162,13 +178,15 @@ def quality_rules(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, character_distance double, word_distance double"])
 
     def make():
+        languages = Languages(known) if known else None
+
         def one(text: str | None) -> tuple:
             counts = base_counts(text)
             n, repeated = counts[0], counts[4]
             failed = n < 50 or 100 * repeated > 50 * n
-            if n < MIN_WORDS or not known:
+            if n < MIN_WORDS or languages is None:
                 return *counts, failed, not failed, None, None
-            far = nearest(histograms(text), known)
+            far = languages.nearest(histograms(text))
             return *counts, failed, not failed and far[0] <= MAX_CHARACTERS and far[1] <= MAX_COMMON, *far
 
         def step(batch: pa.RecordBatch) -> dict:
