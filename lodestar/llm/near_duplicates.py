@@ -3,15 +3,17 @@
 Two small collections of half keys are taken from a document's shingle set: TABLES half keys in
 each, every half key made of ROWS minima. A table key pairs half key i of the first collection with
 half key j of the second, so TABLES**2 tables cost only 2 * TABLES * ROWS minima. Two sets of
-similarity s share a table with probability (1 - (1 - s**ROWS)**TABLES)**2: 0.9997 or more at 0.85
-with the values here, and every larger similarity does better.
+similarity s share a table with probability (1 - (1 - s**ROWS)**TABLES)**2: 0.9999 at 0.85 with the
+values here, and every larger similarity does better.
 
 Equal word sequences are one class before any key is made. Candidates are the classes that share a
-table key. They are confirmed on full shingle sets, in rounds that keep big buckets cheap: in a
-round every bucket that still holds several components compares its members with one leader; then
-what is left are pairs of a bucket from different components, and each of them is compared once.
-Pairs inside one component cannot change the result and are never made, no bucket is gathered in
-one task, and no pair is dropped.
+table key. They are confirmed on full shingle sets: first every bucket compares its members with one
+leader, and the links found give labels that only members of one component share; then what is left
+are pairs of a bucket with different labels. Of these only pairs that can be linked are made:
+shingles are counted in BINS classes of their hash, and the sum of the smaller counts bounds the
+intersection from above, so a pair below the needed overlap is no link for certain. A pair is made in
+the first table that it shares alone. Pairs with one label cannot change the result and are never
+made, no bucket is gathered in one task, and no link is dropped.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from lodestar.llm.graph import connected_components
 from lodestar.llm.words import mix, sequence_hash, spans, window_hashes, word_hashes
 from lodestar.session import BROADCAST_ROWS, cut
 
-TABLES, ROWS, SHINGLE, LEADERS = 9, 2, 5, 2
+TABLES, ROWS, SHINGLE, BINS = 11, 3, 5, 64
 _FACTORS = np.random.Generator(np.random.PCG64(85)).integers(0, 1 << 63, (2 * TABLES * ROWS, 2), dtype=np.uint64)
 
 
@@ -52,7 +54,7 @@ def half_keys(shingles: np.ndarray) -> np.ndarray:
     least = np.full(len(factors), np.iinfo(np.uint64).max)
     for at in range(0, len(shingles), 4096):
         part = shingles[at : at + 4096]
-        np.minimum(least, (mix(part[None, :] * factors[:, :1] + factors[:, 1:])).min(axis=1), out=least)
+        np.minimum(least, ((part[None, :] ^ factors[:, 1:]) * factors[:, :1]).min(axis=1), out=least)
     rows = least.reshape(2 * TABLES, ROWS)
     key = rows[:, 0]
     for k in range(1, ROWS):
@@ -60,21 +62,26 @@ def half_keys(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bin_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of the BINS classes of their hash."""
+    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS).astype(np.int32)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, halves) for each row of docs."""
+    """(doc_id, n_shingles, h1, h2, halves, bins) for each row of docs."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             out = []
             for text in batch.column("text").to_pylist():
                 shingles, h1, h2 = shingle_set(text)
-                out.append((len(shingles), h1, h2, half_keys(shingles) if len(shingles) else None))
-            n, h1, h2, halves = zip(*out, strict=True) if out else ((), (), (), ())
-            return {"doc_id": batch.column("doc_id"), "n_shingles": n, "h1": h1, "h2": h2, "halves": halves}
+                out.append((len(shingles), h1, h2, *((half_keys(shingles), bin_counts(shingles)) if len(shingles) else (None, None))))
+            n, h1, h2, halves, bins = zip(*out, strict=True) if out else ((), (), (), (), ())
+            return {"doc_id": batch.column("doc_id"), "n_shingles": n, "h1": h1, "h2": h2, "halves": halves, "bins": bins}
 
         return step
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, halves array<bigint>")
+    return arrow_map(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, halves array<bigint>, bins array<int>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -100,10 +107,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"100 * common >= {percent} * (size(x) + size(y) - common)")).select("a", "b")
 
 
+def _labels(edges: DataFrame) -> DataFrame:
+    """(id, label): nodes with one label are connected; connected ones mostly have one label."""
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.min("b"), "a").alias("m"))
+    return both.join(near.select(F.col("a").alias("b"), "m"), "b").groupBy(F.col("a").alias("id")).agg(F.min("m").alias("label"))
+
+
 def near_links(docs: DataFrame, reps: DataFrame, percent: int = 85) -> DataFrame:
     """Confirmed links (a, b) between class representatives, enough to give every component.
 
-    docs: doc_id, text. reps: id, n, halves.
+    docs: doc_id, text. reps: id, n, halves, bins.
     """
     halves = reps.select("id", "n", F.slice("halves", 1, TABLES).alias("p"), F.slice("halves", TABLES + 1, TABLES).alias("q"))
     halves = halves.select("id", "n", F.posexplode("p").alias("i", "p"), "q").select("id", "n", "i", "p", F.posexplode("q").alias("j", "q"))
@@ -112,32 +126,22 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = 85) -> DataFrame
     members = cut(keys.join(shared, "key"))
     sets = _sets(docs, members.select("id").distinct()).persist(StorageLevel.DISK_ONLY)
     fits = f"100 * least(n, o) >= {percent} * greatest(n, o)"
-    edges, tried = None, None
-    try:
-        for turn in range(LEADERS + 1):
-            if edges is None:
-                now = members.withColumn("c", F.col("id"))
-            else:
-                parts = connected_components(edges)
-                now = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-                mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-                now = cut(now.join(mixed, "key", "left_semi"))
-                if now.isEmpty():
-                    break
-            if turn < LEADERS:
-                leader = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("l"), F.col("n").alias("o"), F.col("c").alias("d"))).alias("s")).select("key", "s.l", "s.o", "s.d")
-                found = now.join(leader, "key").where(f"c <> d and {fits}").select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b"))
-            else:
-                other = now.select("key", F.col("id").alias("l"), F.col("n").alias("o"), F.col("c").alias("d"))
-                found = now.join(other, "key").where(f"c < d and {fits}").select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b"))
-            found = found.distinct() if tried is None else found.distinct().join(tried, ["a", "b"], "left_anti")
-            found = cut(found)
-            good = cut(_confirmed(found, sets, percent))
-            edges = good if edges is None else edges.union(good)
-            tried = found if tried is None else tried.union(found)
-        return cut(edges)
-    finally:
-        sets.unpersist()
+    leader = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("l"), F.col("n").alias("o"))).alias("s")).select("key", "s.l", "s.o")
+    stars = members.join(leader, "key").where(f"id <> l and {fits}").select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
+    stars = cut(stars)
+    edges = cut(_confirmed(stars, sets, percent))
+    now = members.join(_labels(edges), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("c"))
+    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    now = now.join(mixed, "key", "left_semi").join(reps.select("id", "halves", "bins"), "id")
+    other = now.select("key", F.col("id").alias("l"), F.col("n").alias("o"), F.col("c").alias("d"), F.col("halves").alias("halves2"), F.col("bins").alias("bins2"))
+    can = f"aggregate(zip_with(bins, bins2, (x, y) -> least(x, y)), 0, (a, x) -> a + x) * {100 + percent} >= {percent} * (n + o)"
+    at = lambda low: f"array_position(zip_with(slice(halves, {low}, {TABLES}), slice(halves2, {low}, {TABLES}), (x, y) -> x = y), true)"
+    first = f"key = xxhash64(cast({at(1)} - 1 as int), try_element_at(halves, cast({at(1)} as int)), cast({at(TABLES + 1)} - 1 as int), try_element_at(halves, cast({at(TABLES + 1)} + {TABLES} as int)))"
+    found = now.join(other, "key").where(f"c < d and {fits} and {can} and {first}").select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b"))
+    rest = cut(found.join(stars, ["a", "b"], "left_anti"))
+    links = cut(edges.union(_confirmed(rest, sets, percent)))
+    sets.unpersist()
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -152,10 +156,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(signatures(docs))
     able = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = able.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "halves")).alias("s"))
-    reps = classes.select(F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), "s.halves", "h1", "h2")
+    classes = able.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "halves", "bins")).alias("s"))
+    reps = cut(classes.select(F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), "s.halves", "s.bins", "h1", "h2"))
     same = able.select("doc_id", "h1", "h2").join(reps.select("id", "h1", "h2"), ["h1", "h2"]).where("doc_id <> id").select("doc_id", "id")
-    links = near_links(docs, reps.select("id", "n", "halves"), percent)
+    links = near_links(docs, reps.select("id", "n", "halves", "bins"), percent)
     parts = connected_components(links.union(same))
     own = F.coalesce("component", "doc_id")
     return rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
