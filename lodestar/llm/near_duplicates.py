@@ -1,10 +1,11 @@
 """MinHash near-duplicate detection with tensored banding and exact verification.
 
-Two small collections of half keys are taken from a document's shingle set: TABLES half keys in
-each, every half key made of ROWS minima. A table key pairs half key i of the first collection with
-half key j of the second, so TABLES**2 tables cost only 2 * TABLES * ROWS minima. Two sets of
-similarity s share a table with probability (1 - (1 - s**ROWS)**TABLES)**2: 0.9999 at 0.85 with the
-values here, and every larger similarity does better.
+Two small collections of half keys are taken from a document's shingle set: t half keys in each,
+every half key made of ROWS minima. A table key pairs half key i of the first collection with half
+key j of the second, so t**2 tables cost only 2 * t * ROWS minima. Two sets of similarity s share a
+table with probability (1 - (1 - s**ROWS)**t)**2. t is the smallest number for which a collection
+misses a pair at the threshold with probability MISS at most (13 at 0.80, 10 at 0.85); every larger
+similarity does better.
 
 Equal word sequences are one class before any key is made. Candidates are the classes that share a
 table key. They are confirmed on full shingle sets: first every bucket compares its members with one
@@ -18,6 +19,9 @@ made, no bucket is gathered in one task, and no link is dropped.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -29,8 +33,19 @@ from lodestar.llm.graph import connected_components
 from lodestar.llm.words import mix, sequence_hash, spans, window_hashes, word_hashes
 from lodestar.session import BROADCAST_ROWS, cut
 
-TABLES, ROWS, SHINGLE, BINS = 11, 3, 5, 64
-_FACTORS = np.random.Generator(np.random.PCG64(85)).integers(0, 1 << 63, (2 * TABLES * ROWS, 2), dtype=np.uint64)
+ROWS, SHINGLE, BINS, MISS = 3, 5, 64, 1e-4
+#: Links of the operator where nothing else is asked for: a similarity of 0.80 or more.
+PERCENT = 80
+
+
+def tables(percent: int) -> int:
+    """Half keys of each collection for a threshold."""
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - min(percent / 100, 0.99) ** ROWS)))
+
+
+@lru_cache(maxsize=4)
+def _factors(n: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(85)).integers(0, 1 << 63, (n, 2), dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, int, int]:
@@ -48,14 +63,14 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, int,
     return np.unique(window_hashes(words, min(size, len(words)))), sequence_hash(words), sequence_hash(other, 2)
 
 
-def half_keys(shingles: np.ndarray) -> np.ndarray:
-    """The 2 * TABLES half keys of a set, the first collection's first."""
-    factors = _FACTORS | np.uint64(1)
+def half_keys(shingles: np.ndarray, n: int) -> np.ndarray:
+    """The 2 * n half keys of a set, the first collection's first."""
+    factors = _factors(2 * n * ROWS)
     least = np.full(len(factors), np.iinfo(np.uint64).max)
     for at in range(0, len(shingles), 4096):
         part = shingles[at : at + 4096]
         np.minimum(least, ((part[None, :] ^ factors[:, 1:]) * factors[:, :1]).min(axis=1), out=least)
-    rows = least.reshape(2 * TABLES, ROWS)
+    rows = least.reshape(2 * n, ROWS)
     key = rows[:, 0]
     for k in range(1, ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
@@ -67,17 +82,17 @@ def bin_counts(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS).astype(np.int32)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, halves, bins) for each row of docs."""
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, h1, h2, halves, bins) for each row of docs; n half keys a collection."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             out = []
             for text in batch.column("text").to_pylist():
                 shingles, h1, h2 = shingle_set(text)
-                out.append((len(shingles), h1, h2, *((half_keys(shingles), bin_counts(shingles)) if len(shingles) else (None, None))))
-            n, h1, h2, halves, bins = zip(*out, strict=True) if out else ((), (), (), (), ())
-            return {"doc_id": batch.column("doc_id"), "n_shingles": n, "h1": h1, "h2": h2, "halves": halves, "bins": bins}
+                out.append((len(shingles), h1, h2, *((half_keys(shingles, n), bin_counts(shingles)) if len(shingles) else (None, None))))
+            sizes, h1, h2, halves, bins = zip(*out, strict=True) if out else ((), (), (), (), ())
+            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "h1": h1, "h2": h2, "halves": halves, "bins": bins}
 
         return step
 
@@ -114,12 +129,13 @@ def _labels(edges: DataFrame) -> DataFrame:
     return both.join(near.select(F.col("a").alias("b"), "m"), "b").groupBy(F.col("a").alias("id")).agg(F.min("m").alias("label"))
 
 
-def near_links(docs: DataFrame, reps: DataFrame, percent: int = 85) -> DataFrame:
+def near_links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between class representatives, enough to give every component.
 
     docs: doc_id, text. reps: id, n, halves, bins.
     """
-    halves = reps.select("id", "n", F.slice("halves", 1, TABLES).alias("p"), F.slice("halves", TABLES + 1, TABLES).alias("q"))
+    t = tables(percent)
+    halves = reps.select("id", "n", F.slice("halves", 1, t).alias("p"), F.slice("halves", t + 1, t).alias("q"))
     halves = halves.select("id", "n", F.posexplode("p").alias("i", "p"), "q").select("id", "n", "i", "p", F.posexplode("q").alias("j", "q"))
     keys = halves.select(F.xxhash64("i", "p", "j", "q").alias("key"), "id", "n")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
@@ -135,8 +151,8 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = 85) -> DataFrame
     now = now.join(mixed, "key", "left_semi").join(reps.select("id", "halves", "bins"), "id")
     other = now.select("key", F.col("id").alias("l"), F.col("n").alias("o"), F.col("c").alias("d"), F.col("halves").alias("halves2"), F.col("bins").alias("bins2"))
     can = f"aggregate(zip_with(bins, bins2, (x, y) -> least(x, y)), 0, (a, x) -> a + x) * {100 + percent} >= {percent} * (n + o)"
-    at = lambda low: f"array_position(zip_with(slice(halves, {low}, {TABLES}), slice(halves2, {low}, {TABLES}), (x, y) -> x = y), true)"
-    first = f"key = xxhash64(cast({at(1)} - 1 as int), try_element_at(halves, cast({at(1)} as int)), cast({at(TABLES + 1)} - 1 as int), try_element_at(halves, cast({at(TABLES + 1)} + {TABLES} as int)))"
+    at = lambda low: f"array_position(zip_with(slice(halves, {low}, {t}), slice(halves2, {low}, {t}), (x, y) -> x = y), true)"
+    first = f"key = xxhash64(cast({at(1)} - 1 as int), try_element_at(halves, cast({at(1)} as int)), cast({at(t + 1)} - 1 as int), try_element_at(halves, cast({at(t + 1)} + {t} as int)))"
     found = now.join(other, "key").where(f"c < d and {fits} and {can} and {first}").select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b"))
     rest = cut(found.join(stars, ["a", "b"], "left_anti"))
     links = cut(edges.union(_confirmed(rest, sets, percent)))
@@ -144,7 +160,7 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = 85) -> DataFrame
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     docs: doc_id (integer) and text; other columns are ignored. component_id is the smallest doc_id
@@ -154,7 +170,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     doc_id are one document as far as links go: they share a component. An empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(signatures(docs))
+    rows = cut(signatures(docs, tables(percent)))
     able = rows.where("n_shingles > 0 and doc_id is not null")
     classes = able.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "halves", "bins")).alias("s"))
     reps = cut(classes.select(F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), "s.halves", "s.bins", "h1", "h2"))

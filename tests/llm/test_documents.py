@@ -119,7 +119,7 @@ def test_round_trip(spark, docs, none):
 
 
 def test_near_duplicates(spark, docs, none):
-    got = by_id(near_duplicates.near_duplicates(docs))
+    got = by_id(near_duplicates.near_duplicates(docs, 85))
     want = brute.near(corpus())
     assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == want
     assert all(r["kept"] is (r["component_id"] == d) for d, r in got.items())
@@ -133,7 +133,7 @@ def test_chains_of_near_copies(spark):
     words = sentence(random.Random(1), 200).split()
     texts = {100 - k: " ".join(words[k * 3 : 150 + k * 3]) for k in range(16)}
     want = brute.near(texts)
-    got = by_id(near_duplicates.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")))
+    got = by_id(near_duplicates.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 85))
     assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == want
     assert len({c for _, c in want.values()}) < len(texts)
 

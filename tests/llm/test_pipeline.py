@@ -37,7 +37,7 @@ def test_stages(spark, data, stages):
     assert set(texts(stages[0])) == kept and 0 < len(kept) < docs.count()
     good = {r["doc_id"] for r in quality_scores(stages[0], spark.read.parquet(f"{data}/labels.parquet")).where("predicted = 1").collect()}
     assert set(texts(stages[1])) == good
-    near = brute.near(texts(stages[1]))
+    near = brute.near(texts(stages[1]), 80)
     assert set(texts(stages[2])) == {d for d, (_, c) in near.items() if c == d}
     repeats = brute.substring(texts(stages[2]))
     got = texts(stages[3])
