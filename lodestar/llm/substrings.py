@@ -5,10 +5,13 @@ anchor, so equal windows have the same anchor at the same place. Anchors that oc
 whole corpus are dropped by a distributed count; the rest are seeds.
 
 Extension: each seed is extended both ways over all windows that it anchors (those alone can agree
-with windows at other seeds of its hash), and each such window is matched by a 128-bit hash with its
-earliest occurrence in order of (doc_id, start). Matched windows of neighbouring seeds run together
-into maximal repeats of SPAN words or more, whose words are removed. So seeds are never paired with
-each other: a passage with a million copies costs a million rows, not their square.
+with windows at other seeds of its hash); the words under them are its span. Seeds whose spans agree
+form a class, joined by hash, and all windows of all but its first seed are repeats. The first seeds
+of classes that share an anchor but not the span stand where a passage begins or ends; their windows
+are matched one by one, by a 96-bit hash, with the earliest occurrence in order of (doc_id, start).
+Repeated windows of neighbouring seeds run together into maximal repeats of SPAN words or more,
+whose words are removed. So seeds are never paired with each other: a passage with a million copies
+costs a million rows, not their square.
 
 A word goes exactly if a window that covers it also starts earlier; windows are judged on the input.
 """
@@ -20,11 +23,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
-from lodestar.llm.words import spans, window_hashes, word_hashes
+from lodestar.llm.words import mix, spans, stretch_hashes, window_hashes, word_hashes
 from lodestar.session import cut
 
 SPAN, GRAM = 20, 6
@@ -52,80 +56,134 @@ def _words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def _seed_rows(docs: DataFrame, span: int) -> DataFrame:
+    """(h, s, doc_id, pos): hash of an anchor, hash of its span, and place.
+
+    48 bits of the anchor's hash are enough: where two anchors share them, their spans still differ.
+
+    pos holds the anchor's word, then the words back to the first window that it anchors and the
+    number of those windows less one, in 4 bits each.
+    """
+
     def make():
         def step(batch: pa.RecordBatch) -> dict | None:
-            hashes, ids, places = [], [], []
+            out: list[list] = [[], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                grams, where = anchors(word_hashes(*_words(text)), span)
+                words = word_hashes(*_words(text))
+                grams, where = anchors(words, span)
                 if len(where):
-                    where = np.unique(where)
-                    hashes.append(grams[where].view(np.int64))
-                    places.append(where.astype(np.int32))
-                    ids.append(np.full(len(where), doc_id, dtype=np.int64))
-            return {"h": np.concatenate(hashes), "doc_id": np.concatenate(ids), "q": np.concatenate(places)} if hashes else None
+                    first = np.flatnonzero(np.diff(where, prepend=-1))  # windows of an anchor are neighbours
+                    count = np.diff(first, append=len(where))
+                    at = where[first]
+                    shape = ((at - first) << 4) | (count - 1)
+                    out[0].append((grams[at] >> np.uint64(16)).view(np.int64))
+                    out[1].append(mix(stretch_hashes(words, first, first + count + span - 1) + shape.astype(np.uint64)).view(np.int64))
+                    out[2].append(np.full(len(at), doc_id, dtype=np.int64))
+                    out[3].append((at << 8) | shape)
+            return dict(zip(("h", "s", "doc_id", "pos"), map(np.concatenate, out), strict=True)) if out[0] else None
 
         return step
 
-    return arrow_map(docs, make, "h bigint, doc_id bigint, q int")
+    return arrow_map(docs, make, "h bigint, s bigint, doc_id bigint, pos bigint")
 
 
 def _window_rows(seeded: DataFrame, span: int) -> DataFrame:
+    """(w1, w2, doc_id, p) for each window that the documents' seeds (array of pos) anchor.
+
+    w1 and the 32 bits of w2 come from different hashes of the words.
+    """
+
     def make():
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def step(batch: pa.RecordBatch) -> dict | None:
             out: list[list] = [[], [], [], []]
-            for doc_id, text, seeds in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("seeds"), strict=True):
-                data, starts, ends = _words(text)
-                words = word_hashes(data, starts, ends)
-                _, where = anchors(words, span)
-                at = np.flatnonzero(np.isin(where, seeds.values.to_numpy()))
+            for doc_id, packed, seeds in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), batch.column("seeds"), strict=True):
+                data = unpack(packed) if packed is not None else b""
+                starts, ends = spans(data)
+                at = _starts(seeds.values.to_numpy())
+                at = at[at + span <= len(starts)]
                 if len(at):
-                    out[0].append(window_hashes(words, span)[at].view(np.int64))
-                    out[1].append(window_hashes(word_hashes(data, starts, ends, 2), span, 2)[at].view(np.int64))
+                    out[0].append(stretch_hashes(word_hashes(data, starts, ends, 1), at, at + span, 1).view(np.int64))
+                    out[1].append((stretch_hashes(word_hashes(data, starts, ends, 2), at, at + span, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     out[2].append(np.full(len(at), doc_id, dtype=np.int64))
                     out[3].append(at.astype(np.int32))
             return dict(zip(("w1", "w2", "doc_id", "p"), map(np.concatenate, out), strict=True)) if out[0] else None
 
         return step
 
-    return arrow_map(seeded, make, "w1 bigint, w2 bigint, doc_id bigint, p int")
+    return arrow_map(seeded, make, "w1 bigint, w2 int, doc_id bigint, p int")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs with the compressed bytes of its text as packed, for the shuffle."""
+    others = [c for c in docs.columns if c != "text"]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "packed binary"])
+
+    def make():
+        pack = zstandard.ZstdCompressor(level=3).compress
+
+        def step(batch: pa.RecordBatch) -> dict:
+            return {c: batch.column(c) for c in others} | {"packed": [None if t is None else pack(t.encode()) for t in batch.column("text").to_pylist()]}
+
+        return step
+
+    return arrow_map(docs, make, schema)
+
 
+def _starts(pos: np.ndarray) -> np.ndarray:
+    """Starts of the windows that seeds anchor."""
+    count = (pos & 15) + 1
+    first = (pos >> 8) - ((pos >> 4) & 15)
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
-def _kept(n: int, repeats, span: int) -> np.ndarray:
-    """Which of n words stay, given the starts of repeated windows."""
-    change = np.zeros(n + span + 1, dtype=np.int32)
-    if repeats is not None:
-        at = np.asarray(repeats)
-        at = at[at + span <= n]
-        np.add.at(change, at, 1)
-        np.add.at(change, at + span, -1)
+
+def _kept(n: int, marks: np.ndarray | None, span: int) -> np.ndarray:
+    """Which of n words stay, given the seeds (pos) all of whose windows are repeats."""
+    change = np.zeros(n + span + 17, dtype=np.int32)
+    if marks is not None:
+        first = (marks >> 8) - ((marks >> 4) & 15)
+        stop = first + (marks & 15) + span
+        fits = stop <= n
+        np.add.at(change, first[fits], 1)
+        np.add.at(change, stop[fits], -1)
     return np.cumsum(change[:n]) == 0
 
 
-def repeated_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, starts): starts of the windows of span words that also start earlier.
+def repeats(docs: DataFrame, packed: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, marks): the windows of span words that also start earlier, as pos values.
 
-    docs: doc_id (not null) and text.
+    docs: doc_id (not null) and text; packed: the same rows by _packed. A document's marks are at
+    most its own words.
     """
-    rows = _seed_rows(docs, span)
+    rows = _seed_rows(docs.select("doc_id", "text"), span)
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
-    seeds = cut(rows.join(shared, "h").groupBy("doc_id").agg(F.collect_list("q").alias("seeds")))  # at most a document's own words
-    windows = _window_rows(docs.join(seeds, "doc_id"), span)
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "p")).alias("s"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    first = first.select("w1", "w2", F.col("s.doc_id").alias("d0"), F.col("s.p").alias("p0"))
-    return windows.join(first, ["w1", "w2"]).where("doc_id <> d0 or p <> p0").groupBy("doc_id").agg(F.collect_list("p").alias("starts"))
+    seeds = cut(rows.join(shared, "h"))
+    first = seeds.groupBy("h", "s").agg(F.min(F.struct("doc_id", "pos")).alias("f")).select("h", "s", F.col("f.doc_id").alias("d0"), F.col("f.pos").alias("p0"))
+    first = cut(first)
+    whole = seeds.join(first, ["h", "s"]).where("doc_id <> d0 or pos <> p0").select("doc_id", "pos")
+    contested = first.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    edges = first.join(contested, "h").groupBy(F.col("d0").alias("doc_id")).agg(F.collect_list("p0").alias("seeds"))
+    # The exchange of packed is also that of the caller's last join: texts move once.
+    windows = _window_rows(packed.join(edges, "doc_id"), span)
+    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "p")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select("w1", "w2", F.col("f.doc_id").alias("d0"), F.col("f.p").alias("p0"))
+    single = windows.join(earliest, ["w1", "w2"]).where("doc_id <> d0 or p <> p0").select("doc_id", F.shiftleft(F.col("p").cast("bigint"), 8).alias("pos"))
+    return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
 
 
 def _finished(df: DataFrame, span: int, keep_text: bool) -> DataFrame:
-    others = [c for c in df.columns if c not in ("text", "starts")]
+    others = [c for c in df.columns if c not in ("packed", "marks")]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others), "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"])
 
     def make():
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def step(batch: pa.RecordBatch) -> dict:
             out = []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts"), strict=True):
-                data = (text or "").encode()
+            for packed, marks in zip(batch.column("packed").to_pylist(), batch.column("marks"), strict=True):
+                data = unpack(packed) if packed is not None else b""
+                text = None if packed is None or not keep_text else data.decode()
                 words = data.split()  # bytes.split() parts at the same six bytes
-                stay = _kept(len(words), starts.values.to_numpy() if starts.is_valid else None, span)
+                stay = _kept(len(words), marks.values.to_numpy() if marks.is_valid else None, span)
                 left, removed = b" ".join(compress(words, stay.tolist())), len(words) - int(stay.sum())
                 out.append((len(words), removed, hashlib.sha256(left).hexdigest(), (left.decode() if removed else text) if keep_text else None))
             columns = zip(*out, strict=True) if out else ((), (), (), ())
@@ -147,11 +205,11 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, keep_text: bool = False)
     the key of a document: rows that repeat it count as one document, so none of them is an earlier
     occurrence of another. An empty table gives an empty result.
     """
-    clean = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept_text", "starts", "seeds")]
+    clean = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept_text", "marks", "packed", "seeds")]
     docs = docs.select(*(F.col(f"`{c}`") for c in clean)).withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")})
     known = docs.where("doc_id is not null")
-    # Both joins below deal the same rows by doc_id, so Spark moves the texts once.
-    found = repeated_windows(known.select("doc_id", "text") if set(clean) == {"doc_id", "text"} else known, span)
-    rest = docs.where("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>"))
-    whole = known.join(found, "doc_id", "left").unionByName(rest)
+    packed = _packed(known)
+    found = repeats(known, packed, span)
+    rest = _packed(docs.where("doc_id is null")).withColumn("marks", F.lit(None).cast("array<bigint>"))
+    whole = packed.join(found, "doc_id", "left").unionByName(rest)
     return _finished(whole, span, keep_text)

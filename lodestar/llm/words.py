@@ -79,6 +79,15 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     return mix((sums[size:] - sums[:n]) * powers(inverse, n) + np.uint64(size))
 
 
+def stretch_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A 64-bit hash for each stretch of words from starts to ends (not included)."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    _, _, _, base, inverse = _parameters(seed)
+    sums = _sums(words, base)
+    return mix((sums[ends] - sums[starts]) * powers(inverse, int(starts.max()) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 def sequence_hash(words: np.ndarray, seed: int = 1) -> int:
     """A signed 64-bit hash of the whole word sequence."""
     return int(window_hashes(words, len(words), seed).view(np.int64)[0]) if len(words) else 0
