@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,8 +16,29 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 BATCH_ROWS = 500
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
-    """mapInArrow with per-task state.
+_HELD: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """The process's object of this key, made at the first call; it outlives a task, but only one is held."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def _release(keep: str | None) -> None:
+    """Drops what other operators hold in this worker, and gives unused memory back."""
+    if any(k != keep for k in _HELD):
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, holds: str | None = None) -> DataFrame:
+    """mapInArrow with per-task state. holds: key of what make() takes by held().
 
     make() runs once in a task and returns a function from a record batch to a dict of column lists,
     or None for no rows. Column types come from schema, so nulls and empty batches are typed.
@@ -24,10 +48,13 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     types = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release(holds)
         step = make()
         for batch in batches:
             out = step(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in types], schema=types)
+        del step
+        _release(holds)
 
     return df.mapInArrow(run, kinds)

@@ -21,12 +21,12 @@ import json
 import os
 import re
 import unicodedata
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import tiktoken
 
+from lodestar.llm.arrow import held
 from lodestar.llm.words import mix
 
 #: White space, and the pieces of the byte-level and of the word vocabulary.
@@ -294,13 +294,11 @@ class WordEncoder:
         return self.encode_batch([text])[0].tolist()
 
 
-@lru_cache(maxsize=2)
 def byte_encoder(path: str) -> ByteEncoder:
-    """The process's encoder for a byte-level vocabulary: its memo outlives a task."""
-    return ByteEncoder(path)
+    """The process's encoder for a byte-level vocabulary; its key for arrow_map is the path."""
+    return held(path, lambda: ByteEncoder(path))
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    """The process's encoder for a word vocabulary: its memo outlives a task."""
-    return WordEncoder(path)
+    """The process's encoder for a word vocabulary; its key for arrow_map is the path."""
+    return held(path, lambda: WordEncoder(path))

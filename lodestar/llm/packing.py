@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         return step
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(docs, make, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return arrow_map(docs, make, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", tokenizer)
 
 
 # ---- one island -------------------------------------------------------------------------------

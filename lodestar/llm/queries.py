@@ -7,7 +7,6 @@ import hashlib
 import pyarrow as pa
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
 from lodestar.llm.encoding import byte_encoder
@@ -47,7 +46,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         return step
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", tokenizer)
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
