@@ -156,7 +156,8 @@ def repeats(docs: DataFrame, packed: DataFrame, span: int = SPAN) -> DataFrame:
     most its own words.
     """
     rows = _seed_rows(docs.select("doc_id", "text"), span)
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    # Cut off, so that both sides of the join are plain shuffles: then a frequent anchor is split.
+    shared = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
     seeds = cut(rows.join(shared, "h"))
     first = seeds.groupBy("h", "s").agg(F.min(F.struct("doc_id", "pos")).alias("f")).select("h", "s", F.col("f.doc_id").alias("d0"), F.col("f.pos").alias("p0"))
     first = cut(first)
