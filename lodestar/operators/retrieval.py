@@ -11,6 +11,8 @@ from lodestar.functions import text as T
 
 #: BM25 and fusion constants, candidates of each retriever.
 K1, B, IDF_FLOOR, RRF_K, CANDIDATES = 1.2, 0.75, 1e-6, 60, 50
+#: Queries in one matrix product of dense search.
+SLICE = 256
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -61,8 +63,8 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048)
     """(query_id, id, score): the k vectors with the largest dot product for each query.
 
     vectors: id, vector; queries: query_id, vector. Queries go out in blocks of bounded size; each
-    Arrow batch of vectors is one matrix product and keeps its own best k, so only k rows for each
-    query and batch are shuffled. Null vectors are left out; ties go to the smaller id.
+    Arrow batch of vectors is multiplied with SLICE queries at a time and keeps its own best k, so
+    only k rows for each query and batch are shuffled. Null vectors are left out; ties go to the smaller id.
     """
     known = queries.where("vector is not null").orderBy("query_id").toLocalIterator(prefetchPartitions=False)
     out, held = None, []
@@ -78,9 +80,11 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048)
                 if not len(ids):
                     continue
                 order = np.argsort(ids, kind="stable")
-                ids, scores = ids[order], np.round(matrix @ own[order].T, 6)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "id", "score"])
+                ids, own = ids[order], own[order].T
+                for at in range(0, len(names), SLICE):
+                    scores = np.round(matrix[at : at + SLICE] @ own, 6)
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at : at + SLICE], best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "id", "score"])
 
         kept = vectors.where("vector is not null").select(F.col("id").cast("bigint").alias("id"), "vector").mapInArrow(run, "query_id bigint, id bigint, score double")
         return ranked(kept, k)

@@ -122,9 +122,12 @@ FUSED = "f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FR
 
 
 def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
-    lexical = X.ranked(scored(spark, d), X.CANDIDATES).select("query_id", "id", "rank")
-    ask = asked(spark, d).where("query_id in (0, 20, 40, 60)")  # one stated vector for each of the four questions
-    dense = X.dense_top(vectors(spark, d), ask, X.CANDIDATES).select((F.col("query_id") / 20 + 1).cast("bigint").alias("query_id"), "id", "rank")
+    """Both lists of every stated vector: they take the typed questions in turn, so that each is asked."""
+    ask = asked(spark, d).withColumn("query_id", (F.col("query_id") / 20 + 1).cast("bigint"))
+    typed = X.ranked(scored(spark, d), X.CANDIDATES).select(F.col("query_id").alias("typed"), "id", "rank")  # 50 rows for each typed question
+    every = ask.select("query_id").union(questions(spark).select("query_id")).distinct().withColumn("typed", (F.col("query_id") - 1) % len(QUESTIONS) + 1)
+    lexical = every.join(F.broadcast(typed), "typed").select("query_id", "id", "rank")
+    dense = X.dense_top(vectors(spark, d), ask, X.CANDIDATES).select("query_id", "id", "rank")
     return lexical, dense
 
 

@@ -1,5 +1,9 @@
 """Operators and queries do the whole job: nothing is cut before it is looked at."""
 
+import duckdb
+import pytest
+
+from lodestar import catalog
 from lodestar.operators import retrieval
 
 SYMBOL = "name string, qualified_name string, path string, start_line int, end_line int"
@@ -15,3 +19,35 @@ def test_definitions_beyond_many_namesakes(spark):
     namesakes = retrieval.find_definitions(symbols, "Z.f").collect()
     assert [(r["qualified_name"], r["start_line"]) for r in namesakes] == [("a.A.f", i) for i in range(10)]
     assert retrieval.find_definitions(symbols, "h").count() == 0
+
+
+def gives(spark, data, name, sql, tables):
+    """The query gives the rows of sql."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
+    frame = catalog.queries()[name](spark, data)
+    cursor = con.execute(sql)
+    names = [c[0] for c in cursor.description]
+    plain = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
+    got = frame.select(*names).collect()
+    assert plain(map(tuple, got)) == plain(cursor.fetchall())
+    return got
+
+
+def swapped(sql, *pairs):
+    for old, new in pairs:
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+TURNS = "lex AS (SELECT v.query_id, t.id, t.rank FROM typed t JOIN (SELECT vec_id // 20 + 1 AS query_id FROM embeddings WHERE vec_id % 20 = 0) v ON t.query_id = (v.query_id - 1) % 4 + 1)"
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion", "hybrid_search"])
+def test_every_stated_vector_is_fused(spark, data, name):
+    whole = swapped(catalog.oracle_sql()[name], ("lex AS (", "typed AS ("), (", den AS (", f", {TURNS}, den AS ("), ("a.vec_id IN (0, 20, 40, 60)", "a.vec_id % 20 = 0"))
+    got = gives(spark, data, name, whole, ["documents", "embeddings"])
+    stated = spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    assert stated > 4 and {r["query_id"] for r in got} == set(range(1, stated + 1))
