@@ -115,8 +115,7 @@ def usage_sums(spark, d):
 @R.query("SELECT source, lang, doc_id, density FROM (SELECT source, lang, doc_id, round(len(regexp_extract_all(substr(text, 1, 3000), '(?i) (the|der|la) ')) / greatest(1.0, length(substr(text, 1, 3000)) / 1000.0), 6) AS density FROM documents) WHERE density > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY density DESC, doc_id) <= 40")
 def causal_density_topk(spark, d):
     """Density of marker words; the corpus has no causal phrases, so its commonest words stand for them."""
-    body = F.substring("text", 1, 3000)  # the operator reads this far: a feature of it
-    density = F.round(F.regexp_count(body, F.lit("(?i) (the|der|la) ")) / F.greatest(F.lit(1.0), F.length(body) / 1000.0), 6)
+    density = F.round(F.regexp_count("text", F.lit("(?i) (the|der|la) ")) / F.greatest(F.lit(1.0), F.length("text") / 1000.0), 6)
     rows = table(spark, d, "documents").select("source", "lang", "doc_id", density.alias("density")).where("density > 0")
     n = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("density"), "doc_id"))
     return rows.withColumn("n", n).where("n <= 40").drop("n")

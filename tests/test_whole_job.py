@@ -51,3 +51,8 @@ def test_every_stated_vector_is_fused(spark, data, name):
     got = gives(spark, data, name, whole, ["documents", "embeddings"])
     stated = spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 20 = 0").count()
     assert stated > 4 and {r["query_id"] for r in got} == set(range(1, stated + 1))
+
+
+def test_density_of_whole_texts(spark, data):
+    whole = swapped(catalog.oracle_sql()["causal_density_topk"], ("substr(text, 1, 3000)", "text"))
+    gives(spark, data, "causal_density_topk", whole, ["documents"])
