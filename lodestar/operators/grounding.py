@@ -21,7 +21,9 @@ def resolve(citations: DataFrame, evidence: DataFrame) -> DataFrame:
     """
     asked = citations.withColumn("want", T.normal_ref(F.col("ref")))
     ev = evidence.select("session", "seq", F.col("ref").alias("e_ref"), F.col("path").alias("e_path"), "start_line", "end_line")
-    exact = asked.join(ev, (asked["session"] == ev["session"]) & (F.lower("want") == F.lower("e_ref"))).select(asked["session"], "cite_id", F.lit(1).alias("way"), "seq", F.col("e_ref").alias("resolved"))
+    # Of equal references and of equal ranges only the first seen can be the answer.
+    first = ev.groupBy("session", F.lower("e_ref").alias("low")).agg(F.min(F.struct("seq", "e_ref")).alias("f"))
+    exact = asked.withColumn("low", F.lower("want")).join(first, ["session", "low"]).select("session", "cite_id", F.lit(1).alias("way"), F.col("f.seq").alias("seq"), F.col("f.e_ref").alias("resolved"))
     short = F.substring(F.lower("want"), 8, MIN_SHA)
     sha, e_sha = F.substring(F.lower("want"), 8, 100), F.substring(F.lower("e_ref"), 8, 100)
     commits = ev.where(F.lower("e_ref").startswith("commit:")).withColumn("head", F.substring(F.lower("e_ref"), 8, MIN_SHA))
@@ -29,7 +31,7 @@ def resolve(citations: DataFrame, evidence: DataFrame) -> DataFrame:
     commit = near.join(commits, ["session", "head"]).where(e_sha.startswith(sha) | sha.startswith(e_sha)).select("session", "cite_id", F.lit(2).alias("way"), "seq", F.col("e_ref").alias("resolved"))
     path, start, end = T.ref_range(F.col("want"))
     spans = asked.select("session", "cite_id", path.alias("path"), start.alias("s"), end.alias("e")).where("path is not null and s <= e").withColumn("block", F.floor(F.col("s") / BLOCK))
-    seen = ev.where("start_line is not null").withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / BLOCK), F.floor(F.col("end_line") / BLOCK)))).withColumnRenamed("e_path", "path")
+    seen = ev.where("start_line is not null").groupBy("session", "e_path", "start_line", "end_line").agg(F.min("seq").alias("seq")).withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / BLOCK), F.floor(F.col("end_line") / BLOCK)))).withColumnRenamed("e_path", "path")
     inside = spans.join(seen, ["session", "path", "block"]).where("start_line <= s and e <= end_line").select("session", "cite_id", F.lit(3).alias("way"), "seq", F.concat("path", F.lit(":"), "s", F.lit("-"), "e").alias("resolved"))
     best = exact.unionByName(commit).unionByName(inside).groupBy("session", "cite_id").agg(F.min(F.struct("way", "seq", "resolved")).alias("b"))
     return citations.join(best, ["session", "cite_id"], "left").select(*citations.columns, F.col("b.resolved").alias("resolved"), F.col("b.seq").alias("seq"), F.col("b.way").alias("way"))

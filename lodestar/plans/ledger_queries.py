@@ -49,10 +49,10 @@ _QUOTE = "concat('  **', substr(text, 11, CASE WHEN doc_id % 4 = 0 THEN 12 ELSE
 
 @R.query(f"WITH quotes AS (SELECT doc_id, concat('PR#', doc_id) AS ref, {_QUOTE} AS quote, text FROM documents WHERE doc_id % 3 = 1), n AS (SELECT doc_id, {QUOTE_SQL.replace('{x}', 'quote')} AS needle, {QUOTE_SQL.replace('{x}', 'text')} AS hay FROM quotes) SELECT doc_id AS cite_id, length(needle) >= 20 AND contains(hay, needle) AS supported FROM n")
 def quote_containment(spark, d):
-    k = F.col("cite_id")
+    k = F.col("seq")
     cut = F.when(k % 4 == 0, F.substring("text", 11, 12)).otherwise(F.substring("text", 11, 40))
     quote = F.concat(F.lit("  **"), cut, F.when(k % 7 == 3, " never").otherwise(""), F.lit("  ** "))
-    quotes = citations(spark, d).where(k % 3 == 1).select("session", "cite_id", F.concat(F.lit("PR#"), k).alias("ref"), quote.alias("quote"))
+    quotes = evidence(spark, d).select("session", k.alias("cite_id"), "ref", quote.alias("quote"))  # each with the reference of its own row
     return G.quote_checks(quotes, evidence(spark, d)).select("cite_id", "supported")
 
 

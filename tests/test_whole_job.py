@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 from lodestar import catalog
-from lodestar.operators import retrieval
+from lodestar.operators import grounding, retrieval
+from lodestar.plans.ledger_queries import _QUOTE, EV_SQL
+from lodestar.plans.text_queries import QUOTE_SQL
 
 SYMBOL = "name string, qualified_name string, path string, start_line int, end_line int"
 
@@ -56,3 +58,21 @@ def test_every_stated_vector_is_fused(spark, data, name):
 def test_density_of_whole_texts(spark, data):
     whole = swapped(catalog.oracle_sql()["causal_density_topk"], ("substr(text, 1, 3000)", "text"))
     gives(spark, data, "causal_density_topk", whole, ["documents"])
+
+
+def test_quotes_of_every_citation(spark, data):
+    form = lambda x: QUOTE_SQL.replace("{x}", x)
+    whole = f"""WITH {EV_SQL}, f AS (SELECT session, ref, min(seq) AS seq FROM ev GROUP BY ALL),
+n AS (SELECT q.doc_id AS doc_id, {form("quote")} AS needle, {form("h.text")} AS hay FROM (SELECT doc_id, {_QUOTE} AS quote FROM documents) q JOIN ev ON ev.seq = doc_id JOIN f USING (session, ref) JOIN documents h ON h.doc_id = f.seq)
+SELECT doc_id AS cite_id, length(needle) >= 20 AND contains(hay, needle) AS supported FROM n"""
+    got = gives(spark, data, "quote_containment", whole, ["documents"])
+    assert len(got) == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert {(r["cite_id"] % 3, r["supported"]) for r in got} == {(w, yes) for w in range(3) for yes in (True, False)}
+
+
+def test_first_seen_of_equal_evidence(spark):
+    seen = [("s", 4, "a.py:1-30", "a.py", 1, 30), ("s", 2, "A.py:1-30", "a.py", 1, 30), ("t", 1, "a.py:1-30", "a.py", 1, 30), ("s", 3, "PR#1", None, None, None)]
+    asked = [("s", 1, "a.py:1-30"), ("s", 2, "a.py:5-9"), ("s", 3, "pr#1"), ("t", 4, "PR#1")]
+    evidence = spark.createDataFrame(seen, "session string, seq bigint, ref string, path string, start_line int, end_line int")
+    got = {tuple(r)[1:] for r in grounding.resolve(spark.createDataFrame(asked, "session string, cite_id bigint, ref string"), evidence).collect()}
+    assert got == {(1, "a.py:1-30", "A.py:1-30", 2, 1), (2, "a.py:5-9", "a.py:5-9", 2, 3), (3, "pr#1", "PR#1", 3, 1), (4, "PR#1", None, None, None)}
