@@ -64,15 +64,41 @@ def normal_form(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, form)
 
 
+def without_dots(path: Column) -> Column:
+    """path without its . and .. segments."""
+    last = F.regexp_extract(path, r"(?:^|/)\.\.?$", 0) != ""  # such an end stands for a folder
+    kept = F.aggregate(
+        F.filter(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda x: x != "."),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The address that target means on the page base; null without one."""
+    site, folder = F.regexp_extract(base, "^[^/?#]*://[^/?#]*", 0), F.regexp_extract(base, "^[^/?#]*://[^/?#]*((?:/[^/?#]*)*/)", 1)
+    path, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "[?#].*$", 0)
+    relative = (
+        F.when(target.startswith("//"), F.concat(F.regexp_extract(base, "^[^:/?#]*:", 0), target))
+        .when(target.startswith("/"), F.concat(site, without_dots(path), rest))
+        .when(target.startswith("?"), F.concat(F.regexp_extract(base, "^[^?#]*", 0), target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(base, "^[^#]*", 0), target))
+        .otherwise(F.concat(site, without_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)), rest))
+    )
+    return F.when(target.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.when(F.instr(target, "://") > 0, target)).when((target != "") & (site != ""), relative)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(source, target) addresses of canonical links and refresh redirects in pages (url, html)."""
+    """(source, target) addresses of all canonical links and refresh redirects in pages (url, html)."""
     links = []
     for tag, address in (
         (r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
         (r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"),
     ):
-        links.append(pages.select(F.col("url").alias("source"), F.regexp_extract(F.regexp_extract("html", tag, 0), address, 1).alias("target")))
-    return reduce(DataFrame.union, links).where("source is not null and target like '%://%'")
+        tags = pages.select(F.col("url").alias("source"), F.explode(F.regexp_extract_all("html", F.lit(tag), 0)).alias("tag"))
+        links.append(tags.select("source", resolved(F.col("source"), F.regexp_extract("tag", address, 1)).alias("target")))
+    return reduce(DataFrame.union, links).where("source is not null and target is not null")
 
 
 def url_filter(pages: DataFrame, rules: list[Rule], links: DataFrame) -> DataFrame:
@@ -88,11 +114,10 @@ def url_filter(pages: DataFrame, rules: list[Rule], links: DataFrame) -> DataFra
     edges = links.select(normal_form(F.col(a)).alias("a"), normal_form(F.col(b)).alias("b"))
     parts = connected_components(edges)
     rows = rows.join(parts.withColumnRenamed("node", "form"), "form", "left").withColumn("component", F.coalesce("component", "form"))
-    # Explicit verdicts of each component; targets that are no page themselves count too.
-    targets = edges.select(F.explode(F.array("a", "b")).alias("form")).where("form is not null").distinct().join(parts.withColumnRenamed("node", "form"), "form")
-    named = targets.select("component", F.concat(F.lit("x://"), "form").alias("url"))
+    # Explicit verdicts of each component; targets that are no page themselves count too, by their address as it is.
     thost, tpath = host_and_path(F.col("url"))
-    named = named.select("component", fitting(rules, thost, tpath, lambda r: r.verdict).alias("own"))
+    named = links.select(F.explode(F.array(F.col(a).cast("string"), F.col(b).cast("string"))).alias("url")).select(normal_form(F.col("url")).alias("form"), fitting(rules, thost, tpath, lambda r: r.verdict).alias("own"))
+    named = named.where("form is not null and own is not null").distinct().join(parts.withColumnRenamed("node", "form"), "form", "left").select(F.coalesce("component", "form").alias("component"), "own")
     told = rows.select("component", "own").unionByName(named).where("own is not null").groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
     passed = F.when(F.col("blocked") & ~F.col("allowed"), F.lit("block")).otherwise(F.lit("allow"))
     decided = rows.where("own is not null").select("page_id", "host", "path", "rule", F.col("own").alias("verdict"), "component")
