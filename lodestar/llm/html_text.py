@@ -28,29 +28,47 @@ ARTICLES = {"article", "main"}
 MARKS = set("ad ads adsense advert advertisement advertisements adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar navigation newsletter notice notification popup promo promotion related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
 _DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head(?:\s[^>]*)?>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>|<![^>]*>|<\?[^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>")
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+#: Words before a mark that only say whose it is.
+WHOSE = {"site", "page", "main"}
 
 
-def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+def _own(attributes: str) -> dict[str, str]:
+    """Attributes by lower-cased name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _is_boilerplate(name: str, own: dict[str, str], in_article: bool) -> bool:
     if name in BOILERPLATE or name == "header" and not in_article:
         return True
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
+    if "hidden" in own and not own["hidden"].lower().startswith(("false", "until")):
         return True
-    for found in _NAMES.findall(attributes):
-        marks = set(re.split(r"[^a-z]+", "".join(found).lower()))
-        if marks & MARKS or "header" in marks and not in_article and name != "h1":
+    return own.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(own.get("style", "")))
+
+
+def _is_marked(name: str, own: dict[str, str], in_article: bool) -> bool:
+    """A mark is a whole class, id or role, or its head."""
+    for word in " ".join(own.get(k, "") for k in ("class", "id", "role")).lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", word) if p]
+        if len(parts) == 2 and parts[0] in WHOSE:
+            parts = parts[1:]
+        if parts and (parts[0] in MARKS or parts[0] == "header" and not in_article and name != "h1"):
             return True
     return False
 
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, letters inside links, boilerplate, inside the article) of each block with text."""
+    """(text, letters inside links, boilerplate, inside the article) of each block with text.
+
+    A mark on an element that is or holds the article does not count.
+    """
     page = _DROPPED.sub(" ", page)
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, article
+    found: list[tuple[str, int, bool, bool, tuple[int, ...], bool]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # element, boilerplate, article, place of a marked tag or -1
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -58,7 +76,9 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, linked, any(b for _, b, _ in stack), any(a for _, _, a in stack)))
+            inner = max((k for k, e in enumerate(stack) if e[2]), default=-1)
+            above, below = tuple(e[3] for e in stack[: inner + 1] if e[3] >= 0), any(e[3] >= 0 for e in stack[inner + 1 :])
+            found.append((text, linked, any(e[1] for e in stack), inner >= 0, above, below))
         parts.clear()
         linked = 0
 
@@ -80,11 +100,28 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                         del stack[k:]
                         break
             elif not attributes.rstrip().endswith("/"):
-                in_article = any(a for _, _, a in stack)
-                stack.append((name, _is_boilerplate(name, attributes, in_article), name in ARTICLES))
+                in_article, own = any(e[2] for e in stack), _own(attributes)
+                stack.append((name, _is_boilerplate(name, own, in_article), name in ARTICLES, tag.start() if _is_marked(name, own, in_article) else -1))
     parts.append(page[at:])
     close()
-    return out
+    spared = _spared(found)
+    return [(text, linked, boiler or below or not spared.issuperset(above), article) for text, linked, boiler, article, above, below in found]
+
+
+def _spared(found: list) -> set[int]:
+    """Marked tags that are or hold the article: the one under the fewest marks that has text enough.
+
+    Articles under marks stay dropped where the page says more without them (readers' comments).
+    """
+    sizes: dict[tuple[int, ...], int] = {}
+    other = 0
+    for text, _, boiler, article, above, below in found:
+        if not boiler and not below:
+            if article:
+                sizes[above] = sizes.get(above, 0) + len(text)
+            other += 0 if above else len(text)
+    best = min(sizes, key=lambda above: (sizes[above] < SURGE, len(above), above), default=())
+    return set(best) if best and sizes[best] > other else set()
 
 
 def surges(weights: list[int]) -> list[tuple[int, int]]:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestar.llm import queries, urls
+from lodestar.llm import html_text, queries, urls
 
 
 @pytest.mark.parametrize(
@@ -38,3 +38,25 @@ def test_links_are_judged_by_their_address(spark):
     )
     got = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages, queries.RULES, urls.page_links(pages)).collect()}
     assert got == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow"}
+
+
+WORDS = "Plain running text of a page that says enough to count as its main part. " * 3
+
+
+@pytest.mark.parametrize("tag", ["div class='overflow-hidden'", "section style='overflow:hidden'", "main data-hidden=1", "article class=hidden-print", "div class=has-sidebar", "div title='hidden display: none'", "article class='comments-open'", "main id=comments"])
+def test_a_holder_keeps_its_text(tag):
+    name = tag.split()[0]
+    assert html_text.main_text(f"<body><{tag}><p>{WORDS}</p></{name}><footer>end</footer></body>") == WORDS.strip()
+
+
+@pytest.mark.parametrize("tag", ["div class='comments-open'", "section id=sidebar"])
+def test_a_mark_around_the_article(tag):
+    page = f"<body><{tag}><p>menu</p><article><p>{WORDS}</p><div class=comments><article class=comment><p>{WORDS * 2}</p></article></div></article></{tag.split()[0]}></body>"
+    assert html_text.main_text(page) == WORDS.strip()
+
+
+@pytest.mark.parametrize("tag", ["div hidden", "div HIDDEN=''", "div style='color:red; display: none'", "div aria-hidden=true", "div class='x comments'", "div id=cookie-notice", "div class=site-footer"])
+def test_boilerplate_is_still_dropped(tag):
+    assert html_text.main_text(f"<body><p>{WORDS}</p><{tag}><p>{WORDS}x</p></div></body>") == WORDS.strip()
+    readers = f"<section class=comments><article><p>{WORDS}</p></article></section>"
+    assert html_text.main_text(f"<div>{WORDS * 2}</div>{readers}") == (WORDS * 2).strip()
