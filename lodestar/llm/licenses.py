@@ -103,10 +103,15 @@ class Scanner:
                     stretches.append([low, high])
         out = []
         for n, stretches in wide.items():
-            notice, label, _, pattern = self.known[n]
+            notice, label, edits, pattern = self.known[n]
             for low, high in stretches:
-                for m in pattern.finditer(text, max(0, low - 1), min(len(text), high + 1)):
-                    out.append(Span(notice, label, m.start(), m.end(), sum(m.fuzzy_counts), text.count(" ", 0, m.start() + 1)))
+                left = [(max(0, low - 1), min(len(text), high + 1))]
+                while left:  # the best match of a stretch, then what stands before and after it
+                    a, b = left.pop()
+                    m = pattern.search(text, a, b) if b - a >= len(notice) - edits else None
+                    if m:
+                        out.append(Span(notice, label, m.start(), m.end(), sum(m.fuzzy_counts), text.count(" ", 0, m.start() + 1)))
+                        left += [(a, m.start() - 1), (m.end(), b)]
         return sorted(out, key=lambda s: (s.start, s.end, s.notice))
 
 
