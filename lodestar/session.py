@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ BROADCAST_ROWS = 200_000
 def scratch(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset (local tests) a folder
-    of this machine is used.
+    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset and the master is local
+    (tests) a folder of this machine is used; elsewhere RuntimeError is raised.
     """
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
@@ -22,6 +23,8 @@ def scratch(spark: SparkSession) -> str:
         return held.get()
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lodestar-")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
@@ -33,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of frames that cut() made. Nothing may read them again, not even lazily."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
