@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import cut
+from lodestar.session import cut, release
 
 
-def _towards_minimum(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+def _with_minimum(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges with m, the smallest v of its u in pairs; and what is to be released after use.
+
+    The minima are cut off first, so that both sides of the join are plain shuffles: then the edges
+    of a hub are split over tasks.
+    """
+    least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")))
+    return edges.join(least, "u"), least
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every node links its larger neighbours to its smallest neighbour (or itself)."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _towards_minimum(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    joined, least = _with_minimum(both, both)
+    return joined.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v"), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every node links its smaller neighbours and itself to the smallest of them."""
-    least = _towards_minimum(edges)
-    joined = edges.join(least, "u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+    joined, least = _with_minimum(edges, edges)
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
@@ -32,22 +37,23 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 or low + high > 1").isEmpty()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 
     edges: two columns of one type, in either direction; nulls and loops are ignored, repeats are
     harmless. Each round costs two aggregations with map-side minima and two joins, and no step holds
-    a component in one task; the number of rounds grows with the logarithm of the diameter. Every
-    round ends in a checkpoint. Nothing but one truth value a round reaches the driver. Raises
-    RuntimeError if rounds do not suffice.
+    a component or the edges of a hub in one task. A round never adds a component's edges and brings
+    its nodes nearer to the smallest one, so the rounds end by themselves; their number grows with
+    the logarithm of the diameter. Every round ends in a checkpoint, and the one before it is
+    deleted. Nothing but one truth value a round reaches the driver.
     """
     a, b = edges.columns[:2]
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))))
-    for _ in range(rounds):
-        if _is_forest_of_stars(now):
-            break
-        now = cut(_small_star(_large_star(now)))
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
+    while not _is_forest_of_stars(now):
+        large, first = _large_star(now)
+        large = cut(large)
+        small, second = _small_star(large)
+        before, now = now, cut(small)
+        release(before, first, large, second)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -7,14 +7,18 @@ table with probability (1 - (1 - s**ROWS)**t)**2. t is the smallest number for w
 misses a pair at the threshold with probability MISS at most (13 at 0.80, 10 at 0.85); every larger
 similarity does better.
 
-Equal word sequences are one class before any key is made. Candidates are the classes that share a
-table key. They are confirmed on full shingle sets: first every bucket compares its members with one
-leader, and the links found give labels that only members of one component share; then what is left
-are pairs of a bucket with different labels. Of these only pairs that can be linked are made:
-shingles are counted in BINS classes of their hash, and the sum of the smaller counts bounds the
-intersection from above, so a pair below the needed overlap is no link for certain. A pair is made in
-the first table that it shares alone. Pairs with one label cannot change the result and are never
-made, no bucket is gathered in one task, and no link is dropped.
+Equal word sequences are one class before any key is made. A half key that only one class has is in
+no bucket of two, so half keys are counted first and table keys are made of repeated ones alone.
+Candidates are the classes that share a table key. First every bucket compares its members with one
+leader; the links found give components. Then, in buckets of several components, the members outside
+the largest one are compared with one member of it, and what is still outside after that with all
+members of other components; pairs of one component cannot change the result and are never made.
+
+A pair is made only if it can be linked: a class has a sketch, the parities of the numbers of its
+shingles in each of some thousand classes of their hash (about 3 bits a shingle). Two sets differ in
+at least as many shingles as their sketches differ in bits, so a pair whose sketches differ in more
+bits than a link allows is no link for certain. The pairs left, nearly all of them links, are
+confirmed on full shingle sets. No bucket is gathered in one task, and no link is dropped.
 """
 
 from __future__ import annotations
@@ -24,16 +28,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
 from lodestar.llm.graph import connected_components
 from lodestar.llm.words import mix, sequence_hash, spans, window_hashes, word_hashes
-from lodestar.session import BROADCAST_ROWS, cut
+from lodestar.session import BROADCAST_ROWS, cut, release
 
-ROWS, SHINGLE, BINS, MISS = 3, 5, 64, 1e-4
+ROWS, SHINGLE, MISS = 3, 5, 1e-4
+#: Least number of 64-bit words of a sketch, and its bits for each shingle.
+SKETCH_WORDS, SKETCH_BITS = 8, 3
 #: Links of the operator where nothing else is asked for: a similarity of 0.80 or more.
 PERCENT = 80
 
@@ -77,105 +82,165 @@ def half_keys(shingles: np.ndarray, n: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def bin_counts(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles fall into each of the BINS classes of their hash."""
-    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS).astype(np.int32)
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in 64 * w classes of their hash; w is a power of two."""
+    words = SKETCH_WORDS
+    while 64 * words < SKETCH_BITS * len(shingles):
+        words *= 2
+    odd = np.bincount(((shingles >> np.uint64(20)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, halves, bins) for each row of docs; n half keys a collection."""
+    """(doc_id, n_shingles, h1, h2, halves) for each row of docs; n half keys a collection."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             out = []
             for text in batch.column("text").to_pylist():
                 shingles, h1, h2 = shingle_set(text)
-                out.append((len(shingles), h1, h2, *((half_keys(shingles, n), bin_counts(shingles)) if len(shingles) else (None, None))))
-            sizes, h1, h2, halves, bins = zip(*out, strict=True) if out else ((), (), (), (), ())
-            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "h1": h1, "h2": h2, "halves": halves, "bins": bins}
+                out.append((len(shingles), h1, h2, half_keys(shingles, n) if len(shingles) else None))
+            sizes, h1, h2, halves = zip(*out, strict=True) if out else ((), (), (), ())
+            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "h1": h1, "h2": h2, "halves": halves}
 
         return step
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, halves array<bigint>, bins array<int>")
+    return arrow_map(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, halves array<bigint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the wanted documents."""
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, with a hint to broadcast them if a count shows that they are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def _facts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, n, sketch, shingles) of the wanted classes (id, low, h1, h2); low is a doc_id that has the text."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            return {"id": batch.column("doc_id"), "shingles": [shingle_set(t)[0].view(np.int64) for t in batch.column("text").to_pylist()]}
+            found = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            return {
+                "h1": [x[1] for x in found], "h2": [x[2] for x in found], "n": [len(x[0]) for x in found],
+                "sketch": [sketch(x[0]) for x in found], "shingles": [x[0].view(np.int64) for x in found],
+            }
 
         return step
 
-    found = docs.select("doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return arrow_map(found, make, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
+    wanted = _few(cut(wanted))
+    found = docs.select("doc_id", "text").join(wanted.select(F.col("low").alias("doc_id")), "doc_id", "left_semi")
+    sets = arrow_map(found, make, "h1 bigint, h2 bigint, n bigint, sketch array<bigint>, shingles array<bigint>")
+    # Rows of one doc_id can have several texts, and equal ones: the hashes tell which is meant.
+    return sets.join(wanted.select("id", "h1", "h2"), ["h1", "h2"]).drop("h1", "h2").dropDuplicates(["id"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union, by their full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(F.expr(f"100 * common >= {percent} * (size(x) + size(y) - common)")).select("a", "b")
+def _can(percent: int) -> str:
+    """SQL: whether sets of n and o shingles with sketches x and y can be linked."""
+    differ = "aggregate(zip_with({x}, {y}, (u, v) -> bit_count(u ^ v)), 0, (s, u) -> s + u)"
+    half = lambda x: f"zip_with(slice({x}, 1, shiftright(size({x}), 1)), slice({x}, shiftright(size({x}), 1) + 1, shiftright(size({x}), 1)), (u, v) -> u ^ v)"
+    bits = f"""CASE WHEN size(x) = size(y) THEN {differ.format(x="x", y="y")}
+        WHEN size(x) = 2 * size(y) THEN {differ.format(x=half("x"), y="y")}
+        WHEN size(y) = 2 * size(x) THEN {differ.format(x="x", y=half("y"))} ELSE 0 END"""
+    return f"100 * least(n, o) >= {percent} * greatest(n, o) AND {100 + percent} * ({bits}) <= {100 - percent} * (n + o)"
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    """(id, label): nodes with one label are connected; connected ones mostly have one label."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy("a").agg(F.least(F.min("b"), "a").alias("m"))
-    return both.join(near.select(F.col("a").alias("b"), "m"), "b").groupBy(F.col("a").alias("id")).agg(F.min("m").alias("label"))
+def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can be linked, by their sketches."""
+    left = facts.select(F.col("id").alias("a"), "n", F.col("sketch").alias("x"))
+    right = facts.select(F.col("id").alias("b"), F.col("n").alias("o"), F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(_can(percent)).select("a", "b")
 
 
-def near_links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between class representatives, enough to give every component.
+def _confirmed(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of which 100 * intersection >= percent * union, by their full sets."""
+    left = facts.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    right = facts.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b")
 
-    docs: doc_id, text. reps: id, n, halves, bins.
-    """
+
+def _members(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, id, l): classes that share a table key, with the key's leader."""
     t = tables(percent)
-    halves = reps.select("id", "n", F.slice("halves", 1, t).alias("p"), F.slice("halves", t + 1, t).alias("q"))
-    halves = halves.select("id", "n", F.posexplode("p").alias("i", "p"), "q").select("id", "n", "i", "p", F.posexplode("q").alias("j", "q"))
-    keys = halves.select(F.xxhash64("i", "p", "j", "q").alias("key"), "id", "n")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = cut(keys.join(shared, "key"))
-    sets = _sets(docs, members.select("id").distinct()).persist(StorageLevel.DISK_ONLY)
-    fits = f"100 * least(n, o) >= {percent} * greatest(n, o)"
-    leader = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("l"), F.col("n").alias("o"))).alias("s")).select("key", "s.l", "s.o")
-    stars = members.join(leader, "key").where(f"id <> l and {fits}").select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
-    stars = cut(stars)
-    edges = cut(_confirmed(stars, sets, percent))
-    now = members.join(_labels(edges), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("c"))
-    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    now = now.join(mixed, "key", "left_semi").join(reps.select("id", "halves", "bins"), "id")
-    other = now.select("key", F.col("id").alias("l"), F.col("n").alias("o"), F.col("c").alias("d"), F.col("halves").alias("halves2"), F.col("bins").alias("bins2"))
-    can = f"aggregate(zip_with(bins, bins2, (x, y) -> least(x, y)), 0, (a, x) -> a + x) * {100 + percent} >= {percent} * (n + o)"
-    at = lambda low: f"array_position(zip_with(slice(halves, {low}, {t}), slice(halves2, {low}, {t}), (x, y) -> x = y), true)"
-    first = f"key = xxhash64(cast({at(1)} - 1 as int), try_element_at(halves, cast({at(1)} as int)), cast({at(t + 1)} - 1 as int), try_element_at(halves, cast({at(t + 1)} + {t} as int)))"
-    found = now.join(other, "key").where(f"c < d and {fits} and {can} and {first}").select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b"))
-    rest = cut(found.join(stars, ["a", "b"], "left_anti"))
-    links = cut(edges.union(_confirmed(rest, sets, percent)))
-    sets.unpersist()
+    slots = classes.select("id", F.posexplode("halves").alias("i", "h")).select("id", (F.col("i") < t).alias("one"), F.xxhash64("i", "h").alias("h"))
+    repeated = cut(slots.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
+    held = slots.join(repeated, "h").groupBy("id").agg(F.collect_list(F.expr("if(one, h, null)")).alias("p"), F.collect_list(F.expr("if(one, null, h)")).alias("q"))
+    keys = cut(held.select("id", F.explode("p").alias("p"), "q").select("id", "p", F.explode("q").alias("q")).select(F.xxhash64("p", "q").alias("key"), "id"))
+    # Cut off, so that both sides of the join are plain shuffles: then a frequent key is split.
+    leader = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("id").alias("r"), "id")).alias("s")).where("m > 1").select("key", F.col("s.id").alias("l")))
+    members = cut(keys.join(leader, "key"))
+    release(repeated, keys, leader)
+    return members
+
+
+def _held(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, id, c, inside) of the keys with several components; inside: in the key's largest one."""
+    now = cut(members.select("key", "id").join(parts.toDF("id", "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+    sizes = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("s"), F.count(F.lit(1)).alias("k"))
+    mixed = cut(sizes.where("k > 1").select("key", F.col("s.c").alias("most")))
+    held = cut(now.join(mixed, "key").select("key", "id", "c", (F.col("c") == F.col("most")).alias("inside")))
+    release(now, mixed)
+    return held
+
+
+def near_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that give every component of the confirmed ones.
+
+    docs: doc_id, text. classes: id, low, h1, h2, halves.
+    """
+    members = _members(classes, percent)
+    facts = cut(_facts(docs, members.select("id").distinct().join(classes.select("id", "low", "h1", "h2"), "id")))
+    pair = [F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")]
+
+    # Every member of a bucket and its leader.
+    tried = cut(_possible(members.where("id <> l").select(*pair).distinct(), facts, percent))
+    parts = cut(connected_components(_confirmed(tried, facts, percent)))
+
+    # Every member outside the bucket's largest component and one of that component, another in each bucket.
+    held = _held(members, parts)
+    leader = cut(held.where("inside").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("r"), "id")).alias("s")).select("key", F.col("s.id").alias("l")))
+    more = held.where("not inside").join(leader, "key").select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
+    more = cut(_possible(more, facts, percent))
+    before, parts = parts, cut(connected_components(parts.union(_confirmed(more, facts, percent))))
+    release(before, held, leader)
+
+    # What is still outside and all members of other components.
+    held = _held(members, parts)
+    sketched = cut(held.join(facts.select("id", "n", "sketch"), "id").select("key", "id", "c", "inside", "n", F.col("sketch").alias("x")))
+    other = sketched.toDF("key", "l", "d", "inside2", "o", "y")
+    found = sketched.where("not inside").join(other, "key").where(f"c <> d AND (inside2 OR id < l) AND {_can(percent)}").select(*pair).distinct()
+    rest = cut(found.join(tried.union(more), ["a", "b"], "left_anti"))
+    links = cut(parts.toDF("a", "b").union(_confirmed(rest, facts, percent)))
+    release(members, facts, tried, parts, held, more, sketched, rest)
     return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    docs: doc_id (integer) and text; other columns are ignored. component_id is the smallest doc_id
-    that links of 100 * intersection >= percent * union lead to, itself included; kept says that it
-    is the row's own. Texts that are null, empty or without words have an empty set and no links.
-    A null doc_id takes no part in linking: its component is null and it is kept. Rows of one
-    doc_id are one document as far as links go: they share a component. An empty table gives none.
+    docs: doc_id (integer) and text; other columns are ignored, whatever their names. component_id is
+    the smallest doc_id that links of 100 * intersection >= percent * union lead to, itself included;
+    kept says that it is the row's own. Texts that are null, empty or without words have an empty set
+    and no links; texts of any length are taken whole. A null doc_id takes no part in linking: its
+    component is null and it is kept. Rows of one doc_id are one document as far as links go: each
+    keeps its row, links of any of their texts count, and they share a component. An empty table
+    gives none.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(signatures(docs, tables(percent)))
     able = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = able.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "halves", "bins")).alias("s"))
-    reps = cut(classes.select(F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), "s.halves", "s.bins", "h1", "h2"))
-    same = able.select("doc_id", "h1", "h2").join(reps.select("id", "h1", "h2"), ["h1", "h2"]).where("doc_id <> id").select("doc_id", "id")
-    links = near_links(docs, reps.select("id", "n", "halves", "bins"), percent)
-    parts = connected_components(links.union(same))
-    own = F.coalesce("component", "doc_id")
-    return rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    grouped = able.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("m"), F.first("halves").alias("halves"))
+    classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()))
+    low = classes.select("id", "low")
+    links = near_links(docs, classes, percent)
+    linked = links.join(low.toDF("a", "x"), "a").join(low.toDF("b", "y"), "b").select("x", "y")
+    # Classes of one document: only where a doc_id has several texts.
+    twins = cut(able.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("one"), F.max(F.struct("h1", "h2")).alias("other")).where("one <> other").select("doc_id"))
+    same = able.select("doc_id", "h1", "h2").join(twins, "doc_id").join(classes.select("h1", "h2", "low"), ["h1", "h2"]).select("doc_id", "low")
+    parts = connected_components(linked.union(same))
+    release(links)
+    named = classes.join(parts.withColumnRenamed("node", "low"), "low", "left").where("m > 1 or component is not null")
+    named = _few(cut(named.select("h1", "h2", F.coalesce("component", "low").alias("root"))))
+    release(classes)
+    found = able.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.union(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
