@@ -14,12 +14,19 @@ whose words are removed. So seeds are never paired with each other: a passage wi
 costs a million rows, not their square.
 
 A word goes exactly if a window that covers it also starts earlier; windows are judged on the input.
+Words are compared by hash: spans by 48 bits of their anchor and 64 of all their words, single windows
+by 96 bits.
+
+A document is a doc_id, or, where any doc_id stands in several rows, a doc_id with its text: rows of
+one doc_id with other texts are documents of their own, in order of a hash of the text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import compress
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
 from lodestar.llm.words import mix, spans, stretch_hashes, window_hashes, word_hashes
-from lodestar.session import cut
+from lodestar.session import cut, release
 
 SPAN, GRAM = 20, 6
 
@@ -55,8 +62,12 @@ def _words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, *spans(data)
 
 
-def _seed_rows(docs: DataFrame, span: int) -> DataFrame:
-    """(h, s, doc_id, pos): hash of an anchor, hash of its span, and place.
+def _types(docs: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+
+
+def _seed_rows(docs: DataFrame, span: int, who: list[str]) -> DataFrame:
+    """(h, s, *who, pos): hash of an anchor, hash of its span, document, and place.
 
     48 bits of the anchor's hash are enough: where two anchors share them, their spans still differ.
 
@@ -66,10 +77,12 @@ def _seed_rows(docs: DataFrame, span: int) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch) -> dict | None:
-            out: list[list] = [[], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            out: list[list] = [[], [], []]
+            counts = []
+            for text in batch.column("text").to_pylist():
                 words = word_hashes(*_words(text))
                 grams, where = anchors(words, span)
+                counts.append(0)
                 if len(where):
                     first = np.flatnonzero(np.diff(where, prepend=-1))  # windows of an anchor are neighbours
                     count = np.diff(first, append=len(where))
@@ -77,17 +90,22 @@ def _seed_rows(docs: DataFrame, span: int) -> DataFrame:
                     shape = ((at - first) << 4) | (count - 1)
                     out[0].append((grams[at] >> np.uint64(16)).view(np.int64))
                     out[1].append(mix(stretch_hashes(words, first, first + count + span - 1) + shape.astype(np.uint64)).view(np.int64))
-                    out[2].append(np.full(len(at), doc_id, dtype=np.int64))
-                    out[3].append((at << 8) | shape)
-            return dict(zip(("h", "s", "doc_id", "pos"), map(np.concatenate, out), strict=True)) if out[0] else None
+                    out[2].append((at << 8) | shape)
+                    counts[-1] = len(at)
+            return dict(zip(("h", "s", "pos"), map(np.concatenate, out), strict=True)) | _repeated(batch, who, counts) if out[0] else None
 
         return step
 
-    return arrow_map(docs, make, "h bigint, s bigint, doc_id bigint, pos bigint")
+    return arrow_map(docs.select(*who, "text"), make, f"h bigint, s bigint, {_types(docs, who)}, pos bigint")
+
 
+def _repeated(batch: pa.RecordBatch, names: list[str], counts: list[int]) -> dict:
+    """Columns of batch with each row as often as counts says."""
+    return {c: np.repeat(batch.column(c).to_numpy(), counts) for c in names}
 
-def _window_rows(seeded: DataFrame, span: int) -> DataFrame:
-    """(w1, w2, doc_id, p) for each window that the documents' seeds (array of pos) anchor.
+
+def _window_rows(seeded: DataFrame, span: int, who: list[str]) -> DataFrame:
+    """(w1, w2, *who, p) for each window that the documents' seeds (array of pos) anchor.
 
     w1 and the 32 bits of w2 come from different hashes of the words.
     """
@@ -96,22 +114,23 @@ def _window_rows(seeded: DataFrame, span: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
 
         def step(batch: pa.RecordBatch) -> dict | None:
-            out: list[list] = [[], [], [], []]
-            for doc_id, packed, seeds in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), batch.column("seeds"), strict=True):
+            out: list[list] = [[], [], []]
+            counts = []
+            for packed, seeds in zip(batch.column("packed").to_pylist(), batch.column("seeds"), strict=True):
                 data = unpack(packed) if packed is not None else b""
                 starts, ends = spans(data)
                 at = _starts(seeds.values.to_numpy())
                 at = at[at + span <= len(starts)]
+                counts.append(len(at))
                 if len(at):
                     out[0].append(stretch_hashes(word_hashes(data, starts, ends, 1), at, at + span, 1).view(np.int64))
                     out[1].append((stretch_hashes(word_hashes(data, starts, ends, 2), at, at + span, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    out[2].append(np.full(len(at), doc_id, dtype=np.int64))
-                    out[3].append(at.astype(np.int32))
-            return dict(zip(("w1", "w2", "doc_id", "p"), map(np.concatenate, out), strict=True)) if out[0] else None
+                    out[2].append(at.astype(np.int32))
+            return dict(zip(("w1", "w2", "p"), map(np.concatenate, out), strict=True)) | _repeated(batch, who, counts) if out[0] else None
 
         return step
 
-    return arrow_map(seeded, make, "w1 bigint, w2 int, doc_id bigint, p int")
+    return arrow_map(seeded.select(*who, "packed", "seeds"), make, f"w1 bigint, w2 int, {_types(seeded, who)}, p int")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -149,31 +168,35 @@ def _kept(n: int, marks: np.ndarray | None, span: int) -> np.ndarray:
     return np.cumsum(change[:n]) == 0
 
 
-def repeats(docs: DataFrame, packed: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, marks): the windows of span words that also start earlier, as pos values.
+def repeats(docs: DataFrame, packed: DataFrame, who: list[str], span: int = SPAN) -> DataFrame:
+    """(*who, marks): the windows of span words that also start earlier, as pos values.
 
-    docs: doc_id (not null) and text; packed: the same rows by _packed. A document's marks are at
-    most its own words.
+    docs: who (not null, the key of a document in its order) and text; packed: the same rows by
+    _packed. A document's marks are at most its own words.
     """
-    rows = _seed_rows(docs.select("doc_id", "text"), span)
+    rows = _seed_rows(docs, span, who)
     # Cut off, so that both sides of the join are plain shuffles: then a frequent anchor is split.
     shared = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
     seeds = cut(rows.join(shared, "h"))
-    first = seeds.groupBy("h", "s").agg(F.min(F.struct("doc_id", "pos")).alias("f")).select("h", "s", F.col("f.doc_id").alias("d0"), F.col("f.pos").alias("p0"))
-    first = cut(first)
-    whole = seeds.join(first, ["h", "s"]).where("doc_id <> d0 or pos <> p0").select("doc_id", "pos")
+    release(shared)
+    own, firsts = [F.col(c) for c in who], [F.col(f"f.{c}").alias(f"{c}_0") for c in who]
+    elsewhere = reduce(or_, (F.col(c) != F.col(f"{c}_0") for c in who))
+    first = cut(seeds.groupBy("h", "s").agg(F.min(F.struct(*who, "pos")).alias("f")).select("h", "s", *firsts, F.col("f.pos").alias("p_0")))
+    whole = seeds.join(first, ["h", "s"]).where(elsewhere | (F.col("pos") != F.col("p_0"))).select(*own, "pos")
     contested = first.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
-    edges = first.join(contested, "h").groupBy(F.col("d0").alias("doc_id")).agg(F.collect_list("p0").alias("seeds"))
+    edges = first.join(contested, "h").groupBy(*(F.col(f"{c}_0").alias(c) for c in who)).agg(F.collect_list("p_0").alias("seeds"))
     # The exchange of packed is also that of the caller's last join: texts move once.
-    windows = _window_rows(packed.join(edges, "doc_id"), span)
-    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "p")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select("w1", "w2", F.col("f.doc_id").alias("d0"), F.col("f.p").alias("p0"))
-    single = windows.join(earliest, ["w1", "w2"]).where("doc_id <> d0 or p <> p0").select("doc_id", F.shiftleft(F.col("p").cast("bigint"), 8).alias("pos"))
-    return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
+    windows = _window_rows(packed.join(edges, who), span, who)
+    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct(*who, "p")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select("w1", "w2", *firsts, F.col("f.p").alias("p_0"))
+    single = windows.join(earliest, ["w1", "w2"]).where(elsewhere | (F.col("p") != F.col("p_0"))).select(*own, F.shiftleft(F.col("p").cast("bigint"), 8).alias("pos"))
+    return whole.unionByName(single).groupBy(*who).agg(F.collect_list("pos").alias("marks"))
+
+
+ADDED = "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
 
 
-def _finished(df: DataFrame, span: int, keep_text: bool) -> DataFrame:
-    others = [c for c in df.columns if c not in ("packed", "marks")]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others), "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"])
+def _finished(df: DataFrame, others: list[str], span: int, keep_text: bool) -> DataFrame:
+    """others, and the columns of ADDED, from packed and marks."""
 
     def make():
         unpack = zstandard.ZstdDecompressor().decompress
@@ -192,25 +215,33 @@ def _finished(df: DataFrame, span: int, keep_text: bool) -> DataFrame:
 
         return step
 
-    out = arrow_map(df, make, schema)
+    out = arrow_map(df, make, ", ".join(filter(None, [_types(df, others), ADDED])))
     return out if keep_text else out.drop("kept_text")
 
 
 def substring_dedup(docs: DataFrame, span: int = SPAN, keep_text: bool = False) -> DataFrame:
     """docs without its text, with n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
-    docs: doc_id (integer), text, any other columns. The digest is that of the words left, joined by
-    one space. kept_text is that text where words went, else the text as it was (null stays null).
-    A null or empty text has no words; one of fewer than span words is never touched. A row with a
-    null doc_id has no place in the order: it is kept whole and removes nothing elsewhere. doc_id is
-    the key of a document: rows that repeat it count as one document, so none of them is an earlier
-    occurrence of another. An empty table gives an empty result.
+    docs: doc_id (integer), text, any other columns; columns with the names of the results are
+    replaced. The digest is that of the words left, joined by one space. kept_text is that text where
+    words went, else the text as it was (null stays null). A null or empty text has no words; one of
+    fewer than span words is never touched, and one of any length is taken whole. A row with a null
+    doc_id has no place in the order: it is kept whole and removes nothing elsewhere. Rows that
+    repeat doc_id and text count as one document, so none of them is an earlier occurrence of
+    another; rows of one doc_id with other texts are documents of their own, in order of a hash of
+    the text. An empty table gives an empty result.
     """
-    clean = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept_text", "marks", "packed", "seeds")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in clean)).withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")})
-    known = docs.where("doc_id is not null")
+    given = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_sha256", "kept_text")]
+    # Other columns travel under names of their own, so none can clash with those used here.
+    named = {"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")}
+    docs = docs.select(*(F.col(f"`{c}`").alias(f"given_{i}") for i, c in enumerate(given)), *(x.alias(c) for c, x in named.items()))
+    known, who = docs.where("doc_id is not null"), ["doc_id"]
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        known, who = known.withColumn("part", F.coalesce(F.xxhash64("text"), F.lit(0))), ["doc_id", "part"]
     packed = _packed(known)
-    found = repeats(known, packed, span)
+    found = repeats(known, packed, who, span)
     rest = _packed(docs.where("doc_id is null")).withColumn("marks", F.lit(None).cast("array<bigint>"))
-    whole = packed.join(found, "doc_id", "left").unionByName(rest)
-    return _finished(whole, span, keep_text)
+    whole = packed.join(found, who, "left").select(*rest.columns).unionByName(rest)
+    others = [f"given_{i}" for i in range(len(given))]
+    out = _finished(whole.select(*others, "packed", "marks"), others, span, keep_text)
+    return out.select(*(F.col(o).alias(c) for o, c in zip(others, given, strict=True)), *out.columns[len(others) :])
