@@ -22,8 +22,16 @@ from lodestar.session import BROADCAST_ROWS, cut, scratch, table
 ORACLE_SQL = None
 
 
+#: Columns that the stages work on. Others travel under names of their own, so none can clash.
+WORKED_ON = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    return docs.toDF(*[c if c in WORKED_ON else f"given_{i}" for i, c in enumerate(docs.columns)])
+
+
 def _chosen(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in verdicts, which holds each kept doc_id once."""
+    """The rows of docs whose doc_id is in verdicts (kept_id), which holds each kept doc_id once."""
     verdicts = cut(verdicts)
     if verdicts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         verdicts = F.broadcast(verdicts)
@@ -31,29 +39,59 @@ def _chosen(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def drop_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs, keep_text=True).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep.
+
+    A null, empty or short text fails the rules and goes; very long texts are judged whole; repeated
+    rows are judged alike, each for itself; a null lang or doc_id changes nothing about the row.
+    Extra columns stay as they are, whatever their names. An empty table gives an empty one.
+    """
+    own = _apart(docs)
+    return quality_rules(own, keep_text=True).where("kept").select(*own.columns).toDF(*docs.columns)
 
 
 def drop_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
-    return quality_scores(docs, table(spark, sf_dir, "labels"), keep_text=True).where("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier predicts to be good.
+
+    Null and empty texts are scored as texts without words, very long ones whole; repeated rows
+    score alike and stay or go together. Without labels of both kinds all rows have one score.
+    Extra columns stay as they are, whatever their names. An empty table gives an empty one.
+    """
+    own = _apart(docs)
+    return quality_scores(own, table(spark, sf_dir, "labels"), keep_text=True).where("predicted = 1").select(*own.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
-    return _chosen(docs, near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct())
+    """One document of each near-duplicate group: the one with the smallest doc_id.
+
+    Texts without words and rows with a null doc_id are in no group and stay; very long texts are
+    compared whole. Rows that repeat a doc_id are one document: they stay or go together. Extra
+    columns stay as they are, whatever their names. An empty table gives an empty one.
+    """
+    own = _apart(docs)
+    return _chosen(own, near_duplicates(own).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()).toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the passages that also start earlier; n_chars follows the text."""
-    out = substring_dedup(docs, keep_text=True)
+    """Every document without the passages that also start earlier; n_chars follows the text.
+
+    All rows stay. Null, empty and short texts, and rows with a null doc_id, are left as they are;
+    very long texts are searched whole. Rows that repeat doc_id and text are one document and lose
+    nothing to each other; rows of one doc_id with other texts are documents of their own. Extra
+    columns stay as they are, whatever their names. An empty table gives an empty one.
+    """
+    own = _apart(docs)
+    out = substring_dedup(own, keep_text=True)
     fields = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))}
-    return out.select(*[fields.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return out.select(*[fields.get(c, F.col(c)) for c in own.columns]).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of what is left."""
+    """The packed pieces of what is left: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is one piece of the end token alone; a very long one is cut into full pieces
+    and a last one. Rows that repeat a doc_id are packed each for itself; a null doc_id stays null.
+    Extra columns are ignored. An empty table gives an empty one.
+    """
     return packed_documents(docs, str(tokenizer_path("word_bpe_49k.json")))
 
 
@@ -66,12 +104,23 @@ STAGES = [
 ]
 
 
+def _removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over documents; each stage's output is written and read again."""
+    """The result of all stages over documents; each stage's output is written and read again.
+
+    What is written lies in the shared folder, and a stage's input is deleted once its output is
+    written. Nulls, empty and long texts, repeats and empty tables are as the stages state.
+    """
     import uuid
 
-    docs, folder = table(spark, sf_dir, "documents"), f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _removed(spark, before)
+        docs, before = spark.read.parquet(f"{folder}/{name}"), f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -44,7 +44,7 @@ def _digest(data: bytes, bits: int) -> str:
 
 def digests(docs: DataFrame, bits: int = 128, text: str = "text") -> DataFrame:
     """The columns of docs other than text, with digest and the compressed canonical bytes."""
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, "digest", "packed")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "digest string", "packed binary"])
 
     def make():
@@ -81,8 +81,12 @@ def resolved(rows: DataFrame, clashes: DataFrame, names: dict[str, str]) -> Data
 
 
 def fingerprints(docs: DataFrame, bits: int = 128, text: str = "text") -> DataFrame:
-    """docs without its text, with fingerprint. bits: width of the digest (fewer only in tests)."""
-    kept = [c for c in docs.columns if c != text]
+    """docs without its text, with fingerprint. bits: width of the digest (fewer only in tests).
+
+    Null, empty and repeated texts, ties and empty tables as stated above; texts of any length are
+    taken whole. Columns named fingerprint or sha are replaced; all others stay as they are.
+    """
+    kept = [c for c in docs.columns if c not in (text, "fingerprint", "sha", "_clash")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "fingerprint string", "sha binary"])
 
     def make():

@@ -5,30 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import cut, release
+from lodestar.session import BROADCAST_ROWS, cut, release
 
 
-def _with_minimum(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges with m, the smallest v of its u in pairs; and what is to be released after use.
+def _minima(pairs: DataFrame, few: bool, used: list[DataFrame]) -> DataFrame:
+    """(u, m): the smallest v of each u, in a form for joins that never hold a hub's edges in one task.
 
-    The minima are cut off first, so that both sides of the join are plain shuffles: then the edges
-    of a hub are split over tasks.
+    Few rows are broadcast. Many are cut off, so that both sides of the join are plain shuffles, whose
+    large partitions are split; used gets them.
     """
-    least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")))
-    return edges.join(least, "u"), least
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    if few:
+        return F.broadcast(least)
+    used.append(cut(least))
+    return used[-1]
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every node links its larger neighbours to its smallest neighbour (or itself)."""
+def _round(edges: DataFrame, few: bool) -> DataFrame:
+    """Every node links its larger neighbours, then its smaller ones and itself, to its smallest neighbour."""
+    used: list[DataFrame] = []
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined, least = _with_minimum(both, both)
-    return joined.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v"), least
-
-
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every node links its smaller neighbours and itself to the smallest of them."""
-    joined, least = _with_minimum(edges, edges)
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), least
+    large = both.join(_minima(both, few, used), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
+    if not few:
+        large = cut(large)
+        used.append(large)
+    least = _minima(large, few, used)
+    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
+    out = cut(small.distinct())
+    release(edges, *used)
+    return out
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
@@ -49,11 +54,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns[:2]
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
+    few = now.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     while not _is_forest_of_stars(now):
-        large, first = _large_star(now)
-        large = cut(large)
-        small, second = _small_star(large)
-        before, now = now, cut(small)
-        release(before, first, large, second)
+        now = _round(now, few)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

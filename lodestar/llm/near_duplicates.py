@@ -174,11 +174,11 @@ def _members(classes: DataFrame, percent: int) -> DataFrame:
 
 def _held(members: DataFrame, parts: DataFrame) -> DataFrame:
     """(key, id, c, inside) of the keys with several components; inside: in the key's largest one."""
-    now = cut(members.select("key", "id").join(parts.toDF("id", "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+    now = members.select("key", "id").join(parts.toDF("id", "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     sizes = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("s"), F.count(F.lit(1)).alias("k"))
     mixed = cut(sizes.where("k > 1").select("key", F.col("s.c").alias("most")))
     held = cut(now.join(mixed, "key").select("key", "id", "c", (F.col("c") == F.col("most")).alias("inside")))
-    release(now, mixed)
+    release(mixed)
     return held
 
 
@@ -208,9 +208,9 @@ def near_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sketched = cut(held.join(facts.select("id", "n", "sketch"), "id").select("key", "id", "c", "inside", "n", F.col("sketch").alias("x")))
     other = sketched.toDF("key", "l", "d", "inside2", "o", "y")
     found = sketched.where("not inside").join(other, "key").where(f"c <> d AND (inside2 OR id < l) AND {_can(percent)}").select(*pair).distinct()
-    rest = cut(found.join(tried.union(more), ["a", "b"], "left_anti"))
+    rest = found.join(tried.union(more), ["a", "b"], "left_anti")
     links = cut(parts.toDF("a", "b").union(_confirmed(rest, facts, percent)))
-    release(members, facts, tried, parts, held, more, sketched, rest)
+    release(members, facts, tried, parts, held, more, sketched)
     return links
 
 

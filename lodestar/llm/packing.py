@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,9 @@ from lodestar.llm.arrow import arrow_map
 from lodestar.llm.encoding import word_encoder
 from lodestar.session import cut
 
-CAPACITY, END, SHARD_ITEMS, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 1, 6000, 2, 2, 6, 4
+CAPACITY, END, SHARD_ITEMS = 4096, 1, 6000
+#: The search ends early where the number of bins is the least possible.
+ISLANDS, ROUNDS, GENERATIONS, POPULATION = 3, 2, 20, 8
 #: A bin with at most this share of free room is well filled and leaves the game.
 WELL_FILLED = 1 / 256
 
@@ -74,11 +76,27 @@ def fitness(packing: tuple[list[list[int]], list[int]], capacity: int) -> tuple[
     return len(packing[1]), -sum((x / capacity) ** 2 for x in packing[1])
 
 
+def exchanged(bins: list[list[int]], loads: list[int], loose: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Fills bins by giving up a piece for a larger displaced one that still fits; returns what is displaced then."""
+    order = sorted((sizes[i], i) for i in loose)
+    for b, items in enumerate(bins):
+        for at, item in enumerate(items):
+            if not (room := capacity - loads[b]):
+                break
+            k = bisect_right(order, (sizes[item] + room, len(sizes))) - 1
+            if k >= 0 and order[k][0] > sizes[item]:
+                size, other = order.pop(k)
+                insort(order, (sizes[item], item))
+                loads[b] += size - sizes[item]
+                items[at] = other
+    return [i for _, i in order]
+
+
 def crossover(one, other, sizes: list[int], capacity: int, dice: random.Random):
     """A child of one with some of the well-filled bins of other."""
-    order = sorted(range(len(other[1])), key=lambda b: -other[1][b])
+    order = sorted(range(len(other[1])), key=lambda b: (-other[1][b], dice.random()))
     pool = order[: max(1, len(order) // 2)]
-    taken = dice.sample(pool, max(1, len(pool) // 5))
+    taken = dice.sample(pool, max(1, int(len(pool) * dice.uniform(0.1, 0.6))))
     inside = {item for b in taken for item in other[0][b]}
     bins, loads, loose = [], [], []
     for items, load in zip(*one, strict=True):
@@ -87,10 +105,13 @@ def crossover(one, other, sizes: list[int], capacity: int, dice: random.Random):
             loads.append(load)
         else:
             loose += [i for i in items if i not in inside]
-    emptiest = sorted(range(len(loads)), key=loads.__getitem__)[: max(1, len(loads) // 20)]  # mutation: these start anew
-    for b in sorted(emptiest, reverse=True):
+    # Mutation: the emptiest bins, and some others, start anew.
+    few = max(1, len(loads) // 20)
+    anew = set(sorted(range(len(loads)), key=loads.__getitem__)[:few]) | set(dice.sample(range(len(loads)), min(len(loads), few)))
+    for b in sorted(anew, reverse=True):
         loose += bins.pop(b)
         loads.pop(b)
+    loose = exchanged(bins, loads, loose, sizes, capacity)
     for b in taken:
         bins.append(list(other[0][b]))
         loads.append(other[1][b])
@@ -104,10 +125,10 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites=(), generations: i
     bound = -(-sum(sizes) // capacity)
     people = list(elites)
     while len(people) < population:
-        noise = [0.0 if not people else dice.gauss(0, 0.02) for _ in range(n)]
+        spread = 0.0 if not people else 0.02 * 2 ** (len(people) % 5)
         bins: list[list[int]] = []
         loads: list[int] = []
-        best_fit(bins, loads, sorted(range(n), key=lambda i: (-sizes[i] * (1 + noise[i]), i)), sizes, capacity)
+        best_fit(bins, loads, sorted(range(n), key=lambda i: (-sizes[i] * (1 + dice.gauss(0, spread)), i)), sizes, capacity)
         people.append((bins, loads))
         if len(loads) == bound:
             break
@@ -119,7 +140,8 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites=(), generations: i
         for _ in range(population // 2):
             one, other = dice.sample(people, 2) if len(people) > 1 else (people[0], people[0])
             people.append(crossover(one, other, sizes, capacity, dice))
-        people = sorted(people, key=key)[:population]
+        alike = {key(p): p for p in reversed(people)}  # one of each fitness, so that parents differ
+        people = [alike[k] for k in sorted(alike)][:population]
     return people[0]
 
 
@@ -174,15 +196,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
         rows = cut(_packed(left, shards, capacity, level))
         name = (F.lit(level).cast("bigint") * F.lit(1 << 54) + F.col("shard").cast("bigint") * F.lit(1 << 14) + F.col("bin")).alias("sequence_id")
         full = F.col("load") >= capacity * (1 - WELL_FILLED)
-        left = rows.where(~full).select("item", "length")
-        n, before = left.count(), n
-        # The pool halves at least, or its pieces cannot be filled up and this level is the last.
-        last = shards == 1 or n > before // 2
-        now = rows.where(F.lit(last) | full).select("item", name)
+        if shards > 1 and rows.where(~full).count() > n // 2:
+            # Such pieces cannot be filled up: what is in bins at least half full stays there. Of the
+            # others best fit leaves one in a shard, and those of all shards meet on the next level.
+            full = 2 * F.col("load") >= capacity
+        full = F.lit(shards == 1) | full
+        now = rows.where(full).select("item", name)
         done = now if done is None else done.unionByName(now)
-        if last:
-            break
-        level += 1
+        left, level = rows.where(~full).select("item", "length"), level + 1
+        n = left.count()
     return done if done is not None else items.select("item", F.lit(0).cast("bigint").alias("sequence_id"))
 
 
@@ -190,7 +212,8 @@ def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY)
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each document.
 
     A null or empty text is END alone. Only documents longer than capacity are cut, into pieces of
-    capacity and a last one that may be shorter. Rows that repeat a doc_id are documents of their
+    capacity and a last one that may be shorter; texts of any length are taken whole. Of pieces of
+    one length the one with the smaller item number is placed first. Rows that repeat a doc_id are documents of their
     own; a null doc_id stays null. Offsets follow (doc_id, piece) inside a sequence. An empty table
     gives an empty result. Columns other than doc_id and text are ignored.
     """

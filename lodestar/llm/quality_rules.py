@@ -4,8 +4,8 @@ References: over all documents of a language, the share of each character class
 word are summed (a partial sum in every batch, then one small aggregate). Junk in the corpus shifts
 these sums, so they are taken a second time over the documents that are near the first ones. A document's distance to a
 language is the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) of its two
-histograms; it is held against the nearest language, so a wrong lang value does no harm. Documents
-with too few words are left alone by the method: their histograms say little.
+histograms; it is held against the nearest language, so a wrong lang value does no harm. A histogram
+of too few characters or words says little and is left out of the verdict.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ COMMON = {
 }
 #: Language of the reference over all other documents.
 OTHER = "*"
-MIN_WORDS = 30
+#: Least characters and words of a histogram that is held against its limit.
+MIN_CHARACTERS, MIN_WORDS = 200, 60
 MAX_CHARACTERS, MAX_COMMON = 0.14, 0.38
 #: Limits for a document to count in the second references.
 NEAR_CHARACTERS, NEAR_COMMON = 0.20, 0.36
@@ -45,6 +46,12 @@ def _class_table() -> np.ndarray:
 
 
 _CLASS = _class_table()
+#: Ranges of code points above 255 that are no letters (first, last, class).
+_RANGES = [
+    (0x2000, 0x200B, 3), (0x2010, 0x2027, 6), (0x2028, 0x2029, 3), (0x202F, 0x202F, 3), (0x2030, 0x205E, 6), (0x205F, 0x205F, 3), (0x20A0, 0x20CF, 8),
+    (0x2190, 0x2BFF, 8), (0x3000, 0x3000, 3), (0x3001, 0x3003, 6), (0x3008, 0x3011, 6), (0xE000, 0xF8FF, 8), (0xFE00, 0xFE0F, 8), (0xFF01, 0xFF0F, 6), (0xFFFD, 0xFFFD, 8), (0x1F000, 0x1FAFF, 8),
+]
+_FIRST, _LAST, _KIND = (np.array(x) for x in zip(*_RANGES, strict=True))
 _VOCABULARY = sorted({w for words in COMMON.values() for w in words.split()})
 _PLACE = {w.encode(): i for i, w in enumerate(_VOCABULARY)}
 
@@ -57,7 +64,11 @@ def histograms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer((text or "").encode("utf-32-le"), dtype=np.uint32)
     low = points[points < 256]
     classes = np.bincount(_CLASS[low], minlength=CLASSES)
-    classes[7] += len(points) - len(low)
+    if len(low) < len(points):
+        high = points[points >= 256]
+        at = np.maximum(np.searchsorted(_FIRST, high, side="right") - 1, 0)
+        inside = (high >= _FIRST[at]) & (high <= _LAST[at])
+        classes += np.bincount(np.where(inside, _KIND[at], 7), minlength=CLASSES)
     classes[2] = 0
     counts, place, rest = np.zeros(len(_VOCABULARY) + 1, dtype=np.int64), _PLACE.get, len(_VOCABULARY)
     for word in (text or "").lower().encode().split():
@@ -166,10 +177,12 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 def quality_rules(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """The columns of docs (text only if asked for), with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, character_distance, word_distance.
 
-    docs: text, lang and any others. base_failed: fewer than 50 words, or more than half of them in
-    repeated 3-word windows. kept: not base_failed, and, with MIN_WORDS words or more, neither
-    distance to the nearest language above its limit. A null text is an empty one (0 words, fails
-    the base). Repeated rows each keep their row. Without documents there is no reference and no row.
+    docs: text, lang and any others; columns with the names of the results are replaced. base_failed:
+    fewer than 50 words, or more than half of them in repeated 3-word windows. kept: not base_failed,
+    and neither distance to the nearest language above its limit; the distance of characters counts
+    from MIN_CHARACTERS counted characters on, that of words from MIN_WORDS words on, else it is null.
+    A null text is an empty one (0 words, fails the base); very long texts are read whole. Repeated
+    rows each keep their row. Without documents there is no reference and no row.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "character_distance", "word_distance"]
     docs = docs.drop(*added).withColumns({"text": F.col("text").cast("string"), "lang": F.col("lang").cast("string")})
@@ -184,10 +197,12 @@ def quality_rules(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             counts = base_counts(text)
             n, repeated = counts[0], counts[4]
             failed = n < 50 or 100 * repeated > 50 * n
-            if n < MIN_WORDS or languages is None:
+            if languages is None:
                 return *counts, failed, not failed, None, None
-            far = languages.nearest(histograms(text))
-            return *counts, failed, not failed and far[0] <= MAX_CHARACTERS and far[1] <= MAX_COMMON, *far
+            pair = histograms(text)
+            x, y = languages.nearest(pair)
+            x, y = x if pair[0].sum() >= MIN_CHARACTERS else None, y if n >= MIN_WORDS else None
+            return *counts, failed, not (failed or (x is not None and x > MAX_CHARACTERS) or (y is not None and y > MAX_COMMON)), x, y
 
         def step(batch: pa.RecordBatch) -> dict:
             rows = [one(t) for t in batch.column("text").to_pylist()]
