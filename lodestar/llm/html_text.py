@@ -1,17 +1,21 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped and every block of the page becomes a line. A line weighs its text length, or
-nothing if it is mostly links or stands in boilerplate (navigation, page header and footer, sidebars,
-forms, notices, adverts, reader comments). Sums over sliding windows of WINDOW lines give the
-distribution: a surge point opens a stretch where a sum reaches SURGE, a dive point closes it where
-the sum falls to nothing. The text between surges and dives is kept. Where the page marks its
-article, lines inside weigh SURGE at least and lines outside nothing.
+Markup is stripped and every block of the page becomes a line. A line weighs the length of its text;
+markup only shifts weights: a line of a marked article weighs INSIDE times its length, one outside it
+an OUTSIDE-th, and a line of boilerplate (navigation, page header and footer, sidebars, forms, notices,
+adverts, reader comments) or, where no article is marked, of links mostly, weighs nothing. Boilerplate
+inside the article is stripped with the markup, so it opens no gap there. Sums over sliding windows of
+WINDOW lines give the distribution: it surges where a sum reaches SURGE and dives where one falls to
+nothing. The stretches between two dives that hold a surge are kept, or the heaviest one if none surges.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,15 +23,19 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
 
-WINDOW, SURGE = 3, 80
+WINDOW, SURGE, INSIDE, OUTSIDE = 3, 80, 4, 80
 #: Elements by their part in a page.
 BLOCKS = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 HOLDERS = set("article aside blockquote button details dialog div dl fieldset figure footer form header main menu nav ol section select span table ul".split())
 BOILERPLATE = set("aside button dialog footer form menu nav select".split())
 ARTICLES = {"article", "main"}
 MARKS = set("ad ads adsense advert advertisement advertisements adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar navigation newsletter notice notification popup promo promotion related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head(?:\s[^>]*)?>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>|<![^>]*>|<\?[^>]*>", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>")
+#: Every alternative can end at the end of the page, so no search starts twice over the same text.
+_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|object|title)\b[^>]*(?:>|\Z).*?(?:</\1[^>]*(?:>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_BARE = re.compile(r"([^>]*+)>")
+_NUMBER = re.compile(r"&#([xX]?)0*+([0-9a-fA-F]{8})[0-9a-fA-F]*+")
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 #: Words before a mark that only say whose it is.
@@ -61,100 +69,153 @@ def _is_marked(name: str, own: dict[str, str], in_article: bool) -> bool:
     return False
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of every tag, in one pass.
+
+    A tag whose quotes never close ends at the next >, and from there on quotes count for nothing.
+    """
+    at, rest = 0, _REST
+    while head := _OPEN.search(page, at):
+        body = rest.match(page, head.end())
+        if body is None and rest is _REST:
+            rest = _BARE
+            body = rest.match(page, head.end())
+        if body is None:
+            return
+        at = body.end()
+        yield head.start(), at, bool(head[1]), head[2].lower(), body[1]
+
+
+def _plain(text: str) -> str:
+    """text with character references decoded (of a number its first eight digits) and white space folded."""
+    return " ".join(html.unescape(_NUMBER.sub(r"&#\1\2", text)).split())
+
+
+class _Place(NamedTuple):
+    """An open element: what holds for a line in it. Chains number the marked tags around it, 0: none."""
+
+    name: str
+    boilerplate: bool
+    article: bool
+    marks: int
+    above: int
+    below: bool
+
+
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, letters inside links, boilerplate, inside the article) of each block with text.
 
-    A mark on an element that is or holds the article does not count.
+    A mark on an element that is or holds the article does not count. The time grows with the length
+    of the page, however its tags are nested or broken.
     """
     page = _DROPPED.sub(" ", page)
-    found: list[tuple[str, int, bool, bool, tuple[int, ...], bool]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # element, boilerplate, article, place of a marked tag or -1
+    found: list[tuple[str, int, _Place]] = []
+    stack, opened, chains = [_Place("", False, False, 0, 0, False)], Counter(), [0]
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
     def close() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            inner = max((k for k, e in enumerate(stack) if e[2]), default=-1)
-            above, below = tuple(e[3] for e in stack[: inner + 1] if e[3] >= 0), any(e[3] >= 0 for e in stack[inner + 1 :])
-            found.append((text, linked, any(e[1] for e in stack), inner >= 0, above, below))
+        if text := _plain("".join(parts)):
+            found.append((text, linked, stack[-1]))
         parts.clear()
         linked = 0
 
-    for tag in _TAG.finditer(page):
-        if tag.start() > at:
-            piece = page[at : tag.start()]
+    for start, end, ends, name, attributes in _tags(page):
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             linked += len(piece.strip()) if in_link else 0
-        at = tag.end()
-        ends, name, attributes = bool(tag[1]), tag[2].lower(), tag[3]
+        at = end
         if name == "a":
             in_link = not ends
         if name in BLOCKS:
             close()
-        if name in HOLDERS:
-            if ends:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-            elif not attributes.rstrip().endswith("/"):
-                in_article, own = any(e[2] for e in stack), _own(attributes)
-                stack.append((name, _is_boilerplate(name, own, in_article), name in ARTICLES, tag.start() if _is_marked(name, own, in_article) else -1))
+        if name not in HOLDERS:
+            continue
+        if ends:
+            while opened[name]:
+                last = stack.pop().name
+                opened[last] -= 1
+                if last == name:
+                    break
+        elif not attributes.rstrip().endswith("/"):
+            up, own = stack[-1], _own(attributes)
+            marked, article = _is_marked(name, own, up.article), name in ARTICLES
+            marks = up.marks
+            if marked:
+                chains.append(up.marks)
+                marks = len(chains) - 1
+            stack.append(_Place(name, up.boilerplate or _is_boilerplate(name, own, up.article), up.article or article, marks, marks if article else up.above, not article and (up.below or marked)))
+            opened[name] += 1
     parts.append(page[at:])
     close()
-    spared = _spared(found)
-    return [(text, linked, boiler or below or not spared.issuperset(above), article) for text, linked, boiler, article, above, below in found]
+    spared = _spared(found, chains)
+    return [(text, linked, p.boilerplate or p.below or p.above not in spared, p.article) for text, linked, p in found]
 
 
-def _spared(found: list) -> set[int]:
-    """Marked tags that are or hold the article: the one under the fewest marks that has text enough.
+def _spared(found: list[tuple[str, int, _Place]], chains: list[int]) -> set[int]:
+    """Marked tags that are or hold the article: those around the article under the fewest marks that has text enough.
 
-    Articles under marks stay dropped where the page says more without them (readers' comments).
+    chains: the next marked tag outside of each. Articles under marks stay dropped where the page says
+    more without them (readers' comments).
     """
-    sizes: dict[tuple[int, ...], int] = {}
+    sizes: dict[int, int] = {}
     other = 0
-    for text, _, boiler, article, above, below in found:
-        if not boiler and not below:
-            if article:
-                sizes[above] = sizes.get(above, 0) + len(text)
-            other += 0 if above else len(text)
-    best = min(sizes, key=lambda above: (sizes[above] < SURGE, len(above), above), default=())
-    return set(best) if best and sizes[best] > other else set()
-
-
-def surges(weights: list[int]) -> list[tuple[int, int]]:
-    """Stretches [start, end) of lines between a surge and the next dive of the window sums."""
-    out, n, start = [], len(weights), None
-    for i in range(n + 1):
-        total = sum(weights[i : i + WINDOW])
-        if start is None:
-            if total >= SURGE and weights[i] > 0:
-                start = i
-        elif total == 0:
-            out.append((start, i))
-            start = None
-    if start is not None:
-        out.append((start, n))
+    for text, _, place in found:
+        if not place.boilerplate and not place.below:
+            if place.article:
+                sizes[place.above] = sizes.get(place.above, 0) + len(text)
+            other += 0 if place.above else len(text)
+    depth = [0]
+    for outer in chains[1:]:
+        depth.append(depth[outer] + 1)
+    best = min(sizes, key=lambda above: (sizes[above] < SURGE, depth[above], above), default=0)
+    out = {0}
+    if best and sizes[best] > other:
+        while best:
+            out.add(best)
+            best = chains[best]
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The main text: blocks in page order joined by line feeds; empty if there is none."""
-    found = lines(page or "")
+def stretches(weights: list[int]) -> list[tuple[int, int]]:
+    """Stretches [start, end) of lines between dives of the window sums that surge; the heaviest one if none does."""
+    out: list[tuple[int, int, int, int]] = []
+    total, start, peak, mass = sum(weights[:WINDOW]), None, 0, 0
+    for i in range(len(weights) + 1):
+        if total and i < len(weights):
+            if start is None:
+                start, peak, mass = i, 0, 0
+            peak, mass = max(peak, total), mass + weights[i]
+        elif start is not None:
+            out.append((start, i, peak, mass))
+            start = None
+        if i < len(weights):
+            total += (weights[i + WINDOW] if i + WINDOW < len(weights) else 0) - weights[i]
+    kept = [(a, b) for a, b, peak, _ in out if peak >= SURGE]
+    return kept or [(a, b) for a, b, _, mass in sorted(out, key=lambda s: (-s[3], s[0]))[:1]]
+
+
+def weighed(found: list[tuple[str, int, bool, bool]]) -> list[tuple[str, int]]:
+    """(text, weight) of the lines of the distribution."""
     marked = any(article and not boiler for _, _, boiler, article in found)
-    weights = []
+    out = []
     for text, linked, boiler, article in found:
-        if boiler or marked and not article or not marked and 2 * linked > len(text):
-            weights.append(0)
+        if boiler:
+            if not (marked and article):
+                out.append((text, 0))
+        elif marked:
+            out.append((text, INSIDE * len(text) if article else len(text) // OUTSIDE))
         else:
-            weights.append(max(SURGE, len(text)) if marked else len(text))
-    stretches = surges(weights)
-    if not stretches and any(weights):  # no surge in a short page: its heaviest window
-        top = max(range(len(weights)), key=lambda i: (sum(weights[i : i + WINDOW]), -i))
-        stretches = [(top, top + WINDOW)]
-    return "\n".join(found[i][0] for a, b in stretches for i in range(a, min(b, len(found))) if weights[i])
+            out.append((text, 0 if 2 * linked > len(text) else len(text)))
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The main text: blocks in page order joined by line feeds; empty if there is none."""
+    rows = weighed(lines(page or ""))
+    return "\n".join(rows[i][0] for a, b in stretches([w for _, w in rows]) for i in range(a, b) if rows[i][1])
 
 
 def extract(pages: DataFrame) -> DataFrame:

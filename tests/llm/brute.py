@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -96,3 +97,71 @@ def edited(docs: dict) -> dict:
         k = len(own) // 2
         out[d] = (len(own), hashlib.sha256((own[: len(own) - k] + following[:k]).encode()).hexdigest())
     return out
+
+
+class Page(HTMLParser):
+    """(text, letters inside links, boilerplate, inside the article) of each block, by the library's parser.
+
+    For pages without a mark around their article.
+    """
+
+    def __init__(self, words):
+        super().__init__()
+        self.words, self.found, self.open, self.text, self.linked, self.link, self.skipped = words, [], [], "", 0, False, None
+
+    def close_block(self):
+        if text := " ".join(self.text.split()):
+            self.found.append((text, self.linked, any(e[1] for e in self.open), any(e[0] in self.words.ARTICLES for e in self.open)))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if self.skipped or tag in ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "object", "title"):
+            self.skipped = self.skipped or tag
+            return
+        self.link = True if tag == "a" else self.link
+        if tag in self.words.BLOCKS:
+            self.close_block()
+        if tag in self.words.HOLDERS:
+            own, inside = {k: v or "" for k, v in attrs}, any(e[0] in self.words.ARTICLES for e in self.open)
+            self.open.append((tag, self.words._is_boilerplate(tag, own, inside) or self.words._is_marked(tag, own, inside)))
+
+    def handle_endtag(self, tag):
+        if self.skipped:
+            self.skipped = None if tag == self.skipped else self.skipped
+            return
+        self.link = False if tag == "a" else self.link
+        if tag in self.words.BLOCKS:
+            self.close_block()
+        if tag in [e[0] for e in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.text += data
+            self.linked += len(data.strip()) if self.link else 0
+
+
+def main_text(page, words) -> str:
+    """Main text by window sums taken one by one; words: the operator's module, for its fixed words and numbers."""
+    parser = Page(words)
+    parser.feed(page or "")
+    parser.close()
+    parser.close_block()
+    marked = any(article and not boiler for _, _, boiler, article in parser.found)
+    rows = []
+    for text, linked, boiler, article in parser.found:
+        if marked and boiler and article:
+            continue
+        plain = 0 if 2 * linked > len(text) else len(text)
+        rows.append((text, 0 if boiler else plain if not marked else words.INSIDE * len(text) if article else len(text) // words.OUTSIDE))
+    sums = [sum(w for _, w in rows[i : i + words.WINDOW]) for i in range(len(rows))]
+    runs, now = [], []
+    for i in [*range(len(rows)), None]:
+        if i is not None and sums[i]:
+            now.append(i)
+        elif now:
+            runs.append(now)
+            now = []
+    kept = [r for r in runs if max(sums[i] for i in r) >= words.SURGE] or sorted(runs, key=lambda r: -sum(rows[i][1] for i in r))[:1]
+    return "\n".join(rows[i][0] for r in kept for i in r if rows[i][1])

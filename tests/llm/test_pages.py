@@ -1,11 +1,14 @@
 """URL filters, HTML extraction and connected components."""
 
 import random
+import time
 
+import duckdb
 import pytest
 
 from lodestar.llm import html_text, queries, urls
 from lodestar.llm.graph import connected_components
+from tests.llm import brute
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -94,3 +97,30 @@ def test_extract(spark, data):
     assert html_text.extract(pages.limit(0)).count() == 0
     whole = html_text.extract(spark.read.parquet(f"{data}/pages.parquet"))
     assert whole.where("n_chars = 0").count() == 0 and whole.where("text like '%track(%' or text like '%©%'").count() == 0
+
+
+def test_every_page_beside_a_plain_version(data):
+    rows = duckdb.sql(f"SELECT html FROM read_parquet('{data.replace('0.001', '0.1')}/pages.parquet')").fetchall()
+    assert len(rows) > 2000
+    for (page,) in rows:
+        assert html_text.main_text(page) == brute.main_text(page, html_text)
+
+
+def test_the_distribution_decides():
+    """Tags shift weights; what does not surge goes, what surges stays, marked or not."""
+    words = "Plain running text of a page that says enough to count as its main part. " * 3
+    menu = "<ul class=menu><li>one<li>two<li>three<li>four</ul>"
+    assert html_text.main_text(f"<article><p>{words}</p></article>{menu}<article><p>tail</p></article>") == words.strip()
+    assert html_text.main_text(f"<article><p>a</p><div class=ad>x</div><div class=ad>y</div><div class=ad>z</div><p>{words}</p></article>") == "a\n" + words.strip()
+    assert html_text.main_text(f"<div><p>So.</p><p>{words}</p><p>End.</p></div>{menu}<p>far</p>") == f"So.\n{words.strip()}\nEnd."
+    assert html_text.main_text(f"<article><p>{words}</p></article><p>{'word ' * 2000}</p>") == f"{words.strip()}\n{('word ' * 2000).strip()}"
+    assert html_text.main_text(f"<article><p>{words}</p></article><p>posted today</p>") == words.strip()
+    assert html_text.stretches([]) == [] and html_text.stretches([0, 0]) == []
+    assert html_text.stretches([0, 0, 5, 0, 0, 0, 70, 0, 10, 0, 0, 0, 7]) == [(4, 9)]
+
+
+@pytest.mark.parametrize("page", ["<a href=\"x " * 90_000, "<div>x" * 160_000, "<!" * 500_000, "<div class=ad>x" * 60_000, "<div>" * 90_000 + "</ul>" * 90_000, "<script " * 120_000, "<title>" * 140_000, "<p title='a\">x</p>" * 50_000, "&#" + "9" * 900_000])
+def test_long_broken_pages(page):
+    began = time.monotonic()
+    html_text.main_text(page)
+    assert time.monotonic() - began < 30
