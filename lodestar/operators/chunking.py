@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sizes of passages, windows and sections.
-PASSAGE, WINDOW_LINES, OVERLAP, LONGEST, SECTION_LINES, SMALL_SECTION = 1200, 60, 10, 80, 60, 120
+PASSAGE, WINDOW_LINES, OVERLAP, LONGEST, SMALL_SECTION = 1200, 60, 10, 80, 120
 
 
 def assemble_threads(turns: DataFrame) -> DataFrame:
@@ -24,21 +28,37 @@ def pages(threads: DataFrame, size: int) -> DataFrame:
     return rows.select("conv_id", "page", F.substring("body", (F.col("page") * size + 1).cast("int"), F.lit(size)).alias("text"), F.when(after < F.length("body"), after).alias("next_offset"))
 
 
-def passages(spark, threads: DataFrame) -> DataFrame:
+def _passages(body: str) -> Iterator[tuple[int, str]]:
+    """(offset, text) of the passages of one thread."""
+    parts = re.split(r"\n\n(?=--- )", body)
+    at = 0
+    for i, part in enumerate(parts):
+        end = at + len(part) + (2 if i < len(parts) - 1 else 0)
+        while at < end:
+            feed = body.rfind("\n", at + PASSAGE // 2, at + PASSAGE) if end - at > PASSAGE else -1
+            upto = min(end, feed if feed >= 0 else at + PASSAGE)
+            if text := body[at:upto].strip(" \t\n\x0b\f\r"):
+                yield at, text
+            at = upto
+
+
+def passages(threads: DataFrame) -> DataFrame:
     """(id, offset, text) of threads (id, body) longer than PASSAGE: a passage for each comment.
 
     Long comments are cut at their last line feed after half a passage, else hard. Positions count
-    from 0 and point at the text before stripping; passages without text are left out.
+    from 0 and point at the text before stripping; passages without text are left out. Where a cut
+    falls depends on the one before it, so a thread is cut in one pass over its own text.
     """
-    parts = F.split("body", r"\n\n(?=--- )")
-    sized = threads.where(F.length("body") > PASSAGE).select("id", F.transform(parts, lambda p, i: F.struct((F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.length(x)) + 2 * i).alias("at"), F.concat(p, F.when(i < F.size(parts) - 1, "\n\n").otherwise("")).alias("p"))).alias("parts"))
-    sized.select("id", F.explode("parts").alias("s")).select("id", F.col("s.at").alias("at"), F.col("s.p").alias("p")).createOrReplaceTempView("lodestar_segments")
-    taken = f"""CASE WHEN length(p) > {PASSAGE} THEN
-        CASE WHEN instr(reverse(substring(p, {PASSAGE // 2} + 1, {PASSAGE // 2})), '\\n') > 0 THEN {PASSAGE} - instr(reverse(substring(p, {PASSAGE // 2} + 1, {PASSAGE // 2})), '\\n') ELSE {PASSAGE} END ELSE length(p) END"""
-    return spark.sql(f"""WITH RECURSIVE cut(id, at, p, size) AS (
-        SELECT id, at, p, {taken} FROM lodestar_segments
-        UNION ALL SELECT id, at + size, rest, {taken.replace("(p", "(rest").replace("p,", "rest,")} FROM (SELECT id, at, size, substring(p, size + 1) AS rest FROM cut WHERE length(p) > size))
-      SELECT id, at AS offset, regexp_replace(substring(p, 1, size), '^\\\\s+|\\\\s+$', '') AS text FROM cut WHERE regexp_replace(substring(p, 1, size), '^\\\\s+|\\\\s+$', '') <> ''""")
+    kind = threads.schema["id"].dataType
+
+    def run(batches):
+        for batch in batches:
+            for i, body in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                found = list(_passages(body))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), batch.schema.field("id").type), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], names=["id", "offset", "text"])
+
+    return threads.where(F.length("body") > PASSAGE).select("id", "body").mapInArrow(run, f"id {kind.simpleString()}, offset bigint, text string")
 
 
 def line_windows(start: Column, end: Column) -> Column:
@@ -80,6 +100,15 @@ def sections(lines: DataFrame) -> DataFrame:
     return found.unionByName(first, allowMissingColumns=True).join(last, "path").select("path", "title", "start", F.coalesce(F.lead("start").over(order) - 1, "n").alias("end"))
 
 
+def sized(sections: DataFrame, lines: DataFrame) -> DataFrame:
+    """sections (path, start, end, ...) with size, the letters of their lines, from running sums over each path."""
+    n = F.length("text").cast("bigint")
+    upto = F.sum(n).over(Window.partitionBy("path").orderBy("line"))
+    sums = lines.select("path", "line", upto.alias("upto"), (upto - n).alias("before"))
+    first, last = sums.select("path", F.col("line").alias("start"), "before"), sums.select("path", F.col("line").alias("end"), "upto")
+    return sections.join(first, ["path", "start"]).join(last, ["path", "end"]).withColumn("size", F.col("upto") - F.col("before")).drop("upto", "before")
+
+
 def merge_small(rows: DataFrame) -> DataFrame:
     """Sections (path, title, start, end, size) with those below SMALL_SECTION carried into the next.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +11,30 @@ from pyspark.sql import functions as F
 RESAMPLES, SEED, SOLVED = 5000, 7, 0.5
 
 
-def percentile_half_even(values: Column, q: float) -> Column:
-    """Element at round(q * (n - 1)), halves to even, of the sorted values; null without any."""
-    at = F.bround(F.lit(q) * (F.count(values) - 1), 0).cast("int") + 1
-    return F.try_element_at(F.array_sort(F.collect_list(values)), at)
+#: How the place q * (n - 1) of an element is rounded.
+HALF_EVEN: Callable[[Column], Column] = lambda x: F.bround(x, 0).cast("bigint")
+DOWN: Callable[[Column], Column] = lambda x: F.floor(x).cast("bigint")
+UP: Callable[[Column], Column] = lambda x: F.ceil(x).cast("bigint")
+
+
+def percentiles(counts: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """For each group, elements of its sorted values by place: by, and a column for each wanted (q, rounding).
+
+    counts: by, value, m (how often the value occurs). Equal values are counted before the shuffle
+    and a running sum finds the places, so no group's values are gathered in one cell. Nulls are left
+    out; a group of nulls alone has no row.
+    """
+    own = counts.where(F.col(value).isNotNull())
+    upto = F.sum("m").over(Window.partitionBy(*by).orderBy(value))
+    rows = own.withColumns({"upto": upto, "n": F.sum("m").over(Window.partitionBy(*by))})
+    place = lambda q, rounded: rounded(F.lit(q) * (F.col("n") - 1))
+    here = lambda q, rounded: (F.col("upto") > place(q, rounded)) & (F.col("upto") - F.col("m") <= place(q, rounded))
+    return rows.groupBy(*by).agg(*[F.max(F.when(here(*w), F.col(value))).alias(name) for name, w in wanted.items()])
 
 
-def percentile_floor(values: Column, q: float) -> Column:
-    """Element at floor(q * (n - 1)) of the sorted values; null without any."""
-    return F.try_element_at(F.array_sort(F.collect_list(values)), F.floor(F.lit(q) * (F.count(values) - 1)).cast("int") + 1)
+def value_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, m): how often each value occurs in each group."""
+    return rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("m"))
 
 
 def draw(resample: Column, place: Column, n: Column) -> Column:
@@ -69,14 +86,20 @@ def question_score(answerable: Column, declined: Column, judged: Column, contrad
 
 
 def system_report(records: DataFrame) -> DataFrame:
-    """Metrics of records (system, category, correct, answerable, declined, latency, tokens, error), overall and by category, in one pass."""
+    """Metrics of records (system, category, correct, answerable, declined, latency, tokens, error), overall and by category."""
     rows = records.rollup("system", "category").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("correct"), 6).alias("correctness"), F.round(F.avg(F.when(F.col("answerable"), F.col("correct"))), 6).alias("correctness_answerable"),
         F.round(F.avg(F.when(~F.col("answerable"), F.col("declined").cast("double"))), 6).alias("correct_declines"), F.round(F.avg(F.when(F.col("answerable"), F.col("declined").cast("double"))), 6).alias("false_declines"),
-        percentile_half_even(F.col("latency"), 0.5).alias("latency_p50"), percentile_half_even(F.col("latency"), 0.95).alias("latency_p95"), F.round(F.avg("tokens"), 6).alias("tokens"), F.count_if("error").alias("errors"),
+        F.round(F.avg("tokens"), 6).alias("tokens"), F.count_if("error").alias("errors"),
         F.grouping("category").alias("overall"),
     )
-    return rows.where("system is not null").withColumn("category", F.when(F.col("overall") == 1, "*").otherwise(F.col("category"))).drop("overall")
+    counts = value_counts(records, ["system", "category"], "latency")
+    every = counts.groupBy("system", "latency").agg(F.sum("m").alias("m")).select("system", F.lit(None).cast("string").alias("category"), "latency", "m", F.lit(1).alias("overall"))
+    latency = percentiles(counts.withColumn("overall", F.lit(0)).unionByName(every), ["system", "category", "overall"], "latency", {"latency_p50": (0.5, HALF_EVEN), "latency_p95": (0.95, HALF_EVEN)})
+    latency = latency.withColumnsRenamed({"system": "_system", "category": "_category", "overall": "_overall"})
+    same = F.col("system").eqNullSafe(F.col("_system")) & F.col("category").eqNullSafe(F.col("_category")) & (F.col("overall") == F.col("_overall"))
+    report = rows.where("system is not null").join(latency, same, "left").drop("_system", "_category", "_overall")
+    return report.withColumn("category", F.when(F.col("overall") == 1, "*").otherwise(F.col("category"))).drop("overall")
 
 
 def round_robin(questions: DataFrame) -> DataFrame:

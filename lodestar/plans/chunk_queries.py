@@ -53,9 +53,8 @@ def merged_sections(spark, d):
     """Sections with small ones carried forward; a fold in order, held against a loop in the tests."""
     text = marked(spark, d)
     found = C.sections(text)
-    sized = found.join(text.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", F.length("text").alias("n")))).alias("xs")), "path")
-    size = F.aggregate(F.filter("xs", lambda x: x["line"].between(F.col("start"), F.col("end"))), F.lit(0), lambda a, x: a + x["n"])
-    return C.merge_small(sized.select("path", "title", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), size.alias("size"))).withColumnRenamed("end", "stop")
+    sized = C.sized(found, text)
+    return C.merge_small(sized.select("path", "title", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "size")).withColumnRenamed("end", "stop")
 
 
 @R.query(f"""WITH {LINES_SQL}, kept AS (SELECT path, line, text FROM lines WHERE line % 13 NOT IN (3, 4)), runs AS (SELECT *, line - row_number() OVER (PARTITION BY path ORDER BY line) AS run FROM kept)
@@ -76,7 +75,7 @@ SELECT id, pos AS "offset", regexp_replace(substring(p, 1, size), '^\\s+|\\s+$',
 def thread_passages(spark, d):
     turns = table(spark, d, "conversations")
     body = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("--- "), "role", F.lit(": "), "text").alias("s")))), lambda x: x["s"]), "\n\n").alias("body"))
-    return C.passages(spark, body.select(F.col("conv_id").alias("id"), "body"))
+    return C.passages(body.select(F.col("conv_id").alias("id"), "body"))
 
 
 # ---- line ranges: definitions, calls, citations -------------------------------------------------

@@ -14,12 +14,15 @@ R = Registry()
 
 @R.query("SELECT event_type, xs[CAST(round_even(0.5 * (n - 1), 0) AS BIGINT) + 1] AS p50, xs[CAST(round_even(0.95 * (n - 1), 0) AS BIGINT) + 1] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS xs, count(*) AS n FROM events GROUP BY event_type)")
 def percentile_half_even(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(E.percentile_half_even(F.col("value"), 0.5).alias("p50"), E.percentile_half_even(F.col("value"), 0.95).alias("p95"))
+    counts = E.value_counts(table(spark, d, "events"), ["event_type"], "value")
+    return E.percentiles(counts, ["event_type"], "value", {"p50": (0.5, E.HALF_EVEN), "p95": (0.95, E.HALF_EVEN)})
 
 
 @R.query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS p95 FROM events GROUP BY event_type")
 def latency_p95_linear(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), E.percentile_floor(F.col("value"), 0.95).alias("p95"))
+    counts = E.value_counts(table(spark, d, "events"), ["event_type"], "value")
+    found = E.percentiles(counts, ["event_type"], "value", {"low": (0.5, E.DOWN), "high": (0.5, E.UP), "p95": (0.95, E.DOWN)})
+    return found.select("event_type", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), "p95")
 
 
 _BOOT = """SELECT round(avg(x), 6) AS mean, (SELECT round(quantile_cont(m, 0.025), 6) FROM means) AS low, (SELECT round(quantile_cont(m, 0.975), 6) FROM means) AS high, count(x) AS n FROM v"""

@@ -53,9 +53,7 @@ def document_chunks(documents: DataFrame, lines: DataFrame) -> DataFrame:
     """Chunks of documents: heading sections, small ones carried forward."""
     own = lines.join(documents.select("path"), "path", "left_semi")
     sections = C.sections(own)
-    sized = sections.join(own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", F.length("text").alias("n")))).alias("xs")), "path")
-    size = F.aggregate(F.filter("xs", lambda x: x["line"].between(F.col("start"), F.col("end"))), F.lit(0), lambda a, x: a + x["n"])
-    merged = C.merge_small(sized.select("path", "title", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), size.alias("size")))
+    merged = C.merge_small(C.sized(sections, own).select("path", "title", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "size"))
     spans = cut(merged.withColumn("span_id", F.monotonically_increasing_id()))
     ref = F.concat("path", F.lit(":"), "start", F.lit("-"), "end")
     out = _texts(spans, own).where(F.trim("text") != "")
@@ -89,7 +87,7 @@ class Index:
         if history is not None:
             threads = _shaped(history)
             long_ = threads.where(F.col("kind").isin("issue", "pr", "discussion", "release")).select(F.col("ref").alias("id"), F.col("text").alias("body"))
-            passages = C.passages(self.spark, long_).select(F.lit("passage").alias("kind"), F.concat("id", F.lit("@"), "offset").alias("ref"), "text", F.col("id").alias("parent"))
+            passages = C.passages(long_).select(F.lit("passage").alias("kind"), F.concat("id", F.lit("@"), "offset").alias("ref"), "text", F.col("id").alias("parent"))
             chunks = chunks.unionByName(threads).unionByName(_shaped(passages))
         chunks = first_wins(chunks, ["ref"], "kind").withColumn("id", F.xxhash64("ref"))
         cache = self.read("cache") if self.table("cache").current() else self.spark.createDataFrame([], "key string, vector array<float>")

@@ -22,14 +22,15 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/batch=-1")  # an input without rows gives no batch
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").drop("batch")
 
 
 def stream(spark, d: str, name: str, schema: str) -> DataFrame:
-    """A table's file as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table as a stream: a file, or a folder of part files."""
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")  # a pattern, as a plain path must be a folder
 
 
 def events(spark, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
@@ -15,21 +15,26 @@ QUESTIONS = "id string, repo string, category string, expected string, split str
 ANSWERS = "id string, system string, question string, answer string, abstained boolean, error string, citations array<string>, quotes array<struct<ref:string,quote:string>>, evidence_refs array<string>, usage map<string,bigint>, latency_s double, judgement struct<key_facts:array<struct<fact:string,covered:boolean>>,claims:array<struct<claim:string,supported:boolean>>,contradicts_reference:boolean,notes:string>"
 
 
+def _decoded(content: Column) -> Column:
+    """Bytes as UTF-8; what is not UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def repository_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, content) of all files under root, paths relative to it."""
+    """(path, length, content) of all files under root but version control's own, paths relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     inside = r"^(?:[a-z]+:/*)?/?" + re.escape(root.strip("/")) + "/(.*)$"
-    return files.select(F.regexp_extract("path", inside, 1).alias("path"), "length", "content")
+    return files.select(F.regexp_extract("path", inside, 1).alias("path"), "length", "content").where(~F.col("path").rlike(r"(^|/)\.git(/|$)"))
 
 
 def source_files(files: DataFrame) -> DataFrame:
     """(path, language, text) of the files that are indexed as code."""
-    return files.where(T.is_source(F.col("path")) & (F.col("length") <= MOST_SOURCE_BYTES)).select("path", T.language_of(F.col("path")).alias("language"), F.decode("content", "utf-8").alias("text"))
+    return files.where(T.is_source(F.col("path")) & (F.col("length") <= MOST_SOURCE_BYTES)).select("path", T.language_of(F.col("path")).alias("language"), _decoded(F.col("content")).alias("text"))
 
 
 def document_files(files: DataFrame) -> DataFrame:
     """(path, text) of the files that are indexed as documents; a path is code or a document, not both."""
-    return files.where(~T.is_source(F.col("path")) & T.is_document(F.col("path"))).select("path", F.decode("content", "utf-8").alias("text"))
+    return files.where(~T.is_source(F.col("path")) & T.is_document(F.col("path"))).select("path", _decoded(F.col("content")).alias("text"))
 
 
 def file_lines(files: DataFrame) -> DataFrame:

@@ -82,12 +82,26 @@ def test_small_sections_are_carried(spark):
 
 def test_passages_are_cut_at_lines(spark):
     body = "head\n\n--- a: " + "word " * 300 + "\n" + "tail " * 200 + "\n\n--- b: end"
-    got = chunking.passages(spark, frame(spark, [(1, body), (2, "short")], "id bigint, body string")).orderBy("offset").collect()
+    got = chunking.passages(frame(spark, [(1, body), (2, "short")], "id bigint, body string")).orderBy("offset").collect()
     assert [r["id"] for r in got] == [1] * len(got) and len(got) >= 4
     assert all(body[r["offset"] :].lstrip().startswith(r["text"][:20]) and len(r["text"]) <= 1200 for r in got)
     assert got[-1]["text"] == "--- b: end"
 
 
+def test_passages_of_a_very_long_comment(spark):
+    body = "x" * 200_000 + "\n\n--- b: end"
+    got = chunking.passages(frame(spark, [(1, body), (2, None), (3, "")], "id bigint, body string")).orderBy("offset").collect()
+    assert [r["offset"] for r in got][:3] == [0, 1200, 2400] and got[-1]["text"] == "--- b: end"
+    assert sum(len(r["text"]) for r in got[:-1]) == 200_000
+
+
+def test_percentiles_of_ties_and_nulls(spark):
+    rows = [("a", v) for v in (3.0, 1.0, 1.0, 1.0, None, 9.0)] + [("b", None), (None, 2.0)]
+    counts = evaluation.value_counts(frame(spark, rows, "g string, v double"), ["g"], "v")
+    got = evaluation.percentiles(counts, ["g"], "v", {"p0": (0.0, evaluation.DOWN), "p50": (0.5, evaluation.HALF_EVEN), "p95": (0.95, evaluation.HALF_EVEN), "up": (0.6, evaluation.UP)})
+    assert {tuple(r) for r in got.collect()} == {("a", 1.0, 1.0, 9.0, 3.0), (None, 2.0, 2.0, 2.0, 2.0)}
+
+
 def test_innermost_enclosing(spark):
     defs = frame(spark, [("m", 1, 500, "outer"), ("m", 10, 20, "inner"), ("n", 1, 9, "other")], "path string, start bigint, end bigint, def_id string")
     points = frame(spark, [(1, "m", 15), (2, "m", 300), (3, "m", 600), (4, "n", 9)], "call_id bigint, path string, line bigint")

@@ -161,3 +161,11 @@ def test_tools(index):
     assert "1 matches" in agent.TOOLS["grep"](s, "LIMIT")
     assert agent.TOOLS["grep"](s, "(").startswith("invalid pattern")
     assert agent.TOOLS["list_files"](s, "*.md") == "guide.md"
+
+
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "config.py").write_text("x = 1")
+    (tmp_path / "a.py").write_bytes("x = 'é'".encode("latin-1"))
+    found = files.repository_files(spark, str(tmp_path))
+    assert [tuple(r) for r in files.source_files(found).select("path", "text").collect()] == [("a.py", "x = '�'")]

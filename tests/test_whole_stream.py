@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+from lodestar import catalog
 from lodestar.plans import stream_queries
 from lodestar.streaming import sessions
 
@@ -20,3 +21,14 @@ def test_query_shows_repeats(spark, data, monkeypatch):
     monkeypatch.setattr(sessions, "without_repeats", lambda rows: rows)
     got = stream_queries.stream_repeat_suppression(spark, data).collect()
     assert {tuple(r)[:3]: r["n"] for r in got} == {k: events.count(k) for k in events} and max(r["n"] for r in got) > 1
+
+
+def test_tables_in_folders_and_without_rows(spark, data, tmp_path):
+    """What Spark writes is a folder of parts; a table without rows gives no rows."""
+    rows = spark.read.parquet(f"{data}/events.parquet")
+    rows.repartition(3).write.parquet(f"{tmp_path}/full/events.parquet")
+    rows.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    for name in ("stream_cutoff", "stream_call_budget"):
+        query = catalog.queries()[name]
+        assert query(spark, f"{tmp_path}/full").count() == query(spark, data).count() > 0
+        assert query(spark, f"{tmp_path}/none").count() == 0
