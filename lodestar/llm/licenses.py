@@ -13,6 +13,7 @@ length are searched; repeated rows each keep their row; extra columns are ignore
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import ahocorasick
@@ -70,6 +71,19 @@ def parts(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
+class _Blanks:
+    """Numbers of words by place in a text; the places of its blanks are taken once, when first asked for."""
+
+    def __init__(self, text: str):
+        self.text, self.places = text, None
+
+    def before(self, end: int) -> int:
+        """Blanks in text[:end]."""
+        if self.places is None:
+            self.places = [m.start() for m in re.finditer(" ", self.text)]
+        return bisect_left(self.places, end)
+
+
 class Scanner:
     """Finds notices with at most len // LETTERS_AN_EDIT edits."""
 
@@ -101,7 +115,7 @@ class Scanner:
                     stretches[-1][1] = max(high, stretches[-1][1])
                 else:
                     stretches.append([low, high])
-        out = []
+        out, blanks = [], _Blanks(text)
         for n, stretches in wide.items():
             notice, label, edits, pattern = self.known[n]
             for low, high in stretches:
@@ -110,7 +124,7 @@ class Scanner:
                     a, b = left.pop()
                     m = pattern.search(text, a, b) if b - a >= len(notice) - edits else None
                     if m:
-                        out.append(Span(notice, label, m.start(), m.end(), sum(m.fuzzy_counts), text.count(" ", 0, m.start() + 1)))
+                        out.append(Span(notice, label, m.start(), m.end(), sum(m.fuzzy_counts), blanks.before(m.start() + 1)))
                         left += [(a, m.start() - 1), (m.end(), b)]
         return sorted(out, key=lambda s: (s.start, s.end, s.notice))
 
@@ -120,7 +134,8 @@ _BASE = [(label, re.compile(rf"(?:^|(?<= ))(?={re.escape(phrase)}(?: |$))")) for
 
 def base_places(text: str) -> list[tuple[int, str]]:
     """(word number, label) of every base phrase in a normalised text."""
-    return sorted((text.count(" ", 0, m.start()), label) for label, pattern in _BASE for m in pattern.finditer(text))
+    blanks = _Blanks(text)
+    return sorted((blanks.before(m.start()), label) for label, pattern in _BASE for m in pattern.finditer(text))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
