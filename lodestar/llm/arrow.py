@@ -32,10 +32,17 @@ def held(key: str, make: Callable[[], Any]) -> Any:
 
 
 def _release(keep: str | None) -> None:
-    """Drops what other operators hold in this worker, and gives unused memory back."""
+    """Drops what other operators hold in this worker, and gives unused memory back.
+
+    What stays forgets what it gathered in a task, if it can: an executor has more workers than
+    tasks at a time, and they take turns, so each would hold as much as the one at work.
+    """
     if any(k != keep for k in _HELD):
         _HELD.clear()
         gc.collect()
+    for own in _HELD.values():
+        if forget := getattr(own, "forget", None):
+            forget()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

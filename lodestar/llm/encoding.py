@@ -232,7 +232,7 @@ class WordEncoder:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 100_000):
         self.tokenizer = load_tokenizer(path)
         self.specials = _specials(self.tokenizer)
         vocabulary, merges, suffix = _vocabulary(path)
@@ -249,6 +249,10 @@ class WordEncoder:
         self.now: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit numbers
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the memo; called between tasks."""
+        self.now, self.old = {}, {}
+
     def _learn(self, words: set[str]) -> None:
         """Makes sure that the memo has words."""
         if len(self.now) > self.limit:
