@@ -19,6 +19,7 @@ MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčď
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 CAMEL = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
+#: The words that ask for a rationale.
 RATIONALE = r"(?i)\bwhy\b|\breasons?\b|\brationale\b|\bmotivat|\btrade-?offs?\b"
 
 
@@ -70,6 +71,7 @@ def normal_ref(ref: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"#L(\d+)-L(\d+)", ":$1-$2"), r"#L(\d+)", ":$1")
 
 
+#: Fixed value: a reference to a path and lines.
 RANGE = r"^(.+?)(?::|#L)(\d+)(?:-L?(\d+))?$"
 
 

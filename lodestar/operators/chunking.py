@@ -75,6 +75,7 @@ def headings(lines: DataFrame) -> DataFrame:
     Adds nothing else; fences toggle by a running count.
     """
     order = Window.partitionBy("path").orderBy("line")
+    # The patterns of fences and, below, of headings.
     fence = F.col("text").rlike(r"^\s*(```|~~~)")
     inside = F.sum(fence.cast("int")).over(order) % 2 == 1
     form = r"^(#{1,4})\s+(.+?)\s*#*\s*$"

@@ -33,6 +33,7 @@ PATTERNS = {
 }
 PATTERNS |= {"typescript": PATTERNS["javascript"], "tsx": PATTERNS["javascript"], "csharp": [*PATTERNS["java"], ("type", _C_LIKE + r"struct\s+(\w+)"), ("module", _C_LIKE + r"namespace\s+([\w.]+)")], "c": PATTERNS["cpp"]}
 _RULES = {language: [(kind, re.compile(p)) for kind, p in rules] for language, rules in PATTERNS.items()}
+#: Kinds whose functions are methods.
 CONTAINERS = {"class", "interface", "module", "impl", "trait", "enum"}
 _CALL = re.compile(r"(?<![\w$])(?!(?:if|for|while|switch|catch|return|function|def|class|fn|func|new|sizeof|match|elif|and|or|not|in)\b)([A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\(")
 
