@@ -115,7 +115,7 @@ def usage_sums(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("requests"), F.round(F.sum("value"), 4).alias("tokens"), F.countDistinct(F.get_json_object("props", "$.k")).alias("tools"))
 
 
-@R.query("SELECT source, lang, doc_id, density FROM (SELECT source, lang, doc_id, round(len(regexp_extract_all(substr(text, 1, 3000), '(?i) (the|der|la) ')) / greatest(1.0, length(substr(text, 1, 3000)) / 1000.0), 6) AS density FROM documents) WHERE density > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY density DESC, doc_id) <= 40")
+@R.query("SELECT source, lang, doc_id, density FROM (SELECT source, lang, doc_id, round(len(regexp_extract_all(text, '(?i) (the|der|la) ')) / greatest(1.0, length(text) / 1000.0), 6) AS density FROM documents) WHERE density > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY density DESC, doc_id) <= 40")
 def causal_density_topk(spark, d):
     """Density of marker words; the corpus has no causal phrases, so its commonest words stand for them."""
     density = F.round(F.regexp_count("text", F.lit("(?i) (the|der|la) ")) / F.greatest(F.lit(1.0), F.length("text") / 1000.0), 6)

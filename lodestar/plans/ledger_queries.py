@@ -47,7 +47,9 @@ def citation_resolution(spark, d):
 _QUOTE = "concat('  **', substr(text, 11, CASE WHEN doc_id % 4 = 0 THEN 12 ELSE 40 END), CASE WHEN doc_id % 7 = 3 THEN ' never' ELSE '' END, '  ** ')"
 
 
-@R.query(f"WITH quotes AS (SELECT doc_id, concat('PR#', doc_id) AS ref, {_QUOTE} AS quote, text FROM documents WHERE doc_id % 3 = 1), n AS (SELECT doc_id, {QUOTE_SQL.replace('{x}', 'quote')} AS needle, {QUOTE_SQL.replace('{x}', 'text')} AS hay FROM quotes) SELECT doc_id AS cite_id, length(needle) >= 20 AND contains(hay, needle) AS supported FROM n")
+@R.query(f"""WITH {EV_SQL}, f AS (SELECT session, ref, min(seq) AS seq FROM ev GROUP BY ALL),
+n AS (SELECT q.doc_id AS doc_id, {QUOTE_SQL.replace("{x}", "quote")} AS needle, {QUOTE_SQL.replace("{x}", "h.text")} AS hay FROM (SELECT doc_id, {_QUOTE} AS quote FROM documents) q JOIN ev ON ev.seq = doc_id JOIN f USING (session, ref) JOIN documents h ON h.doc_id = f.seq)
+SELECT doc_id AS cite_id, length(needle) >= 20 AND contains(hay, needle) AS supported FROM n""")
 def quote_containment(spark, d):
     k = F.col("seq")
     cut = F.when(k % 4 == 0, F.substring("text", 11, 12)).otherwise(F.substring("text", 11, 40))

@@ -117,7 +117,7 @@ def ann_recall_at_10(spark, d):
     return both.agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"), F.countDistinct("query_id").alias("n_queries"))
 
 
-LISTS = f"WITH {bm25_sql(QUESTIONS)}, lex AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 50), den AS (SELECT a.vec_id // 20 + 1 AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT_SQL} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 20, 40, 60) QUALIFY rank <= 50)"
+LISTS = f"WITH {bm25_sql(QUESTIONS)}, typed AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 50), lex AS (SELECT v.query_id, t.id, t.rank FROM typed t JOIN (SELECT vec_id // 20 + 1 AS query_id FROM embeddings WHERE vec_id % 20 = 0) v ON t.query_id = (v.query_id - 1) % 4 + 1), den AS (SELECT a.vec_id // 20 + 1 AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT_SQL} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 50)"
 FUSED = "f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM den) GROUP BY query_id, id)"
 
 
@@ -205,7 +205,7 @@ def symbols(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.concat(F.lit("f"), k % 40).alias("name"), F.concat("source", F.lit(".C"), k % 9, F.lit(".f"), k % 40).alias("qualified_name"), F.col("source").alias("path"), (k % 300 + 1).alias("start_line"), (k % 300 + 1 + k % 23).alias("end_line"))
 
 
-@R.query(f"WITH {SYMBOLS_SQL}, t AS (SELECT * FROM symbols WHERE name = 'f7' ORDER BY length(qualified_name), qualified_name, path, start_line LIMIT 50) SELECT * FROM t WHERE suffix(qualified_name, 'C5.f7') ORDER BY length(qualified_name), qualified_name, path, start_line LIMIT 10")
+@R.query(f"WITH {SYMBOLS_SQL}, t AS (SELECT * FROM symbols WHERE name = 'f7') SELECT * FROM t WHERE suffix(qualified_name, 'C5.f7') ORDER BY length(qualified_name), qualified_name, path, start_line LIMIT 10")
 def find_symbol_definitions(spark, d):
     return X.find_definitions(symbols(spark, d), "`C5.f7(x)`")
 
