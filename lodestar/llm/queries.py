@@ -7,6 +7,7 @@ import hashlib
 import pyarrow as pa
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
 from lodestar.llm.encoding import byte_encoder
@@ -15,11 +16,12 @@ from lodestar.llm.html_text import extract
 from lodestar.llm.licenses import license_scan
 from lodestar.llm.near_duplicates import near_duplicates
 from lodestar.llm.packing import packed_documents
+from lodestar.llm.prefix_trie import coded_turns, node_table, prefix_trie
 from lodestar.llm.quality_model import quality_scores
 from lodestar.llm.quality_rules import quality_rules
 from lodestar.llm.substrings import substring_dedup
 from lodestar.llm.urls import Rule, page_links, url_filter
-from lodestar.session import table
+from lodestar.session import cut, table
 
 RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
 
@@ -86,9 +88,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), str(tokenizer_path("word_bpe_49k.json")))
 
 
+#: Conversations of a family of this many share the first turns of its first one; fewer than BORROWED of them.
+FAMILY, BORROWED = 5, 9
+
+
+def rebuilt(turns: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and lengths of the conversations as the contract rebuilds them.
+
+    Conversation c has the first h turns of c - c % FAMILY, then its own after its first h, where h
+    is crc32(c) % BORROWED. One without turns stays, with length 0.
+    """
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % BORROWED
+    plan = lengths.select("conv_id", "n", (F.col("conv_id") - F.pmod("conv_id", F.lit(FAMILY))).alias("head"), h.alias("h"))
+    plan = plan.join(lengths.select(F.col("conv_id").alias("head"), F.col("n").alias("m")), "head", "left").withColumn("taken", F.least("h", F.coalesce("m", F.lit(0))))
+    plan = cut(plan.select("conv_id", "head", "h", "taken", (F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("n")))
+    lent = turns.where(F.col("pos") < BORROWED).withColumnRenamed("conv_id", "head").join(plan.select("conv_id", "head", "h"), "head").where("pos < h").select("conv_id", "pos", "item", "w")
+    own = turns.join(plan.select("conv_id", "h", "taken"), "conv_id").where("pos >= h").select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "item", "w")
+    return lent.unionByName(own), plan.select("conv_id", "n")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_table(prefix_trie(*rebuilt(*coded_turns(table(spark, sf_dir, "conversations")))))
+
+
 def queries() -> dict:
     """Name to query, and the pipeline of corpus_pipeline.py."""
     import corpus_pipeline
 
-    own = [op1_fingerprints, op2_bpe_round_trip, op3_near_duplicates, op4_substring_dedup, op5_url_filter, op6_license_scan, op7_quality_rules, op8_quality_classifier, op9_html_text, op10_packing]
+    own = [op1_fingerprints, op2_bpe_round_trip, op3_near_duplicates, op4_substring_dedup, op5_url_filter, op6_license_scan, op7_quality_rules, op8_quality_classifier, op9_html_text, op10_packing, op11_prefix_trie]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
