@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from public_tokenizers import path as tokenizer_path
@@ -21,7 +22,8 @@ from lodestar.llm.quality_model import quality_scores
 from lodestar.llm.quality_rules import quality_rules
 from lodestar.llm.substrings import substring_dedup
 from lodestar.llm.urls import Rule, page_links, url_filter
-from lodestar.session import cut, table
+from lodestar.llm.warc import dangling, read_archives, write_archives
+from lodestar.session import cut, scratch, table
 
 RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
 
@@ -111,9 +113,21 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_table(prefix_trie(*rebuilt(*coded_turns(table(spark, sf_dir, "conversations")))))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives lie in the shared folder and are deleted once they are read back."""
+    folder = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    found = cut(read_archives(spark, folder, payload=False, mode="failfast").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if not dangling(found).isEmpty():
+        raise ValueError("a revisit refers to no response with its digest")
+    return found
+
+
 def queries() -> dict:
     """Name to query, and the pipeline of corpus_pipeline.py."""
     import corpus_pipeline
 
-    own = [op1_fingerprints, op2_bpe_round_trip, op3_near_duplicates, op4_substring_dedup, op5_url_filter, op6_license_scan, op7_quality_rules, op8_quality_classifier, op9_html_text, op10_packing, op11_prefix_trie]
+    own = [op1_fingerprints, op2_bpe_round_trip, op3_near_duplicates, op4_substring_dedup, op5_url_filter, op6_license_scan, op7_quality_rules, op8_quality_classifier, op9_html_text, op10_packing, op11_prefix_trie, op12_warc]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
