@@ -10,6 +10,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.alignment import alignment_statistics
 from lodestar.llm.arrow import arrow_map
 from lodestar.llm.encoding import byte_encoder
 from lodestar.llm.fingerprints import with_neighbours
@@ -125,9 +126,13 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_statistics(table(spark, sf_dir, "documents"), str(tokenizer_path("byte_bpe_50k.json")), str(tokenizer_path("piece_bpe_32k.model")))
+
+
 def queries() -> dict:
     """Name to query, and the pipeline of corpus_pipeline.py."""
     import corpus_pipeline
 
-    own = [op1_fingerprints, op2_bpe_round_trip, op3_near_duplicates, op4_substring_dedup, op5_url_filter, op6_license_scan, op7_quality_rules, op8_quality_classifier, op9_html_text, op10_packing, op11_prefix_trie, op12_warc]
+    own = [op1_fingerprints, op2_bpe_round_trip, op3_near_duplicates, op4_substring_dedup, op5_url_filter, op6_license_scan, op7_quality_rules, op8_quality_classifier, op9_html_text, op10_packing, op11_prefix_trie, op12_warc, op13_token_alignment]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
