@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
 from lodestar.llm.graph import connected_components
-from lodestar.llm.words import mix, sequence_hash, spans, window_hashes, word_hashes
+from lodestar.llm.words import mix, sequence_hash, window_hashes, word_pairs
 from lodestar.session import BROADCAST_ROWS, cut, release
 
 ROWS, SHINGLE, MISS = 3, 5, 1e-4
@@ -60,12 +60,11 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, int,
     without words has none.
     """
     data = (text or "").encode().lower()  # bytes.lower() changes A-Z alone
-    starts, ends = spans(data)
-    words = word_hashes(data, starts, ends)
-    if not len(words):
-        return words, 0, 0
-    other = word_hashes(data, starts, ends, 2)
-    return np.unique(window_hashes(words, min(size, len(words)))), sequence_hash(words), sequence_hash(other, 2)
+    pairs = word_pairs(data)
+    if not len(pairs):
+        return np.zeros(0, dtype=np.uint64), 0, 0
+    high, low = divmod(sequence_hash(pairs), 1 << 64)
+    return np.unique(window_hashes(np.ascontiguousarray(pairs[:, 0]), min(size, len(pairs)))), high, low - (1 << 63)
 
 
 def half_keys(shingles: np.ndarray, n: int) -> np.ndarray:

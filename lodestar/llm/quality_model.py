@@ -33,7 +33,7 @@ def features(text: str | None) -> list[float]:
     digits = sum(map(text.count, "0123456789"))
     data = text.encode()
     starts, ends = spans(data)
-    distinct = len(np.unique(word_hashes(data, starts, ends)))
+    distinct = len(np.unique(word_hashes(data)))
     longest = int((ends - starts).max()) if n else 0
     lines = text.count("\n") + 1
     size, w = max(1, len(text)), max(1, n)

@@ -162,7 +162,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
             repeated += 1
         elif line.strip(" \t\n\r\x0b\x0c"):
             seen.add(line)
-    grams = window_hashes(word_hashes(data, starts, ends), 3)
+    grams = window_hashes(word_hashes(data), 3)
     inside = 0
     if len(grams):
         _, which, counts = np.unique(grams, return_inverse=True, return_counts=True)

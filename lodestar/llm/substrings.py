@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
-from lodestar.llm.words import mix, spans, stretch_hashes, window_hashes, word_hashes
+from lodestar.llm.words import mix, stretch_hashes, window_hashes, word_hashes, word_pairs
 from lodestar.session import cut, release
 
 SPAN, GRAM = 20, 6
@@ -57,11 +57,6 @@ def anchors(words: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray
     return grams, where
 
 
-def _words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
-    data = (text or "").encode()
-    return data, *spans(data)
-
-
 def _types(docs: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
@@ -80,7 +75,7 @@ def _seed_rows(docs: DataFrame, span: int, who: list[str]) -> DataFrame:
             out: list[list] = [[], [], []]
             counts = []
             for text in batch.column("text").to_pylist():
-                words = word_hashes(*_words(text))
+                words = word_hashes((text or "").encode())
                 grams, where = anchors(words, span)
                 counts.append(0)
                 if len(where):
@@ -118,13 +113,13 @@ def _window_rows(seeded: DataFrame, span: int, who: list[str]) -> DataFrame:
             counts = []
             for packed, seeds in zip(batch.column("packed").to_pylist(), batch.column("seeds"), strict=True):
                 data = unpack(packed) if packed is not None else b""
-                starts, ends = spans(data)
+                pairs = word_pairs(data)
                 at = _starts(seeds.values.to_numpy())
-                at = at[at + span <= len(starts)]
+                at = at[at + span <= len(pairs)]
                 counts.append(len(at))
                 if len(at):
-                    out[0].append(stretch_hashes(word_hashes(data, starts, ends, 1), at, at + span, 1).view(np.int64))
-                    out[1].append((stretch_hashes(word_hashes(data, starts, ends, 2), at, at + span, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    out[0].append(stretch_hashes(np.ascontiguousarray(pairs[:, 0]), at, at + span).view(np.int64))
+                    out[1].append((stretch_hashes(np.ascontiguousarray(pairs[:, 1]), at, at + span) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     out[2].append(at.astype(np.int32))
             return dict(zip(("w1", "w2", "p"), map(np.concatenate, out), strict=True)) | _repeated(batch, who, counts) if out[0] else None
 

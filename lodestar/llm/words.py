@@ -1,19 +1,21 @@
-"""Whitespace words of a UTF-8 text and vectorised hashes of words and word windows.
+"""Whitespace words of a UTF-8 text and hashes of words and word windows.
 
 A word is a run of bytes other than space and 0x09-0x0D, so the words are those of
-``[^\\x20\\x09-\\x0D]+`` on the decoded text. Hashes are polynomial sums modulo 2**64 over a random
-byte table, taken from prefix sums and finished with a 64-bit mixer; two seeds give 128 bits.
+``[^\\x20\\x09-\\x0D]+`` on the decoded text. A word's hashes are the halves of the XXH3-128 of its
+bytes. A window's hash comes from those of two windows of a power of two that cover it, and theirs
+from two halves each, with a mixer after every step; so no sum of powers stands behind it that chosen
+sequences could cancel out. Two seeds, one for each half, give 128 bits.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
+from xxhash import xxh3_128_digest, xxh3_128_intdigest
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_MASK = (1 << 64) - 1
+#: Odd factor by which the left half of a window differs from the right one.
+_LEFT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -33,61 +35,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(maxsize=16)
-def _powers(base: int, size: int) -> np.ndarray:
-    steps = np.full(size, base, dtype=np.uint64)
-    steps[0] = 1
-    return np.cumprod(steps, dtype=np.uint64)
-
+def word_pairs(data: bytes) -> np.ndarray:
+    """Both 64-bit hashes of each word, one word a row."""
+    words = data.split()  # bytes.split() parts at the same six bytes
+    return np.frombuffer(b"".join(map(xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2)
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64; sizes are rounded up so that few tables are kept."""
-    return _powers(base, 1 << max(12, (n - 1).bit_length()))[:n]
 
+def word_hashes(data: bytes, seed: int = 1) -> np.ndarray:
+    """One 64-bit hash for each word; seed 1 or 2."""
+    return np.ascontiguousarray(word_pairs(data)[:, seed - 1])
 
-@lru_cache(maxsize=8)
-def _parameters(seed: int) -> tuple[np.ndarray, int, int, int, int]:
-    random = np.random.Generator(np.random.PCG64(seed))
-    bytes_ = random.integers(0, _MASK, 256, dtype=np.uint64, endpoint=True)
-    by_byte, by_word = (int(x) & ~7 | 5 for x in random.integers(0, _MASK, 2, dtype=np.uint64, endpoint=True))
-    return bytes_, by_byte, pow(by_byte, -1, 1 << 64), by_word, pow(by_word, -1, 1 << 64)
 
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _LEFT + right)
 
-def _sums(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(base, max(1, len(values)))[: len(values)], out=out[1:])
-    return out
 
-
-def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """One 64-bit hash for each word."""
-    table, base, inverse, _, _ = _parameters(seed)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    sums = _sums(table[np.frombuffer(data, dtype=np.uint8)], base)
-    raw = (sums[ends] - sums[starts]) * powers(inverse, int(starts[-1]) + 1)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64))
+def _level(size: int) -> int:
+    """The largest power of two that is no more than size, as an exponent."""
+    return size.bit_length() - 1
 
 
-def window_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash for each run of size words; empty if there are fewer."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    _, _, _, base, inverse = _parameters(seed)
-    sums = _sums(words, base)
-    return mix((sums[size:] - sums[:n]) * powers(inverse, n) + np.uint64(size))
-
-
-def stretch_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash for each stretch of words from starts to ends (not included)."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    _, _, _, base, inverse = _parameters(seed)
-    sums = _sums(words, base)
-    return mix((sums[ends] - sums[starts]) * powers(inverse, int(starts.max()) + 1)[starts] + (ends - starts).astype(np.uint64))
+    half, width = words, 1
+    while 2 * width <= size:
+        half, width = _joined(half[:-width], half[width:]), 2 * width
+    return mix(_joined(half[:n], half[size - width : size - width + n]) + np.uint64(size))
+
+
+def stretch_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each stretch of words from starts to ends (not included); those of window_hashes."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    sizes = ends - starts
+    half, width = words, 1
+    while len(sizes) and width <= sizes.max():
+        own = np.flatnonzero((sizes >= width) & (sizes < 2 * width))
+        out[own] = mix(_joined(half[starts[own]], half[ends[own] - width]) + sizes[own].astype(np.uint64))
+        if 2 * width <= len(words):
+            half = _joined(half[:-width], half[width:])
+        width *= 2
+    return out
 
 
-def sequence_hash(words: np.ndarray, seed: int = 1) -> int:
-    """A signed 64-bit hash of the whole word sequence."""
-    return int(window_hashes(words, len(words), seed).view(np.int64)[0]) if len(words) else 0
+def sequence_hash(words: np.ndarray) -> int:
+    """A signed 128-bit hash of the whole word sequence, from the words' hashes (any shape); 0 without words."""
+    return xxh3_128_intdigest(words.tobytes()) - (1 << 127) if len(words) else 0
