@@ -43,6 +43,16 @@ def search_terms(text: Column) -> Column:
     return F.flatten(F.transform(identifiers(text), split_identifier))
 
 
+def search_body(title: Column, symbol: Column, path: Column, text: Column, extra: Column | None = None) -> Column:
+    """What full text search indexes of a chunk: title, symbol and path, the text, the parts of its
+    camel-case identifiers, and extra terms (an array), parted by spaces. Nulls and empty parts are left out."""
+    kept = lambda c: F.nullif(c, F.lit(""))
+    head = F.concat_ws(" ", kept(title), kept(symbol), kept(path))
+    humps = F.filter(identifiers(F.concat_ws(" ", head, text)), lambda x: x.rlike(CAMEL))
+    parts = F.array_join(F.flatten(F.transform(humps, split_identifier)), " ")
+    return F.concat_ws(" ", head, text, parts, F.coalesce(extra, F.array().cast("array<string>")) if extra is not None else F.lit(None).cast("string"))
+
+
 def query_terms(text: Column) -> Column:
     """Distinct search terms of a question without stopwords and single letters; null if none are left."""
     kept = F.filter(F.array_distinct(search_terms(text)), lambda x: ~x.isin(STOPWORDS) & (F.length(x) > 1))

@@ -1,8 +1,11 @@
-"""Store semantics as DataFrame operations, and a versioned table with an atomic pointer."""
+"""Store semantics as DataFrame operations, a versioned table, and a store that swaps all its tables at once."""
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,3 +95,122 @@ class VersionedTable:
         if version is None:
             raise FileNotFoundError(f"{self.folder} has no version")
         return self.spark.read.parquet(f"{self.folder}/{version}")
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """One state of a store: the versions of every table's parts. What it reads does not change."""
+
+    store: Store
+    number: int
+    tables: dict[str, dict[str, str]]
+
+    def has(self, name: str, part: str = "") -> bool:
+        """Whether a part of a table is there."""
+        return part in self.tables.get(name, {})
+
+    def read(self, name: str, part: str | None = None) -> DataFrame:
+        """A table: all its parts, or the one asked for."""
+        parts = self.tables.get(name, {})
+        paths = list(parts.values()) if part is None else [parts[part]] if part in parts else []
+        if not paths:
+            raise FileNotFoundError(f"no {name}{f' of {part}' if part else ''} in {self.store.folder}")
+        return self.store.spark.read.parquet(*[f"{self.store.folder}/{p}" for p in paths])
+
+
+class Store:
+    """Parquet tables under one folder that executors share, with one manifest for all of them.
+
+    A table has parts (one for each repository, say), a part has versions, and a manifest names the
+    version of every part. Versions are written whole before a manifest names them; making a manifest
+    the current one is the creation of one empty file. So a reader sees all tables before a swap or all
+    of them after it, whatever fails in between, and a snapshot taken before it can still be read
+    until its versions are swept. Parts that a swap does not name keep their files. One job publishes
+    at a time; a second one that began from the same state is refused.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _listed(self, folder: str = "") -> list:
+        path = self._path(f"{self.folder}/{folder}" if folder else self.folder)
+        return list(self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def _manifests(self) -> list[tuple[int, str, int]]:
+        """(number, name, time in ms) of the manifests that were made current, oldest first."""
+        marks = [(s.getPath().getName(), s.getModificationTime()) for s in self._listed() if s.getPath().getName().startswith("_current.")]
+        return sorted((int(n.split(".")[1]), n.split(".", 2)[2], at) for n, at in marks)
+
+    def _tables(self, name: str) -> dict[str, dict[str, str]]:
+        return json.loads(self.spark.read.text(f"{self.folder}/{name}", wholetext=True).first()[0])
+
+    def snapshot(self) -> Snapshot:
+        """The current state; an empty one if nothing was published."""
+        found = self._manifests()
+        return Snapshot(self, found[-1][0], self._tables(found[-1][1])) if found else Snapshot(self, 0, {})
+
+    def write(self, name: str, rows: DataFrame) -> str:
+        """Writes a version of a part of table name; no snapshot has it until it is published."""
+        version = f"{name}/v-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{version}")
+        return version
+
+    def read_version(self, version: str) -> DataFrame:
+        """A version that may not be published yet."""
+        return self.spark.read.parquet(f"{self.folder}/{version}")
+
+    def publish(self, changes: dict[str, str | None], part: str = "", base: Snapshot | None = None) -> Snapshot:
+        """Swaps in versions by table name, for one part, all at once; None drops the part of a table.
+
+        base: the state that the versions were made from; RuntimeError if another was published since.
+        """
+        now = self.snapshot()
+        if base is not None and base.number != now.number:
+            raise RuntimeError(f"state {now.number} was published since state {base.number}")
+        for version in filter(None, changes.values()):
+            if not self._fs.exists(self._path(f"{self.folder}/{version}/_SUCCESS")):
+                raise ValueError(f"{version} is not whole")
+        tables = {name: dict(parts) for name, parts in now.tables.items()}
+        for name, version in changes.items():
+            tables.setdefault(name, {}).pop(part, None)
+            if version is not None:
+                tables[name][part] = version
+        name = f"manifest-{uuid.uuid4().hex}.json"
+        out = self._fs.create(self._path(f"{self.folder}/{name}"), False)
+        try:
+            out.write(bytearray(json.dumps(tables, sort_keys=True).encode()))
+        finally:
+            out.close()
+        # The claim is exclusive, so of two jobs that got here together one fails and leaves nothing current.
+        self._fs.create(self._path(f"{self.folder}/_claim.{now.number + 1:012d}.{name}"), False).close()
+        if sum(s.getPath().getName().startswith(f"_claim.{now.number + 1:012d}.") for s in self._listed()) > 1:
+            self._fs.delete(self._path(f"{self.folder}/_claim.{now.number + 1:012d}.{name}"), False)
+            raise RuntimeError("another job publishes from the same state")
+        self._fs.create(self._path(f"{self.folder}/_current.{now.number + 1:012d}.{name}"), False).close()
+        self._fs.delete(self._path(f"{self.folder}/_claim.{now.number + 1:012d}.{name}"), False)
+        return Snapshot(self, now.number + 1, tables)
+
+    def sweep(self, grace: float) -> list[str]:
+        """Deletes what no state of the last grace seconds names, and tells what went.
+
+        A state counts from when the next one replaced it. Versions that are not published and younger
+        than that stay: a job may be about to publish them. What is left of failed jobs goes.
+        """
+        limit, found = (time.time() - grace) * 1000, self._manifests()
+        old = [(n, name) for (n, name, _), (_, _, replaced) in zip(found, found[1:], strict=False) if replaced <= limit]
+        kept = {name for _, name, _ in found} - {name for _, name in old}
+        named = {v for name in kept for parts in self._tables(name).values() for v in parts.values()}
+        gone = []
+        for number, name in old:
+            gone += [f"_current.{number:012d}.{name}", name]
+        for status in self._listed():
+            own = status.getPath().getName()
+            if status.isDirectory():
+                gone += [f"{own}/{v.getPath().getName()}" for v in self._listed(own) if f"{own}/{v.getPath().getName()}" not in named and v.getPath().getName().startswith("v-") and v.getModificationTime() <= limit]
+            elif own.startswith(("manifest-", "_claim.")) and own not in kept and own not in gone and status.getModificationTime() <= limit:
+                gone.append(own)
+        for name in gone:
+            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+        return gone

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.operators import inverted as I
 from lodestar.operators import retrieval as X
 from lodestar.plans.registry import Registry
+from lodestar.plans.stored import rows_of, stored
 from lodestar.plans.text_queries import tokens_sql
 from lodestar.session import table
 
@@ -46,30 +48,35 @@ w AS (SELECT term, avgdl, CASE WHEN (n - df + 0.5) / (df + 0.5) <= 1 THEN 1e-6 E
 scored AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN w USING (term) JOIN {_terms_sql(which)} USING (term) GROUP BY query_id, id)"""
 
 
-def scored(spark, d, which=None) -> DataFrame:
-    found = X.bm25(chunks(spark, d).select("id", "text"), X.question_terms(questions(spark, which)))
-    return found.withColumn("score", F.round("score", 6))
+def index(spark, d) -> I.InvertedIndex:
+    """The stored index of the documents' texts, with their kinds."""
+    rows = chunks(spark, d).select("id", F.col("text").alias("body"), "kind")
+    return I.InvertedIndex(stored(spark, d, "documents", "index", rows_of(I.build, rows)))
+
+
+def terms(spark, which=None) -> DataFrame:
+    return X.question_terms(questions(spark, which))
 
 
 @R.query(f"WITH {bm25_sql({1: QUESTIONS[1]})} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10")
 def bm25_topk(spark, d):
-    return X.ranked(scored(spark, d, {1: QUESTIONS[1]}), 10).select("id", "score", "rank")
+    return index(spark, d).top(terms(spark, {1: QUESTIONS[1]}), 10).select("id", "score", "rank")
 
 
 @R.query(f"WITH {bm25_sql(QUESTIONS)} SELECT query_id, id, score FROM scored")
 def bm25_scores_multi_query(spark, d):
-    return scored(spark, d)
+    return index(spark, d).scores(terms(spark))
 
 
 @R.query(f"WITH {bm25_sql({2: QUESTIONS[2]})} SELECT s.id, s.score, {KIND} AS kind FROM scored s JOIN documents ON doc_id = s.id WHERE lang IN ('de', 'fr') ORDER BY s.score DESC, s.id LIMIT 50")
 def bm25_kind_filtered(spark, d):
-    best = scored(spark, d, {2: QUESTIONS[2]}).join(chunks(spark, d).where(F.col("kind").isin("doc", "issue")).select("id", "kind"), "id")
-    return best.orderBy(F.desc("score"), "id").limit(50).select("id", "score", "kind")
+    best = index(spark, d).top(terms(spark, {2: QUESTIONS[2]}), X.CANDIDATES, F.col("kind").isin("doc", "issue"))
+    return best.join(chunks(spark, d).select("id", "kind"), "id").select("id", "score", "kind")
 
 
 @R.query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY term")
 def postings_statistics(spark, d):
-    return X.postings(chunks(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return index(spark, d).terms()
 
 
 DOT_SQL = "round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
@@ -124,7 +131,7 @@ FUSED = "f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FR
 def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
     """Both lists of every stated vector: they take the typed questions in turn, so that each is asked."""
     ask = asked(spark, d).withColumn("query_id", (F.col("query_id") / 20 + 1).cast("bigint"))
-    typed = X.ranked(scored(spark, d), X.CANDIDATES).select(F.col("query_id").alias("typed"), "id", "rank")  # 50 rows for each typed question
+    typed = index(spark, d).top(terms(spark), X.CANDIDATES).select(F.col("query_id").alias("typed"), "id", "rank")  # 50 rows for each typed question
     every = ask.select("query_id").union(questions(spark).select("query_id")).distinct().withColumn("typed", (F.col("query_id") - 1) % len(QUESTIONS) + 1)
     lexical = every.join(F.broadcast(typed), "typed").select("query_id", "id", "rank")
     dense = X.dense_top(vectors(spark, d), ask, X.CANDIDATES).select("query_id", "id", "rank")
@@ -161,8 +168,9 @@ HISTORY = {1: "the thing of eding", 2: "der die und", 3: "answer please question
 r AS (SELECT query_id, id // 1000 AS thread, id, score, row_number() OVER (PARTITION BY query_id, id // 1000 ORDER BY score DESC, id) AS n FROM scored)
 SELECT query_id, thread, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id % 1000 AS turn FROM r WHERE n = 1 QUALIFY rank <= 8""")
 def history_search_best_passage(spark, d):
-    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    hits = X.bm25(turns, X.question_terms(questions(spark, HISTORY))).withColumn("score", F.round("score", 6))
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("body"))
+    own = I.InvertedIndex(stored(spark, d, "conversations", "turns", rows_of(I.build, turns)))
+    hits = own.scores(terms(spark, HISTORY))
     hits = hits.select("query_id", "id", F.floor(F.col("id") / 1000).alias("thread"), F.lit(True).alias("is_passage"), "score")
     return X.regroup(hits, 8).select("query_id", "thread", F.col("shown_id").alias("id"), "score", "rank", (F.col("shown_id") % 1000).alias("turn"))
 
