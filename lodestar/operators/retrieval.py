@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.operators import vectors as V
 
 #: BM25 and fusion constants, candidates of each retriever.
 K1, B, IDF_FLOOR, RRF_K, CANDIDATES = 1.2, 0.75, 1e-6, 60, 50
-#: Queries in one matrix product of dense search.
-SLICE = 256
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -59,44 +56,13 @@ def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return lists.groupBy("query_id", "id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """(query_id, id, score): the k vectors with the largest dot product for each query.
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, one_pass: int = V.ONE_PASS) -> DataFrame:
+    """(query_id, id, score, rank): the k vectors with the largest dot product for each query.
 
-    vectors: id, vector; queries: query_id, vector. Queries go out in blocks of bounded size; each
-    Arrow batch of vectors is multiplied with SLICE queries at a time and keeps its own best k, so
-    only k rows for each query and batch are shuffled. Null vectors are left out; ties go to the smaller id.
+    vectors: id, vector; queries: query_id, vector. Each task keeps its own best k, so only k rows
+    for each query and task are shuffled. Null vectors are left out; ties go to the smaller id.
     """
-    known = queries.where("vector is not null").orderBy("query_id").toLocalIterator(prefetchPartitions=False)
-    out, held = None, []
-
-    def part(rows: list) -> DataFrame:
-        names = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-
-        def run(batches):
-            for batch in batches:
-                ids = batch.column("id").to_numpy()
-                own = np.array(batch.column("vector").to_pylist(), dtype=np.float64)
-                if not len(ids):
-                    continue
-                order = np.argsort(ids, kind="stable")
-                ids, own = ids[order], own[order].T
-                for at in range(0, len(names), SLICE):
-                    scores = np.round(matrix[at : at + SLICE] @ own, 6)
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at : at + SLICE], best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "id", "score"])
-
-        kept = vectors.where("vector is not null").select(F.col("id").cast("bigint").alias("id"), "vector").mapInArrow(run, "query_id bigint, id bigint, score double")
-        return ranked(kept, k)
-
-    for row in known:
-        held.append(row)
-        if len(held) == block:
-            out = part(held) if out is None else out.unionByName(part(held))
-            held = []
-    if held or out is None:
-        out = part(held) if out is None and held else out.unionByName(part(held)) if held else vectors.select(F.col("id").cast("bigint").alias("query_id"), F.col("id").cast("bigint").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    return out
+    return ranked(V.candidates(vectors, queries, k, one_pass), k)
 
 
 def regroup(hits: DataFrame, k: int) -> DataFrame:

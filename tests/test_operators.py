@@ -35,7 +35,7 @@ def test_dense_blocks_and_ann(spark, data):
     v = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     q = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
     whole = {tuple(r) for r in retrieval.dense_top(v, q, 10).collect()}
-    assert whole == {tuple(r) for r in retrieval.dense_top(v, q, 10, block=7).collect()}
+    assert whole == {tuple(r) for r in retrieval.dense_top(v, q, 10, one_pass=7).collect()}
     found = {(r["query_id"], r["id"]) for r in ann.hyperplane_search(v, q, 10).collect()}
     assert len(found & {(r[0], r[1]) for r in whole}) / len(whole) >= 0.9
     assert retrieval.dense_top(v, q.limit(0), 10).count() == 0
