@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sizes of passages, windows and sections.
-PASSAGE, WINDOW_LINES, OVERLAP, LONGEST, SMALL_SECTION = 1200, 60, 10, 80, 120
+PASSAGE, WINDOW_LINES, OVERLAP, LONGEST, SMALL_SECTION, SECTION_LINES = 1200, 60, 10, 80, 120, 60
 
 
 def assemble_threads(turns: DataFrame) -> DataFrame:
@@ -126,6 +126,64 @@ def merge_small(rows: DataFrame) -> DataFrame:
     return ordered.select("path", F.explode(F.expr(fold)).alias("s")).select("path", "s.title", "s.start", "s.end")
 
 
+def split_long(sections: DataFrame, lines: DataFrame) -> DataFrame:
+    """sections (path, start, end, any others) with those of more than SECTION_LINES lines cut into several.
+
+    A piece ends at the last blank line of its second half, else after SECTION_LINES lines; the next one
+    begins after it, so a section is cut in one pass over its blank lines, in order. lines: path, line, text.
+    """
+    others = [c for c in sections.columns if c not in ("path", "start", "end")]
+    long_ = F.col("end") - F.col("start") + 1 > SECTION_LINES
+    own = sections.where(long_).select("path", F.struct("start", "end", *others).alias("section"), F.col("start").cast("bigint").alias("at"), F.lit(0).alias("kind"))
+    blank = lines.where(~F.col("text").rlike(r"\S")).join(sections.where(long_).select("path").distinct(), "path", "left_semi").select("path", F.lit(None).cast(own.schema["section"].dataType).alias("section"), F.col("line").cast("bigint").alias("at"), F.lit(1).alias("kind"))
+    ordered = own.unionByName(blank).repartition("path").sortWithinPartitions("path", "at", "kind")
+    kinds = ", ".join(f"`{c}` {sections.schema[c].dataType.simpleString()}" for c in sections.columns)
+    names = sections.columns
+
+    def pieces(first: int, last: int, blanks: list[int], done: bool) -> tuple[list[tuple[int, int]], int]:
+        """Pieces that are settled by the blank lines so far, and where the next one begins."""
+        out, seen = [], blanks[-1] if blanks else 0
+        while last - first + 1 > SECTION_LINES and (done or seen >= first + SECTION_LINES - 1):
+            stop = first + SECTION_LINES - 1
+            stop = max((b for b in blanks if first + SECTION_LINES // 2 < b <= stop), default=stop)
+            out.append((first, stop))
+            first = stop + 1
+        return out, first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, section, first, blanks = None, None, 0, []
+
+        def told(found: list[tuple[int, int]], types: pa.Schema) -> Iterator[pa.RecordBatch]:
+            rows = [{**section, "path": path, "start": a, "end": b} for a, b in found]
+            if rows:
+                yield pa.RecordBatch.from_pydict({c: [r[c] for r in rows] for c in names}, schema=types)
+
+        def closed(types: pa.Schema) -> Iterator[pa.RecordBatch]:
+            if section is not None:
+                found, rest = pieces(first, section["end"], blanks, True)
+                yield from told([*found, (rest, section["end"])], types)
+
+        types = None
+        for batch in batches:
+            if types is None:
+                inner = batch.schema.field("section").type
+                types = pa.schema([("path", batch.schema.field("path").type) if c == "path" else (c, inner.field(c).type) for c in names])
+            for p, s, at, kind in zip(*(batch.column(c).to_pylist() for c in ("path", "section", "at", "kind")), strict=True):
+                if kind == 0 or p != path:
+                    yield from closed(types)
+                    path, section, first, blanks = p, s, at, []
+                elif section is not None and at <= section["end"]:
+                    blanks.append(at)
+                    if len(blanks) > SECTION_LINES:
+                        found, first = pieces(first, section["end"], blanks, False)
+                        yield from told(found, types)
+                        blanks = [b for b in blanks if b >= first]
+        if types is not None:
+            yield from closed(types)
+
+    return sections.where(~long_).unionByName(ordered.mapInArrow(run, kinds))
+
+
 def islands(lines: DataFrame) -> DataFrame:
     """(path, start, end, n_full) of runs of neighbouring lines (path, line, text) with at least 3 non-blank ones, trimmed to them."""
     full = F.when(F.col("text").rlike(r"\S"), F.col("line"))

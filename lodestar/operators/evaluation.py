@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import text as T
+from lodestar.operators.ranges import BLOCK
+
 #: Resamples of a bootstrap, seed of the draws, share of facts that solves a question.
 RESAMPLES, SEED, SOLVED = 5000, 7, 0.5
 
@@ -60,9 +63,10 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     """(a_only, b_only, p_value) of pairs (a, b): exact two-sided McNemar test on discordant pairs."""
     counts = pairs.agg(F.count_if(F.col("a") & ~F.col("b")).alias("a_only"), F.count_if(~F.col("a") & F.col("b")).alias("b_only"))
     n, least = F.col("a_only") + F.col("b_only"), F.least("a_only", "b_only")
-    # Terms C(n, k) / 2**n in logarithms, so that many pairs do not overflow.
-    log_term = lambda k: F.aggregate(F.filter(F.sequence(F.lit(0).cast("bigint"), k), lambda j: j > 0), -n * F.log(F.lit(2.0)), lambda a, j: a + F.log((n - j + 1) / j))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), least), F.lit(0.0), lambda a, k: a + F.exp(log_term(k)))
+    # Terms C(n, k) / 2**n by their logarithms, each from the one before, so that many pairs do not overflow.
+    first = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("total"))
+    step = lambda a, k: F.struct((a["term"] + F.log((n - k + 1) / k)).alias("term"), (a["total"] + F.exp(a["term"] + F.log((n - k + 1) / k))).alias("total"))
+    tail = F.aggregate(F.filter(F.sequence(F.lit(0).cast("bigint"), least), lambda k: k > 0), first, step)["total"]
     return counts.select("a_only", "b_only", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p_value"))
 
 
@@ -73,6 +77,59 @@ def kappa(pairs: DataFrame) -> DataFrame:
     return stats.select(F.col("po").alias("agreement"), F.when(pe == 1, 1.0).otherwise((F.col("po") - pe) / (1 - pe)).alias("kappa"))
 
 
+def first_relevant(hits: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """(query_id, by, rank): the best rank of a relevant hit in each list of each question with gold; null if there is none.
+
+    hits: query_id, by (what tells a question's lists apart), rank, is_history, ref, path, start, end; gold:
+    query_id, is_history, ref, path, start, end, whole. A hit of code or documents is relevant if it
+    overlaps a gold range of its path, or its path is gold as a whole; one of history if its reference is
+    gold, in any case. Ranges meet by blocks of lines; every list of a question with gold has a row.
+    """
+    code, history = hits.where(~F.col("is_history")), hits.where("is_history")
+    spread = lambda rows: rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))))
+    ranges = spread(gold.where("not is_history and not whole").select("query_id", "path", "start", "end")).withColumnsRenamed({"start": "s", "end": "e"})
+    overlaps = spread(code.select("query_id", *by, "rank", "path", "start", "end")).join(ranges, ["query_id", "path", "block"]).where("s <= end and start <= e")
+    files = code.join(gold.where("not is_history and whole").select("query_id", "path").distinct(), ["query_id", "path"])
+    low = F.lower(T.normal_ref(F.col("ref"))).alias("low")
+    refs = history.withColumn("low", low).join(gold.where("is_history").select("query_id", low).distinct(), ["query_id", "low"])
+    found = overlaps.select("query_id", *by, "rank").unionByName(files.select("query_id", *by, "rank")).unionByName(refs.select("query_id", *by, "rank"))
+    lists = hits.join(gold.select("query_id").distinct(), "query_id", "left_semi").select("query_id", *by).distinct()
+    return lists.join(found.groupBy("query_id", *by).agg(F.min("rank").alias("rank")), ["query_id", *by], "left")
+
+
+def judge_decisions(records: DataFrame, replies: DataFrame) -> DataFrame:
+    """(id, system, i, fact, judge, second): both judges' verdicts on each fact, matched by place.
+
+    records: id, system, key_facts array<struct<fact,covered>>; replies: id, system, reply, the second
+    judge's text. Records without facts, without a reply, or whose reply has not as many verdicts as
+    there are facts are left out.
+    """
+    both = records.where(F.size("key_facts") > 0).join(replies, ["id", "system"]).withColumn("second", T.verdicts(F.col("reply"), F.size("key_facts")))
+    facts = both.where("second is not null").select("id", "system", F.posexplode(F.arrays_zip("key_facts", "second")).alias("i", "z"))
+    return facts.select("id", "system", "i", F.col("z.key_facts.fact").alias("fact"), F.col("z.key_facts.covered").alias("judge"), F.col("z.second").alias("second"))
+
+
+def judge_audit(records: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row: answers, unparsed, decisions, disagreements, agreement, kappa, judge_rate, second_rate; rates are null without decisions."""
+    pairs = decisions.select(F.col("judge").alias("a"), F.col("second").alias("b"))
+    rates = pairs.agg(F.count(F.lit(1)).alias("decisions"), F.count_if(F.col("a") != F.col("b")).alias("disagreements"), F.avg(F.col("a").cast("double")).alias("judge_rate"), F.avg(F.col("b").cast("double")).alias("second_rate"))
+    counts = records.where(F.size("key_facts") > 0).select("id", "system").join(decisions.select("id", "system").distinct().withColumn("parsed", F.lit(True)), ["id", "system"], "left").agg(F.count("parsed").alias("answers"), F.count_if(F.col("parsed").isNull()).alias("unparsed"))
+    return counts.crossJoin(rates).crossJoin(kappa(pairs))  # one row each
+
+
+def judged_correctness(records: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(system, n, judge, second): mean correctness of each system under either judge.
+
+    records: id, system, key_facts, answerable, declined, judged, contradicts. Under the second judge a
+    record has its verdicts; one that it did not judge keeps the first judge's.
+    """
+    again = decisions.groupBy("id", "system").agg(F.count_if("second").alias("again"))
+    covered = F.size(F.filter(F.coalesce("key_facts", F.array().cast(records.schema["key_facts"].dataType)), lambda f: f["covered"]))
+    rows = records.withColumn("covered", covered).withColumn("facts", F.coalesce(F.size("key_facts"), F.lit(0))).join(again, ["id", "system"], "left")
+    score = lambda c: question_score(F.col("answerable"), F.col("declined"), F.col("judged"), F.col("contradicts"), c, F.col("facts"))
+    return rows.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.avg(score(F.col("covered"))).alias("judge"), F.avg(score(F.coalesce("again", "covered"))).alias("second"))
+
+
 def recall_mrr(ranks: DataFrame, by: list[str]) -> DataFrame:
     """recall at 1, 5, 10 and MRR at 10 of rows with rank (null: not found), by groups."""
     hit = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0))
