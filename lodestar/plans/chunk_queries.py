@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import chunking as C
+from lodestar.operators import history as H
 from lodestar.operators import ranges as G
 from lodestar.plans.registry import Registry
 from lodestar.plans.retrieval_queries import LINES_SQL, lines
@@ -78,6 +79,21 @@ def thread_passages(spark, d):
     return C.passages(body.select(F.col("conv_id").alias("id"), "body"))
 
 
+#: Whole documents as sections; every seventeenth line and some more are blank.
+SPLIT_SQL = f"""{LINES_SQL}, spaced AS (SELECT path, line, CASE WHEN line % 17 = 5 OR line * 7 % 23 = 1 THEN ' ' ELSE text END AS text FROM lines),
+blanks AS (SELECT path, line FROM spaced WHERE NOT regexp_matches(text, '\\S')), whole AS (SELECT path, max(line) AS stop FROM spaced GROUP BY path),
+cuts AS (SELECT path, stop, CAST(1 AS BIGINT) AS start, CAST(NULL AS BIGINT) AS last FROM whole
+  UNION ALL SELECT path, stop, cut + 1, cut FROM (SELECT c.path, c.stop, coalesce(max(b.line), any_value(c.start) + 59) AS cut FROM cuts c LEFT JOIN blanks b ON b.path = c.path AND b.line BETWEEN c.start + 31 AND c.start + 59 WHERE c.stop - c.start + 1 > 60 GROUP BY c.path, c.stop, c.start))"""
+
+
+@R.query(f"WITH RECURSIVE {SPLIT_SQL} SELECT path, start, coalesce(lead(start) OVER (PARTITION BY path ORDER BY start) - 1, stop) AS stop FROM cuts")
+def split_sections(spark, d):
+    n = F.col("line")
+    spaced = lines(spark, d).select("path", "line", F.when((n % 17 == 5) | (n * 7 % 23 == 1), " ").otherwise(F.col("text")).alias("text"))
+    whole = spaced.groupBy("path").agg(F.lit(1).cast("bigint").alias("start"), F.max("line").cast("bigint").alias("end"))
+    return C.split_long(whole, spaced).select("path", "start", F.col("end").alias("stop"))
+
+
 # ---- line ranges: definitions, calls, citations -------------------------------------------------
 DEFS_SQL = "defs AS (SELECT doc_id AS def_id, source AS path, doc_id * 13 % 700 + 1 AS s, doc_id * 13 % 700 + 1 + doc_id * 31 % 97 AS e FROM documents)"
 CALLS_SQL = "calls AS (SELECT doc_id AS call_id, source AS path, doc_id * 17 % 800 + 1 AS line FROM documents)"
@@ -129,3 +145,29 @@ def definition_bodies(spark, d):
     hits = G.points_in(lines(spark, d), spans)
     n = F.row_number().over(Window.partitionBy("def_id").orderBy("line"))
     return hits.withColumn("n", n).where("n <= 60").select("def_id", "line", "text")
+
+
+#: Each document is a commit to its source's file with two hunks; the later hunk's old place follows from the earlier one.
+HUNKS_SQL = """hunks AS (SELECT source AS path, doc_id AS seq, doc_id * 13 % 300 + 8 AS n1, doc_id % 7 AS m1, doc_id * 5 % 6 AS k1, doc_id * 11 % 300 + 400 AS n2, doc_id * 3 % 7 AS m2, doc_id % 5 AS k2 FROM documents),
+placed AS (SELECT path, seq, unnest([{'new': n1, 'm': m1, 'k': k1, 'was': 0}, {'new': n2, 'm': m2, 'k': k2, 'was': m1 - k1}]) AS h FROM hunks),
+commits AS (SELECT path, seq, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS i, list({'low': 2 * h.new + CASE WHEN h.m = 0 THEN 1 ELSE 0 END, 'high': CASE WHEN h.m = 0 THEN 2 * h.new + 1 ELSE 2 * (h.new + h.m - 1) END, 'm': h.m, 'k': h.k,
+  'first': h.new - h.was - CASE WHEN h.m > 0 AND h.k = 0 THEN 1 WHEN h.m = 0 AND h.k > 0 THEN -1 ELSE 0 END + CASE WHEN h.k = 0 THEN 1 ELSE 0 END,
+  'last': h.new - h.was - CASE WHEN h.m > 0 AND h.k = 0 THEN 1 WHEN h.m = 0 AND h.k > 0 THEN -1 ELSE 0 END + greatest(h.k - 1, 0)} ORDER BY h.new) AS hs FROM placed WHERE h.m + h.k > 0 GROUP BY path, seq),
+asks AS (SELECT item_id, concat('src', item_id % 20) AS path, item_id * 29 % 600 + 1 AS s, item_id * 29 % 600 + 1 + item_id % 9 AS e FROM benchmark),
+walk AS (SELECT item_id, path, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, false AS hit, CAST(NULL AS BIGINT) AS at_s, CAST(NULL AS BIGINT) AS at_e, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM asks
+  UNION ALL SELECT item_id, w.path, c.i, c.seq, n + CASE WHEN len(list_filter(hs, lambda h: h.low <= 2 * e AND h.high >= 2 * s)) > 0 THEN 1 ELSE 0 END, len(list_filter(hs, lambda h: h.low <= 2 * e AND h.high >= 2 * s)) > 0, s, e,
+  CAST(coalesce(list_filter(hs, lambda h: h.low <= 2 * s AND h.high >= 2 * s)[1].first, s + coalesce(list_sum(list_transform(list_filter(hs, lambda h: h.high < 2 * s), lambda h: h.k - h.m)), 0)) AS BIGINT),
+  CAST(coalesce(list_filter(hs, lambda h: h.low <= 2 * e AND h.high >= 2 * e)[1].last, e + coalesce(list_sum(list_transform(list_filter(hs, lambda h: h.high < 2 * e), lambda h: h.k - h.m)), 0)) AS BIGINT)
+  FROM walk w JOIN commits c ON c.path = w.path AND c.i = w.i + 1 WHERE w.s <= w.e AND w.n < 10)"""
+
+
+@R.query(f"WITH RECURSIVE {HUNKS_SQL} SELECT item_id, n, seq, at_s AS start, at_e AS stop FROM walk WHERE hit")
+def line_history(spark, d):
+    """The newest ten commits that changed each asked range, which moves and widens on its way back."""
+    k = F.col("doc_id")
+    hunk = lambda new, m, o, was: F.struct((new - was - F.when((m > 0) & (o == 0), 1).when((m == 0) & (o > 0), -1).otherwise(0)).alias("old_start"), o.alias("old_lines"), new.alias("new_start"), m.alias("new_lines"))
+    both = F.array(hunk(k * 13 % 300 + 8, k % 7, k * 5 % 6, F.lit(0)), hunk(k * 11 % 300 + 400, k * 3 % 7, k % 5, k % 7 - k * 5 % 6))
+    hunks = table(spark, d, "documents").select(F.col("source").alias("path"), k.alias("seq"), F.explode(both).alias("h")).select("path", "seq", "h.*").where("old_lines + new_lines > 0")
+    i = F.col("item_id")
+    asked = table(spark, d, "benchmark").select(i.alias("ask_id"), F.concat(F.lit("src"), i % 20).alias("path"), (i * 29 % 600 + 1).alias("start"), (i * 29 % 600 + 1 + i % 9).alias("end"))
+    return H.line_history(asked, hunks).select(F.col("ask_id").alias("item_id"), "n", "seq", "start", F.col("end").alias("stop"))

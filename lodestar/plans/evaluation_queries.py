@@ -127,3 +127,44 @@ def causal_density_topk(spark, d):
 @R.query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
 def kind_counts(spark, d):
     return table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- audit of a judge by a second one -------------------------------------------------------------
+#: Labelled documents are answers; up to four facts each, verdicts by their numbers; every fifth reply cannot be read.
+RECORDS_SQL = """records AS (SELECT doc_id AS id, concat('system', doc_id % 3) AS system, list_transform(range(doc_id % 5), lambda i: {'fact': concat('fact ', doc_id, '.', i), 'covered': (doc_id * 7 + i * 3) % 4 > 0}) AS key_facts, quality = 1 AS answerable, doc_id % 8 = 3 AS declined, doc_id % 13 > 0 AS judged, toxic = 1 AS contradicts FROM labels),
+replies AS (SELECT id, system, list_transform(range(len(key_facts)), lambda i: (id * 7 + i * 3) % 4 > 0 AND (id + i) % 6 > 0) AS second FROM records WHERE len(key_facts) > 0 AND id % 5 > 0),
+decisions AS (SELECT id, system, unnest(range(len(second))) AS i, unnest(list_transform(key_facts, lambda f: f.fact)) AS fact, unnest(list_transform(key_facts, lambda f: f.covered)) AS judge, unnest(second) AS second FROM records JOIN replies USING (id, system))"""
+
+
+def _judged(spark, d):
+    """(records, decisions) of both judges."""
+    k = F.col("doc_id")
+    places = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")), lambda i: i < k % 5)
+    first = lambda i: (k * 7 + i * 3) % 4 > 0
+    facts = F.transform(places, lambda i: F.struct(F.concat(F.lit("fact "), k, F.lit("."), i).alias("fact"), first(i).alias("covered")))
+    reply = F.array_join(F.transform(places, lambda i: F.when(first(i) & ((k + i) % 6 > 0), "Yes").otherwise("no")), "\n")
+    rows = table(spark, d, "labels").select(
+        k.alias("id"), F.concat(F.lit("system"), k % 3).alias("system"), facts.alias("key_facts"), (F.col("quality") == 1).alias("answerable"), (k % 8 == 3).alias("declined"), (k % 13 > 0).alias("judged"),
+        (F.col("toxic") == 1).alias("contradicts"), F.when(k % 5 > 0, reply).otherwise("I cannot tell").alias("reply"),
+    )
+    records = rows.drop("reply")
+    return records, E.judge_decisions(records, rows.select("id", "system", "reply"))
+
+
+@R.query(f"""WITH {RECORDS_SQL}, p AS (SELECT avg(CASE WHEN judge = second THEN 1.0 ELSE 0.0 END) AS po, avg(CASE WHEN judge THEN 1.0 ELSE 0.0 END) AS pa, avg(CASE WHEN second THEN 1.0 ELSE 0.0 END) AS pb, count(*) AS n, count(*) FILTER (WHERE judge <> second) AS k FROM decisions)
+SELECT (SELECT count(*) FROM replies) AS answers, (SELECT count(*) FROM records WHERE len(key_facts) > 0 AND id % 5 = 0) AS unparsed, n AS decisions, k AS disagreements, round(pa, 6) AS judge_rate, round(pb, 6) AS second_rate, round(po, 6) AS agreement, round((po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 6) AS kappa FROM p""")
+def judge_audit(spark, d):
+    return E.judge_audit(*_judged(spark, d)).select("answers", "unparsed", "decisions", "disagreements", *[F.round(c, 6).alias(c) for c in ("judge_rate", "second_rate", "agreement", "kappa")])
+
+
+@R.query(f"WITH {RECORDS_SQL} SELECT id, system, fact, judge, second FROM decisions WHERE judge <> second")
+def judge_disagreements(spark, d):
+    _, decisions = _judged(spark, d)
+    return decisions.where("judge <> second").select("id", "system", "fact", "judge", "second")
+
+
+@R.query(f"""WITH {RECORDS_SQL}, c AS (SELECT r.*, len(key_facts) AS facts, len(list_filter(key_facts, lambda f: f.covered)) AS first, coalesce(len(list_filter(s.second, lambda x: x)), len(list_filter(key_facts, lambda f: f.covered))) AS again FROM records r LEFT JOIN replies s USING (id, system)),
+v AS (SELECT system, CASE WHEN NOT answerable THEN CAST(declined AS DOUBLE) WHEN declined OR NOT judged OR contradicts OR facts = 0 THEN 0.0 ELSE first / facts END AS x, CASE WHEN NOT answerable THEN CAST(declined AS DOUBLE) WHEN declined OR NOT judged OR contradicts OR facts = 0 THEN 0.0 ELSE again / facts END AS y FROM c)
+SELECT system, count(*) AS n, round(avg(x), 6) AS judge, round(avg(y), 6) AS second FROM v GROUP BY system""")
+def judged_correctness(spark, d):
+    return E.judged_correctness(*_judged(spark, d)).select("system", "n", F.round("judge", 6).alias("judge"), F.round("second", 6).alias("second"))

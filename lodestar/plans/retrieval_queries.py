@@ -151,6 +151,63 @@ def hybrid_search(spark, d):
     return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 8").select("query_id", "id", "score", "rank", "kind", "title")
 
 
+# ---- ranked lists against gold evidence ----------------------------------------------------------
+#: The lists' best DEPTH; hits are line ranges of code and documents, or history by reference.
+DEPTH = 20
+SHOWN_SQL = f"SELECT doc_id, {KIND} AS kind, lang IN ('en', 'de') AS is_code, source AS path, doc_id * 13 % 700 + 1 AS s, doc_id * 13 % 700 + 1 + doc_id * 31 % 97 AS e FROM documents"
+RANKS_SQL = f"""{LISTS}, {FUSED}, fused AS (SELECT f.query_id, f.id, row_number() OVER (PARTITION BY f.query_id ORDER BY f.score DESC, f.id) AS rank FROM f),
+hits AS (SELECT query_id, mode, rank, NOT is_code AS is_history, concat(kind, '#', doc_id) AS ref, path, s, e FROM (SELECT *, 'bm25' AS mode FROM lex UNION ALL SELECT *, 'dense' FROM den UNION ALL SELECT *, 'hybrid' FROM fused) JOIN ({SHOWN_SQL}) ON doc_id = id WHERE rank <= {DEPTH}),
+gold AS (SELECT doc_id // 11 % 25 + 1 AS query_id, NOT is_code AS is_history, upper(concat(kind, '#', doc_id)) AS ref, path, doc_id * 29 % 600 + 1 AS gs, doc_id * 29 % 600 + 40 AS ge, doc_id % 9 = 0 AS whole FROM ({SHOWN_SQL}) WHERE doc_id % 11 = 0),
+firsts AS (SELECT h.query_id, h.mode, min(h.rank) FILTER (WHERE g.query_id IS NOT NULL) AS rank FROM hits h LEFT JOIN gold g ON g.query_id = h.query_id AND g.is_history = h.is_history AND CASE WHEN h.is_history THEN lower(g.ref) = lower(h.ref) ELSE g.path = h.path AND (g.whole OR (g.gs <= h.e AND h.s <= g.ge)) END
+  WHERE h.query_id IN (SELECT query_id FROM gold) GROUP BY h.query_id, h.mode)"""
+
+
+def _shown(spark, d) -> DataFrame:
+    k, kind = F.col("doc_id"), F.expr(KIND)
+    return table(spark, d, "documents").select(k.alias("id"), (~F.col("lang").isin("en", "de")).alias("is_history"), F.concat(kind, F.lit("#"), k).alias("ref"), F.col("source").alias("path"), (k * 13 % 700 + 1).alias("start"), (k * 13 % 700 + 1 + k * 31 % 97).alias("end"))
+
+
+def _first_ranks(spark, d) -> DataFrame:
+    from lodestar.operators import evaluation as E
+
+    lexical, dense = _lists(spark, d)
+    fused = X.ranked(X.fuse(lexical.unionByName(dense)).withColumn("score", F.round("score", 6)), DEPTH).select("query_id", "id", "rank")
+    modes = [rows.where(F.col("rank") <= DEPTH).withColumn("mode", F.lit(name)) for name, rows in (("bm25", lexical), ("dense", dense), ("hybrid", fused))]
+    hits = modes[0].unionByName(modes[1]).unionByName(modes[2]).join(_shown(spark, d), "id")
+    k = F.col("id")
+    gold = _shown(spark, d).where(k % 11 == 0).select((F.floor(k / 11) % 25 + 1).alias("query_id"), "is_history", F.upper("ref").alias("ref"), "path", (k * 29 % 600 + 1).alias("start"), (k * 29 % 600 + 40).alias("end"), (k % 9 == 0).alias("whole"))
+    return E.first_relevant(hits, gold, ["mode"])
+
+
+@R.query(f"{RANKS_SQL} SELECT query_id, mode, rank FROM firsts")
+def first_relevant_rank(spark, d):
+    return _first_ranks(spark, d)
+
+
+@R.query(f"{RANKS_SQL} SELECT mode, count(*) AS n, {', '.join(f'round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_{k}' for k in (1, 5, 10))}, round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0.0 END), 6) AS mrr_10 FROM firsts GROUP BY mode")
+def recall_of_lists(spark, d):
+    """Recall and MRR of the real lists, by how they were made."""
+    from lodestar.operators import evaluation as E
+
+    return E.recall_mrr(_first_ranks(spark, d), ["mode"])
+
+
+BODY_SQL = r"""SELECT doc_id, concat_ws(' ', title, symbol, path) AS head, text FROM (SELECT doc_id, nullif(split_part(text, chr(10), 1), '') AS title, CASE WHEN doc_id % 3 = 0 THEN concat('retryDelay', doc_id % 7, '.HTTPServer_getURL') END AS symbol, concat(source, '/docPage', doc_id, '.txt') AS path, text FROM documents)"""
+_HUMPS_SQL = r"regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g')"
+
+
+@R.query(rf"""WITH b AS ({BODY_SQL}), i AS (SELECT doc_id, head, text, list_filter(regexp_extract_all(concat(head, ' ', text), '[A-Za-z_][A-Za-z0-9_]*'), lambda x: regexp_matches(x, '[a-z0-9][A-Z]|[A-Z][A-Z][a-z]')) AS humps FROM b)
+SELECT doc_id, md5(concat_ws(' ', head, text, array_to_string(list_transform(humps, lambda x: array_to_string(list_filter(string_split(lower({_HUMPS_SQL.replace("{x}", "x")}), '_'), lambda y: y <> ''), ' ')), ' '))) AS body_md5, len(humps) AS n_humps FROM i""")
+def search_body(spark, d):
+    """What full text search indexes of chunks with titles, symbols and paths."""
+    k = F.col("doc_id")
+    title, path = F.element_at(F.split("text", "\n"), 1), F.concat("source", F.lit("/docPage"), k, F.lit(".txt"))
+    symbol = F.when(k % 3 == 0, F.concat(F.lit("retryDelay"), k % 7, F.lit(".HTTPServer_getURL")))
+    head = F.concat_ws(" ", F.nullif(title, F.lit("")), symbol, path)
+    humps = F.filter(T.identifiers(F.concat_ws(" ", head, "text")), lambda x: x.rlike(T.CAMEL))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.search_body(title, symbol, path, F.col("text"))).alias("body_md5"), F.size(humps).alias("n_humps"))
+
+
 # ---- history: conversations as threads, their turns as passages -------------------------------
 @R.query("SELECT conv_id, concat('Thread ', conv_id, chr(10), chr(10), string_agg(concat('--- ', role, ': ', text), concat(chr(10), chr(10)) ORDER BY turn)) AS body, count(*) AS n_comments FROM conversations GROUP BY conv_id")
 def thread_assembly(spark, d):
