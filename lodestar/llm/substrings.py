@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
-from lodestar.llm.words import mix, stretch_hashes, window_hashes, word_hashes, word_pairs
+from lodestar.llm.words import mix, stretch_hashes, stretch_pairs, window_hashes, word_hashes, word_pairs
 from lodestar.session import cut, release
 
 SPAN, GRAM = 20, 6
@@ -102,7 +102,7 @@ def _repeated(batch: pa.RecordBatch, names: list[str], counts: list[int]) -> dic
 def _window_rows(seeded: DataFrame, span: int, who: list[str]) -> DataFrame:
     """(w1, w2, *who, p) for each window that the documents' seeds (array of pos) anchor.
 
-    w1 and the 32 bits of w2 come from different hashes of the words.
+    w1 and the 32 bits of w2 come from a 128-bit hash of the words' 128-bit hashes.
     """
 
     def make():
@@ -118,8 +118,9 @@ def _window_rows(seeded: DataFrame, span: int, who: list[str]) -> DataFrame:
                 at = at[at + span <= len(pairs)]
                 counts.append(len(at))
                 if len(at):
-                    out[0].append(stretch_hashes(np.ascontiguousarray(pairs[:, 0]), at, at + span).view(np.int64))
-                    out[1].append((stretch_hashes(np.ascontiguousarray(pairs[:, 1]), at, at + span) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    found = stretch_pairs(pairs, at, at + span)
+                    out[0].append(found[:, 0].view(np.int64))
+                    out[1].append((found[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     out[2].append(at.astype(np.int32))
             return dict(zip(("w1", "w2", "p"), map(np.concatenate, out), strict=True)) | _repeated(batch, who, counts) if out[0] else None
 

@@ -2,15 +2,16 @@
 
 A word is a run of bytes other than space and 0x09-0x0D, so the words are those of
 ``[^\\x20\\x09-\\x0D]+`` on the decoded text. A word's hashes are the halves of the XXH3-128 of its
-bytes. A window's hash comes from those of two windows of a power of two that cover it, and theirs
-from two halves each, with a mixer after every step; so no sum of powers stands behind it that chosen
-sequences could cancel out. Two seeds, one for each half, give 128 bits.
+bytes. The hash of every window of a size comes from those of two windows of a power of two that cover
+it, and theirs from two halves each, with a multiplication and a shift after every step; so no sum of
+powers stands behind it that chosen sequences could cancel out. Single stretches, of any length, are
+hashed by XXH3 over their words' hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from xxhash import xxh3_128_digest, xxh3_128_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest, xxh3_128_intdigest
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -41,18 +42,17 @@ def word_pairs(data: bytes) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2)
 
 
-def word_hashes(data: bytes, seed: int = 1) -> np.ndarray:
-    """One 64-bit hash for each word; seed 1 or 2."""
-    return np.ascontiguousarray(word_pairs(data)[:, seed - 1])
+def word_hashes(data: bytes) -> np.ndarray:
+    """One 64-bit hash for each word."""
+    words = data.split()
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left * _LEFT + right)
-
-
-def _level(size: int) -> int:
-    """The largest power of two that is no more than size, as an exponent."""
-    return size.bit_length() - 1
+    out = left * _LEFT
+    out += right
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -63,21 +63,26 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     half, width = words, 1
     while 2 * width <= size:
         half, width = _joined(half[:-width], half[width:]), 2 * width
-    return mix(_joined(half[:n], half[size - width : size - width + n]) + np.uint64(size))
+    return mix(_joined(half[:n], half[size - width : size - width + n]) if width < size else half)
+
+
+def _stretches(words: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    view, width = memoryview(np.ascontiguousarray(words)).cast("B"), words.itemsize * words[0].size
+    return (view[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True))
 
 
 def stretch_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each stretch of words from starts to ends (not included); those of window_hashes."""
-    out = np.zeros(len(starts), dtype=np.uint64)
-    sizes = ends - starts
-    half, width = words, 1
-    while len(sizes) and width <= sizes.max():
-        own = np.flatnonzero((sizes >= width) & (sizes < 2 * width))
-        out[own] = mix(_joined(half[starts[own]], half[ends[own] - width]) + sizes[own].astype(np.uint64))
-        if 2 * width <= len(words):
-            half = _joined(half[:-width], half[width:])
-        width *= 2
-    return out
+    """A 64-bit hash for each stretch of words (hashes or pairs of them) from starts to ends (not included)."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    return np.fromiter(map(xxh3_64_intdigest, _stretches(words, starts, ends)), np.uint64, len(starts))
+
+
+def stretch_pairs(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Both 64-bit hashes of each stretch, one stretch a row."""
+    if not len(starts):
+        return np.zeros((0, 2), dtype=np.uint64)
+    return np.frombuffer(b"".join(map(xxh3_128_digest, _stretches(words, starts, ends))), dtype=np.uint64).reshape(-1, 2)
 
 
 def sequence_hash(words: np.ndarray) -> int:
