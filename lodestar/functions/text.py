@@ -107,6 +107,37 @@ def release_candidates(ref: Column) -> Column:
     return F.when(marked | bare.rlike(r"^v?\d+(\.\d+)+"), known).otherwise(F.array(bare))
 
 
+def is_history(ref: Column) -> Column:
+    """Whether a reference is to a thread, release or commit."""
+    return ref.rlike(r"(?i)^(PR#|issue#|discussion#|release:|commit:)")
+
+
+def number_of(ref: Column) -> Column:
+    """The number at the end of a thread's reference; null if it has none."""
+    return F.regexp_extract(ref, r"#(\d+)$", 1).try_cast("bigint")
+
+
+def source_url(owner: Column, name: Column, commit: Column, kind: Column, ref: Column) -> Column:
+    """The web address of a piece of evidence: lines of a file at a commit, a commit, a release, a thread."""
+    base = F.concat(F.lit("https://github.com/"), owner, F.lit("/"), name)
+    path, start, end = ref_range(ref)
+    tail = F.regexp_extract(ref, r"^[^:]*:(.*)$", 1)
+    section = F.when(kind == "pr", "/pull/").when(kind == "issue", "/issues/").when(kind == "discussion", "/discussions/")
+    return (
+        F.when(kind.isin("code", "doc"), F.concat(base, F.lit("/blob/"), commit, F.lit("/"), path, F.lit("#L"), start, F.lit("-L"), end))
+        .when(kind == "commit", F.concat(base, F.lit("/commit/"), tail))
+        .when(kind == "release", F.concat(base, F.lit("/releases/tag/"), tail))
+        .otherwise(F.concat(base, section, number_of(ref)))
+    )
+
+
+def snippet(text: Column, first_line: Column, ref: Column, most: int = 2000) -> Column:
+    """The lines of an evidence text, which begins at first_line, that a resolved line reference names; the whole text for others."""
+    _, start, end = ref_range(ref)
+    own = F.array_join(F.slice(F.split(text, "\n"), (F.greatest(start - first_line, F.lit(0)) + 1).cast("int"), (end - start + 1).cast("int")), "\n")
+    return F.substring(F.when(first_line.isNotNull() & start.isNotNull(), own).otherwise(text), 1, most)
+
+
 def markers(answer: Column) -> Column:
     """Numbers of the [n] markers of an answer."""
     return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("bigint"))

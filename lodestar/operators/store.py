@@ -97,6 +97,10 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.folder}/{version}")
 
 
+#: Seconds after which the claim of a job that publishes counts as that of a lost one.
+CLAIM = 600
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """One state of a store: the versions of every table's parts. What it reads does not change."""
@@ -183,13 +187,19 @@ class Store:
             out.write(bytearray(json.dumps(tables, sort_keys=True).encode()))
         finally:
             out.close()
-        # The claim is exclusive, so of two jobs that got here together one fails and leaves nothing current.
-        self._fs.create(self._path(f"{self.folder}/_claim.{now.number + 1:012d}.{name}"), False).close()
-        if sum(s.getPath().getName().startswith(f"_claim.{now.number + 1:012d}.") for s in self._listed()) > 1:
-            self._fs.delete(self._path(f"{self.folder}/_claim.{now.number + 1:012d}.{name}"), False)
-            raise RuntimeError("another job publishes from the same state")
-        self._fs.create(self._path(f"{self.folder}/_current.{now.number + 1:012d}.{name}"), False).close()
-        self._fs.delete(self._path(f"{self.folder}/_claim.{now.number + 1:012d}.{name}"), False)
+        # Of two jobs that got here together each sees the other's claim, or the other's state; none of
+        # those goes on. A claim that a lost job left is void after CLAIM seconds.
+        number, claims = now.number + 1, f"_claim.{now.number + 1:012d}."
+        claim = self._path(f"{self.folder}/{claims}{name}")
+        self._fs.create(claim, False).close()
+        try:
+            others = [s for s in self._listed() if s.getPath().getName().startswith(claims) and s.getModificationTime() > (time.time() - CLAIM) * 1000]
+            found = self._manifests()
+            if len(others) > 1 or (found[-1][0] if found else 0) != now.number:
+                raise RuntimeError("another job publishes from the same state")
+            self._fs.create(self._path(f"{self.folder}/_current.{number:012d}.{name}"), False).close()
+        finally:
+            self._fs.delete(claim, False)
         return Snapshot(self, now.number + 1, tables)
 
     def sweep(self, grace: float) -> list[str]:

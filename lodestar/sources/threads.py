@@ -17,8 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestar.functions import text as T
 
-#: Kinds in the order in which they share the budget, page size, characters of a thread.
-KINDS, PAGE, LEAST_PAGE, MOST_CHARS = ("release", "issue", "pr", "discussion"), 25, 6, 30_000
+#: Kinds in the order in which they share the budget, page size, characters of a thread, and of its opening that are embedded.
+KINDS, PAGE, LEAST_PAGE, MOST_CHARS, MOST_EMBEDDED = ("release", "issue", "pr", "discussion"), 25, 6, 30_000, 2_000
 SCHEMA = "kind string, kind_order int, seq int, number bigint, tag string, title string, body string, created_at string, merged_at string, closed_at string, author string, answer string, answer_author string, comments array<struct<author:string,body:string>>"
 
 
@@ -94,7 +94,8 @@ def thread_chunks(threads: DataFrame) -> DataFrame:
     answer = F.when(F.col("answer").isNotNull(), F.concat(F.lit("--- accepted answer by "), who(F.col("answer_author")), F.lit(":\n"), T.without_comments(F.col("answer"))))
     comments = F.transform(F.coalesce("comments", F.array().cast("array<struct<author:string,body:string>>")), lambda c: F.concat(F.lit("--- "), F.coalesce(c["author"], F.lit("ghost")), F.lit(":\n"), T.without_comments(c["body"])))
     parts = F.array_compact(F.concat(F.array(head, F.nullif(T.without_comments(F.col("body")), F.lit("")), answer), comments))
-    return threads.select("kind", ref.alias("ref"), "title", F.substring(F.array_join(parts, "\n\n"), 1, MOST_CHARS).alias("text"), "created_at")
+    opening = F.concat(F.when(F.col("kind") == "release", "Release ").otherwise(""), F.coalesce("title", F.lit("")), F.lit("\n"), T.without_comments(F.col("body")))
+    return threads.select("kind", ref.alias("ref"), "title", F.substring(F.array_join(parts, "\n\n"), 1, MOST_CHARS).alias("text"), "created_at", F.substring(opening, 1, MOST_EMBEDDED).alias("embed_text"))
 
 
 def recorded(path: str) -> Callable:

@@ -112,6 +112,9 @@ def test_ingest(index):
     assert chunks.where("path like 'tests/%'").count() == 0
     assert chunks.count() == chunks.select("ref").distinct().count()
     assert {r["title"] for r in chunks.where("kind = 'doc'").collect()} == {"Guide", "Guide > Timeouts"}
+    head = chunks.where("symbol = 'Client'").first()
+    assert (head["start_line"], head["end_line"], head["extra"]) == (8, 8, ["get", "send"])
+    assert {r["symbol"] for r in chunks.where("kind = 'code'").collect()} == {None, "Client", "Client.get", "Client.send", "retry"}
     assert {(r["callee"], r["caller"]) for r in index.read("calls").collect()} == {("send", "Client.get"), ("retry", "Client.send"), ("join", "retry")}
     assert chunks.where("symbol is null and kind = 'code'").first()["text"].startswith("import os")
 
@@ -156,9 +159,12 @@ def test_loop_ends_at_its_budget(index):
 def test_tools(index):
     s = agent.Session(index)
     assert "Client.get" in agent.TOOLS["find_symbol"](s, "Client.get") or "pkg/client.py" in agent.TOOLS["find_symbol"](s, "Client.get")
-    assert agent.TOOLS["read_file"](s, "pkg/client.py", 8, 9).startswith("    8  class Client:")
-    assert agent.TOOLS["read_file"](s, "../secret", 1, 2) == "no such file or lines"
-    assert "1 matches" in agent.TOOLS["grep"](s, "LIMIT")
+    assert agent.TOOLS["read_file"](s, "pkg/client.py", 8, 9).splitlines()[:2] == ["pkg/client.py lines 8-9 of 17", "    8  class Client:"]
+    assert agent.TOOLS["read_file"](s, "../secret", 1, 2) == "no such file"
+    assert agent.TOOLS["read_file"](s, "./pkg/client.py", 99, 200) == "pkg/client.py has 17 lines"
+    assert "1 matches" in agent.TOOLS["grep"](s, "LIMIT") and agent.TOOLS["grep"](s, "limit") == "no matches"
+    assert "1 matches" in agent.TOOLS["grep"](s, "limit", ignore_case=True)
+    assert agent.TOOLS["grep"](s, "(?<name>LIM)IT").endswith("1 matches")  # the syntax that runs
     assert agent.TOOLS["grep"](s, "(").startswith("invalid pattern")
     assert agent.TOOLS["list_files"](s, "*.md") == "guide.md"
 
