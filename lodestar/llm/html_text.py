@@ -2,7 +2,7 @@
 
 Markup is stripped and every block of the page becomes a line. A line weighs the length of its text;
 markup only shifts weights: a line of a marked article weighs INSIDE times its length, one outside it
-an OUTSIDE-th, and a line of boilerplate (navigation, page header and footer, sidebars, forms, notices,
+an OUTSIDE-th, with a gap where the article begins and ends, and a line of boilerplate (navigation, page header and footer, sidebars, forms, notices,
 adverts, reader comments) or, where no article is marked, of links mostly, weighs nothing. Boilerplate
 inside the article is stripped with the markup, so it opens no gap there. Sums over sliding windows of
 WINDOW lines give the distribution: it surges where a sum reaches SURGE and dives where one falls to
@@ -30,6 +30,8 @@ HOLDERS = set("article aside blockquote button details dialog div dl fieldset fi
 BOILERPLATE = set("aside button dialog footer form menu nav select".split())
 ARTICLES = {"article", "main"}
 MARKS = set("ad ads adsense advert advertisement advertisements adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar navigation newsletter notice notification popup promo promotion related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
+#: Words after a mark that make its name that of a part of a page, and not of a subject (related-posts, but not related-work).
+PARTS = MARKS | set("area article articles aside bar block body bottom box btn button buttons card cards col column container content control controls count feed form group head header heading icon icons inner inside item items left link links list main meta module news outer overlay panel placeholder post posts primary right row section secondary slot stories story text thread title toggle top unit widgets wrap wrapper zone".split())
 #: Every alternative can end at the end of the page, so no search starts twice over the same text.
 _DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|object|title)\b[^>]*(?:>|\Z).*?(?:</\1[^>]*(?:>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
@@ -59,12 +61,12 @@ def _is_boilerplate(name: str, own: dict[str, str], in_article: bool) -> bool:
 
 
 def _is_marked(name: str, own: dict[str, str], in_article: bool) -> bool:
-    """A mark is a whole class, id or role, or its head."""
+    """A mark is a whole class, id or role, or its head where only words of PARTS or of one or two letters follow."""
     for word in " ".join(own.get(k, "") for k in ("class", "id", "role")).lower().split():
         parts = [p for p in re.split(r"[^a-z]+", word) if p]
         if len(parts) == 2 and parts[0] in WHOSE:
             parts = parts[1:]
-        if parts and (parts[0] in MARKS or parts[0] == "header" and not in_article and name != "h1"):
+        if parts and (parts[0] in MARKS or parts[0] == "header" and not in_article and name != "h1") and all(p in PARTS or len(p) <= 2 for p in parts[1:]):
             return True
     return False
 
@@ -198,10 +200,15 @@ def stretches(weights: list[int]) -> list[tuple[int, int]]:
 
 
 def weighed(found: list[tuple[str, int, bool, bool]]) -> list[tuple[str, int]]:
-    """(text, weight) of the lines of the distribution."""
+    """(text, weight) of the lines of the distribution; where the article begins or ends, empty lines part it from what is outside."""
     marked = any(article and not boiler for _, _, boiler, article in found)
-    out = []
+    out: list[tuple[str, int]] = []
+    inside = None
     for text, linked, boiler, article in found:
+        if marked and inside is not None and article != inside and not (boiler and article):
+            out += [("", 0)] * WINDOW
+        if not (boiler and article):
+            inside = article
         if boiler:
             if not (marked and article):
                 out.append((text, 0))

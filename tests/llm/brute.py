@@ -99,19 +99,24 @@ def edited(docs: dict) -> dict:
     return out
 
 
+BLOCK_TAGS = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+NESTED_TAGS = set("article aside blockquote button details dialog div dl fieldset figure footer form header main menu nav ol section select span table ul".split())
+PAGE_PARTS = re.compile(r"(?:(?:site|page|main)[-_ ])?(?:ad|ads|advert|banner|comments?|cookies?|footer|menu|nav|navbar|navigation|related|sidebar|social|share|promo|newsletter|header)(?:[-_](?:box|list|posts|links|area|wrap|wrapper|notice|[a-z]{1,2}))*")
+
+
 class Page(HTMLParser):
     """(text, letters inside links, boilerplate, inside the article) of each block, by the library's parser.
 
-    For pages without a mark around their article.
+    For pages without a mark around their article; what is boilerplate is told by rules of its own.
     """
 
-    def __init__(self, words):
+    def __init__(self):
         super().__init__()
-        self.words, self.found, self.open, self.text, self.linked, self.link, self.skipped = words, [], [], "", 0, False, None
+        self.found, self.open, self.text, self.linked, self.link, self.skipped = [], [], "", 0, False, None
 
     def close_block(self):
         if text := " ".join(self.text.split()):
-            self.found.append((text, self.linked, any(e[1] for e in self.open), any(e[0] in self.words.ARTICLES for e in self.open)))
+            self.found.append((text, self.linked, any(e[1] for e in self.open), any(e[0] in ("article", "main") for e in self.open)))
         self.text, self.linked = "", 0
 
     def handle_starttag(self, tag, attrs):
@@ -119,18 +124,20 @@ class Page(HTMLParser):
             self.skipped = self.skipped or tag
             return
         self.link = True if tag == "a" else self.link
-        if tag in self.words.BLOCKS:
+        if tag in BLOCK_TAGS:
             self.close_block()
-        if tag in self.words.HOLDERS:
-            own, inside = {k: v or "" for k, v in attrs}, any(e[0] in self.words.ARTICLES for e in self.open)
-            self.open.append((tag, self.words._is_boilerplate(tag, own, inside) or self.words._is_marked(tag, own, inside)))
+        if tag in NESTED_TAGS:
+            own, inside = {k: v or "" for k, v in attrs}, any(e[0] in ("article", "main") for e in self.open)
+            element = tag in ("aside", "button", "dialog", "footer", "form", "menu", "nav", "select") or tag == "header" and not inside or "hidden" in own or "display:none" in own.get("style", "").replace(" ", "")
+            named = any(PAGE_PARTS.fullmatch(re.sub(r"\d+x?\d*", "x", w)) for k in ("class", "id", "role") for w in own.get(k, "").lower().split())
+            self.open.append((tag, element or named))
 
     def handle_endtag(self, tag):
         if self.skipped:
             self.skipped = None if tag == self.skipped else self.skipped
             return
         self.link = False if tag == "a" else self.link
-        if tag in self.words.BLOCKS:
+        if tag in BLOCK_TAGS:
             self.close_block()
         if tag in [e[0] for e in self.open]:
             while self.open.pop()[0] != tag:
@@ -142,20 +149,21 @@ class Page(HTMLParser):
             self.linked += len(data.strip()) if self.link else 0
 
 
-def main_text(page, words) -> str:
-    """Main text by window sums taken one by one; words: the operator's module, for its fixed words and numbers."""
-    parser = Page(words)
+def main_text(page) -> str:
+    """Main text by sums over three lines taken one by one; 80 letters surge, an article counts four times, the rest an eightieth."""
+    parser = Page()
     parser.feed(page or "")
     parser.close()
     parser.close_block()
     marked = any(article and not boiler for _, _, boiler, article in parser.found)
+    seen = [r for r in parser.found if not (marked and r[2] and r[3])]
     rows = []
-    for text, linked, boiler, article in parser.found:
-        if marked and boiler and article:
-            continue
+    for i, (text, linked, boiler, article) in enumerate(seen):
+        if marked and i and article != seen[i - 1][3]:
+            rows += [("", 0)] * 3
         plain = 0 if 2 * linked > len(text) else len(text)
-        rows.append((text, 0 if boiler else plain if not marked else words.INSIDE * len(text) if article else len(text) // words.OUTSIDE))
-    sums = [sum(w for _, w in rows[i : i + words.WINDOW]) for i in range(len(rows))]
+        rows.append((text, 0 if boiler else plain if not marked else 4 * len(text) if article else len(text) // 80))
+    sums = [sum(w for _, w in rows[i : i + 3]) for i in range(len(rows))]
     runs, now = [], []
     for i in [*range(len(rows)), None]:
         if i is not None and sums[i]:
@@ -163,5 +171,5 @@ def main_text(page, words) -> str:
         elif now:
             runs.append(now)
             now = []
-    kept = [r for r in runs if max(sums[i] for i in r) >= words.SURGE] or sorted(runs, key=lambda r: -sum(rows[i][1] for i in r))[:1]
+    kept = [r for r in runs if max(sums[i] for i in r) >= 80] or sorted(runs, key=lambda r: -sum(rows[i][1] for i in r))[:1]
     return "\n".join(rows[i][0] for r in kept for i in r if rows[i][1])
