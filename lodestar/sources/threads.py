@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import importlib
 import json
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from lodestar.functions import text as T
 
@@ -26,6 +27,14 @@ class Heavy(Exception):
     """The page was too much for the service; a smaller one may pass."""
 
 
+class RateLimited(Exception):
+    """The service asks for a pause."""
+
+
+#: Attempts at a page that is rate limited; each waits longer.
+ATTEMPTS = 4
+
+
 def fetch(call: Callable, kind: str, cutoff: str | None) -> Iterator[dict]:
     """All nodes of a kind, newest first; pages halve while they are too heavy, late nodes are dropped."""
     cursor, size = None, PAGE
@@ -45,6 +54,14 @@ def fetch(call: Callable, kind: str, cutoff: str | None) -> Iterator[dict]:
             return
 
 
+def _row(kind: int, seq: int, n: dict) -> tuple:
+    """A row of SCHEMA from a node."""
+    who = lambda x: ((x or {}).get("author") or {}).get("login")
+    answer = n.get("answer") or {}
+    comments = [(who(c), c.get("body")) for c in (n.get("comments") or {}).get("nodes", [])]
+    return KINDS[kind], kind, seq, n.get("number"), n.get("tagName"), n.get("title") or n.get("name"), n.get("body") or n.get("description"), n["createdAt"], n.get("mergedAt"), n.get("closedAt"), who(n), answer.get("body"), who(answer), comments
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.transport, self.cutoff = options["transport"], options.get("cutoff")
@@ -57,14 +74,66 @@ class _Reader(DataSourceReader):
         call = getattr(importlib.import_module(module), name)
         kind = KINDS[partition.value]
         for seq, n in enumerate(fetch(call, kind, self.cutoff)):
-            who = lambda x: ((x or {}).get("author") or {}).get("login")
-            answer = n.get("answer") or {}
-            comments = [(who(c), c.get("body")) for c in (n.get("comments") or {}).get("nodes", [])]
-            yield kind, partition.value, seq, n.get("number"), n.get("tagName"), n.get("title") or n.get("name"), n.get("body") or n.get("description"), n["createdAt"], n.get("mergedAt"), n.get("closedAt"), who(n), answer.get("body"), who(answer), comments
+            yield _row(partition.value, seq, n)
+
+
+class _Stream(SimpleDataSourceStreamReader):
+    """One page a batch: an offset is a kind, a cursor, the rows of the kind so far and what is left of the budget.
+
+    The kinds follow one another, so the budget is theirs in order; a batch that runs again asks for the
+    page of its own offset, with the size that its first run settled on.
+    """
+
+    def __init__(self, options: dict):
+        module, _, name = options["transport"].partition(":")
+        self.call, self.cutoff = getattr(importlib.import_module(module), name), options.get("cutoff")
+        self.budget, self.wait = int(options.get("most", 10**9)), float(options.get("waitseconds", 30))
+
+    def initialOffset(self) -> dict:
+        return {"kind": 0, "cursor": None, "seq": 0, "left": self.budget, "size": PAGE}
+
+    def _page(self, at: dict) -> tuple[list[tuple], dict]:
+        kind, size, attempt = KINDS[at["kind"]], at["size"], 0
+        while True:
+            try:
+                page = self.call(kind, at["cursor"], size)
+                break
+            except Heavy:
+                if size <= LEAST_PAGE:
+                    raise
+                size //= 2
+            except RateLimited:
+                attempt += 1
+                if attempt == ATTEMPTS:
+                    raise
+                time.sleep(self.wait * attempt)
+        nodes = [n for n in page["nodes"] if self.cutoff is None or n["createdAt"] <= self.cutoff][: at["left"]]
+        rows = [_row(at["kind"], at["seq"] + i, n) for i, n in enumerate(nodes)]
+        left, seq = at["left"] - len(rows), at["seq"] + len(rows)
+        if page["next"] is None:
+            return rows, {"kind": at["kind"] + 1, "cursor": None, "seq": 0, "left": left, "size": PAGE}
+        return rows, {"kind": at["kind"], "cursor": page["next"], "seq": seq, "left": left, "size": size}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, at = [], start
+        while not rows and at["kind"] < len(KINDS) and at["left"] > 0:  # a page may have nothing that is early enough
+            rows, at = self._page(at)
+        return iter(rows), at
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        rows, at = [], start
+        while at != end and at["kind"] < len(KINDS) and at["left"] > 0:
+            found, at = self._page(at)
+            rows += found
+        return iter(rows)
 
 
 class ThreadSource(DataSource):
-    """spark.read.format("lodestar_threads").option("transport", "module:function").load()"""
+    """spark.read.format("lodestar_threads").option("transport", "module:function").load()
+
+    Or readStream, a page a batch, with most (threads in all) and waitSeconds after the first rate
+    limit: a query that failed goes on at the page where it stopped.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -76,6 +145,9 @@ class ThreadSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _Stream(dict(self.options))
+
 
 def within_budget(threads: DataFrame, most: int) -> DataFrame:
     """The first `most` threads, kinds in their order: what comes last is starved if the budget binds."""

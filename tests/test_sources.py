@@ -1,6 +1,8 @@
 """Sources, parsers, ingest and the tool loop, without a network."""
 
 import json
+import tempfile
+from pathlib import Path
 
 import pytest
 
@@ -8,6 +10,7 @@ from lodestar import agent
 from lodestar.plans.ingest import Index
 from lodestar.sources import code, files, threads
 
+NOTE = Path(tempfile.gettempdir(), "lodestar-tests-calls")
 PYTHON = '''import os
 
 LIMIT = 3
@@ -77,6 +80,46 @@ def test_thread_source(spark):
     assert text["ref"] == "PR#0" and "by ghost" in text["text"] and "--- ann:\nhi #3" in text["text"] and "<!--" not in text["text"]
 
 
+def shaky(kind, cursor, size):
+    """The transport, whose calls are counted in a folder: the calls named there fail once, the third asks for a pause."""
+    folder = Path(NOTE.read_text())
+    n = len(list(folder.glob("call-*")))
+    (folder / f"call-{n}").touch()
+    if n == 2:
+        raise threads.RateLimited
+    if (folder / f"fail-{n}").exists():
+        raise RuntimeError("the line is dead")
+    if size > 12:
+        raise threads.Heavy
+    return transport(kind, cursor, size)
+
+
+@pytest.mark.parametrize("fail", [3, 5, 7])
+def test_a_stream_of_pages_goes_on_where_it_failed(spark, tmp_path, fail):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    (calls / f"fail-{fail}").touch()
+    NOTE.write_text(str(calls))  # workers do not see this process's environment
+    spark.dataSource.register(threads.ThreadSource)
+
+    def run():
+        rows = spark.readStream.format("lodestar_threads").option("transport", "tests.test_sources:shaky").option("most", 8).option("waitSeconds", 0.01).load()
+        query = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    with pytest.raises(Exception, match="the line is dead"):
+        run()
+    run()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    every = spark.read.format("lodestar_threads").option("transport", "tests.test_sources:transport").load()
+    want = threads.within_budget(every, 8)
+    key = lambda df: sorted((r["kind"], r["seq"], r["number"], r["title"]) for r in df.collect())
+    assert key(got) == key(want) and len(key(got)) == 8
+
+
 def test_commit_log(spark, tmp_path):
     many = "\n".join(f"f{i}.py" for i in range(30))
     (tmp_path / "log").write_text("\x1f".join(["0123456789abcdef", "ann", "2024-01-01", "Fix (#5)", "body", many]) + "\x1e" + "\x1f".join(["ff00", "bob", "2024-01-02", "S", "", "a.py"]) + "\x1e")
