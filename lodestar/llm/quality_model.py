@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     able = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (crc != 2)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     some = able.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     known = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")  # at most `rows` ids
-    got = _features(known).join(F.broadcast(some), "doc_id").orderBy("doc_id", F.col("x")).toArrow()
+    each = _features(known).groupBy("doc_id").agg(F.min("x").alias("x"))  # of several rows of an id the one with the smallest statistics
+    got = each.join(F.broadcast(some), "doc_id").orderBy("doc_id").toArrow()
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(-1, WIDTH)
     return fit(x, got["y"].to_numpy().astype(float))
 

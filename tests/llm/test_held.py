@@ -4,6 +4,7 @@ from public_tokenizers import path as tokenizer_path
 
 from lodestar.llm.arrow import _release
 from lodestar.llm.encoding import load_tokenizer, word_encoder
+from lodestar.llm.quality_model import quality_scores
 
 TEXTS = ["It isn't the same word twice, word twice.", "", "naïve café 12 ½", "Жёлтый дом", "a\x01b"]
 
@@ -21,3 +22,10 @@ def test_memo_of_words_is_forgotten_between_tasks():
     _release(None)
     assert word_encoder(path) is not encoder
     _release(None)
+
+
+def test_a_label_counts_once_however_often_its_document_stands(spark, data):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    once = {r["doc_id"]: r["score"] for r in quality_scores(docs, labels).select("doc_id", "score").collect()}
+    again = quality_scores(docs.union(docs.where("doc_id % 3 = 0")).union(docs.where("doc_id = 1")), labels).select("doc_id", "score").collect()
+    assert len(again) > len(once) and all(once[r["doc_id"]] == r["score"] for r in again)
