@@ -99,29 +99,33 @@ def without_references(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"(?=&)|(?<=;)"), one), "")
 
 
-def without_dots(path: Column) -> Column:
-    """path without its . and .. segments."""
-    last = F.regexp_extract(path, r"(?:^|/)\.\.?$", 0) != ""  # such an end stands for a folder
+def resolved(links: DataFrame) -> DataFrame:
+    """(source, target) of links (source, target): the address that each target means on its page; those that mean none are left out.
+
+    Every step has a name: an expression that stands in another several times is planned as often.
+    """
+    target, base = F.col("target"), F.col("source")
+    rows = links.where("source is not null and target <> ''").select(
+        "source", "target", F.regexp_extract(base, "^[^/?#]*://[^/?#]*", 0).alias("site"), F.regexp_extract(base, "^[^/?#]*://[^/?#]*((?:/[^/?#]*)*/)", 1).alias("folder"),
+        F.regexp_extract(target, "^[^?#]*", 0).alias("path"), F.regexp_extract(target, "[?#].*$", 0).alias("rest"),
+    )
+    rows = rows.withColumn("path", F.when(target.startswith("/"), F.col("path")).otherwise(F.concat(F.when(F.col("folder") == "", F.lit("/")).otherwise(F.col("folder")), "path")))
+    # Without . and .. segments; such an end stands for a folder.
     kept = F.aggregate(
-        F.filter(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda x: x != "."),
+        F.filter(F.split(F.regexp_replace("path", "^/", ""), "/"), lambda x: x != "."),
         F.array().cast("array<string>"),
         lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
     )
-    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
-
-
-def resolved(base: Column, target: Column) -> Column:
-    """The address that target means on the page base; null without one."""
-    site, folder = F.regexp_extract(base, "^[^/?#]*://[^/?#]*", 0), F.regexp_extract(base, "^[^/?#]*://[^/?#]*((?:/[^/?#]*)*/)", 1)
-    path, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "[?#].*$", 0)
+    rows = rows.withColumns({"kept": kept, "folder_end": F.regexp_extract("path", r"(?:^|/)\.\.?$", 0) != ""})
+    plain = F.concat(F.lit("/"), F.array_join("kept", "/"), F.when(F.col("folder_end") & (F.size("kept") > 0), F.lit("/")).otherwise(F.lit("")))
     relative = (
         F.when(target.startswith("//"), F.concat(F.regexp_extract(base, "^[^:/?#]*:", 0), target))
-        .when(target.startswith("/"), F.concat(site, without_dots(path), rest))
         .when(target.startswith("?"), F.concat(F.regexp_extract(base, "^[^?#]*", 0), target))
         .when(target.startswith("#"), F.concat(F.regexp_extract(base, "^[^#]*", 0), target))
-        .otherwise(F.concat(site, without_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)), rest))
+        .otherwise(F.concat("site", plain, "rest"))
     )
-    return F.when(target.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.when(F.instr(target, "://") > 0, target)).when((target != "") & (site != ""), relative)
+    meant = F.when(target.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.when(F.instr(target, "://") > 0, target)).when(F.col("site") != "", relative)
+    return rows.select("source", meant.alias("target")).where("target is not null")
 
 
 #: What holds no tags that count; unclosed, it reaches to the end.
@@ -135,8 +139,9 @@ def tags(pages: DataFrame, names: str) -> DataFrame:
     pieces = F.split(F.regexp_replace("html", _HIDDEN, " "), "<")
     found = pages.select(F.col("url").alias("source"), F.explode(F.filter(F.slice(pieces, 2, F.size(pieces)), lambda x: x.rlike(rf"(?i)^(?:{names})[\s/>]"))).alias("piece"))
     part = lambda i: F.regexp_extract_all("piece", F.lit(_TOKEN), F.lit(i))
-    upto = F.greatest(F.array_position(part(1), F.lit(">")) - 1, F.lit(0)).cast("int")  # a tag that does not close is none
-    own = found.select("source", F.slice(part(2), 1, upto).alias("names"), F.slice(part(3), 1, upto).alias("values")).where(F.size("names") > 0)
+    read = found.select("source", part(1).alias("ends"), part(2).alias("names"), part(3).alias("values"))
+    upto = F.greatest(F.array_position("ends", F.lit(">")) - 1, F.lit(0)).cast("int")  # a tag that does not close is none
+    own = read.select("source", F.slice("names", 1, upto).alias("names"), F.slice("values", 1, upto).alias("values")).where(F.size("names") > 0)
     plain = lambda v: without_references(F.regexp_replace(v, r"""^["']|["']$""", ""))
     lower = F.transform("names", lambda n: F.translate(n, _UPPER, _LOWER))
     return own.select("source", F.try_element_at(lower, F.lit(1)).alias("tag"), F.slice(lower, 2, F.size(lower)).alias("names"), F.slice(F.transform("values", plain), 2, F.size(lower)).alias("values"))
@@ -155,7 +160,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     refresh = F.translate(trimmed(attribute("http-equiv")), _UPPER, _LOWER) == "refresh"
     told = F.regexp_extract(attribute("content"), r"""(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["']?([^"']*)""", 1)
     target = F.when((F.col("tag") == "link") & rel, trimmed(attribute("href"))).when((F.col("tag") == "meta") & refresh, trimmed(told))
-    return found.select("source", resolved(F.col("source"), target).alias("target")).where("source is not null and target is not null")
+    return resolved(found.select("source", target.alias("target")))
 
 
 def url_filter(pages: DataFrame, rules: list[Rule], links: DataFrame) -> DataFrame:
@@ -168,6 +173,7 @@ def url_filter(pages: DataFrame, rules: list[Rule], links: DataFrame) -> DataFra
     host, path = host_and_path(F.col("url"))
     placed = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"), address(F.col("url")).alias("form"))
     rows = fitted(placed, rules)
+    links = cut(links)  # read from whole pages, and used several times
     a, b = links.columns[:2]
     parts = connected_components(links.select(address(F.col(a)).alias("a"), address(F.col(b)).alias("b")))
     rows = rows.join(parts.withColumnRenamed("node", "form"), "form", "left").withColumn("component", F.coalesce("component", "form"))
