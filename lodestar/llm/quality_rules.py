@@ -10,6 +10,8 @@ of too few characters or words says little and is left out of the verdict.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.arrow import arrow_map
 from lodestar.llm.words import spans, window_hashes, word_hashes
+from lodestar.session import cut
 
 #: Common words of each language.
 COMMON = {
@@ -110,14 +113,24 @@ class Languages:
         return float(x[at]), float(y[at])
 
 
+#: Columns of histograms that were taken before.
+COUNTED = ("counted classes", "counted words")
+
+
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The histograms of each row: those taken before, or those of its text."""
+    if COUNTED[0] not in batch.schema.names:
+        return map(histograms, batch.column("text").to_pylist())
+    return zip(*(batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in COUNTED), strict=True)
+
+
 def _sums(docs: DataFrame, near: Reference | None) -> Reference:
     def make():
         languages = Languages(near) if near is not None else None
 
         def step(batch: pa.RecordBatch) -> dict:
             sums: dict[str, list] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                a, b = histograms(text)
+            for lang, (a, b) in zip(batch.column("lang").to_pylist(), _pairs(batch), strict=True):
                 if languages is not None:
                     x, y = languages.nearest((a, b))
                     if x > NEAR_CHARACTERS or y > NEAR_COMMON:
@@ -130,7 +143,8 @@ def _sums(docs: DataFrame, near: Reference | None) -> Reference:
 
         return step
 
-    parts = arrow_map(docs.select("lang", "text"), make, "lang string, classes array<double>, words array<double>")
+    given = [c for c in COUNTED if c in docs.columns] or ["text"]
+    parts = arrow_map(docs.select("lang", *given), make, "lang string, classes array<double>, words array<double>")
     rows = parts.select("lang", F.lit("c").alias("kind"), F.posexplode("classes").alias("i", "x")).union(parts.select("lang", F.lit("w"), F.posexplode("words")))
     out: Reference = {}
     for r in rows.groupBy("lang", "kind", "i").agg(F.sum("x").alias("x")).collect():
@@ -142,7 +156,7 @@ def _sums(docs: DataFrame, near: Reference | None) -> Reference:
 def references(docs: DataFrame) -> Reference:
     """Language to summed histograms over all documents; bounded by the languages of COMMON and OTHER.
 
-    docs: text, lang. Languages that COMMON does not know, and null, are summed up as OTHER.
+    docs: text (or the columns of COUNTED), lang. Languages that COMMON does not know, and null, are summed up as OTHER.
     """
     first = _sums(docs, None)
     return (_sums(docs, first) or first) if first else first
@@ -186,28 +200,45 @@ def quality_rules(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "character_distance", "word_distance"]
     docs = docs.drop(*added).withColumns({"text": F.col("text").cast("string"), "lang": F.col("lang").cast("string")})
-    known = references(docs)
     others = [c for c in docs.columns if keep_text or c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, character_distance double, word_distance double"])
+    typed = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    base = ", ".join(f"{c} bigint" for c in added[:5])
+    if not keep_text:  # without the text a row is small: its histograms are taken once and written
+        docs = cut(_counted(docs, others, f"{typed}, {base}, `{COUNTED[0]}` array<int>, `{COUNTED[1]}` array<int>", added[:5]))
+    known = references(docs)
 
     def make():
         languages = Languages(known) if known else None
 
-        def one(text: str | None) -> tuple:
-            counts = base_counts(text)
+        def one(counts: tuple, pair: tuple[np.ndarray, np.ndarray]) -> tuple:
             n, repeated = counts[0], counts[4]
             failed = n < 50 or 100 * repeated > 50 * n
             if languages is None:
                 return *counts, failed, not failed, None, None
-            pair = histograms(text)
             x, y = languages.nearest(pair)
             x, y = x if pair[0].sum() >= MIN_CHARACTERS else None, y if n >= MIN_WORDS else None
             return *counts, failed, not (failed or (x is not None and x > MAX_CHARACTERS) or (y is not None and y > MAX_COMMON)), x, y
 
         def step(batch: pa.RecordBatch) -> dict:
-            rows = [one(t) for t in batch.column("text").to_pylist()]
+            own = map(base_counts, batch.column("text").to_pylist()) if keep_text else zip(*(batch.column(c).to_pylist() for c in added[:5]), strict=True)
+            rows = [one(*r) for r in zip(own, _pairs(batch), strict=True)]
             return {c: batch.column(c) for c in others} | dict(zip(added, zip(*rows, strict=True) if rows else [()] * len(added), strict=True))
 
         return step
 
+    return arrow_map(docs, make, f"{typed}, {base}, base_failed boolean, kept boolean, character_distance double, word_distance double")
+
+
+def _counted(docs: DataFrame, others: list[str], schema: str, base: list[str]) -> DataFrame:
+    """others, the base counts and the histograms of each text."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            texts = batch.column("text").to_pylist()
+            counts, pairs = [base_counts(t) for t in texts], [histograms(t) for t in texts]
+            out = {c: batch.column(c) for c in others} | dict(zip(base, zip(*counts, strict=True) if counts else [()] * len(base), strict=True))
+            return out | dict(zip(COUNTED, zip(*pairs, strict=True) if pairs else ((), ()), strict=True))
+
+        return step
+
     return arrow_map(docs, make, schema)
