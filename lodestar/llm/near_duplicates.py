@@ -11,8 +11,16 @@ Equal word sequences are one class before any key is made. A half key that only
 no bucket of two, so half keys are counted first and table keys are made of repeated ones alone.
 Candidates are the classes that share a table key. First every bucket compares its members with one
 leader; the links found give components. Then, in buckets of several components, the members outside
-the largest one are compared with one member of it, and what is still outside after that with all
-members of other components; pairs of one component cannot change the result and are never made.
+the largest one are compared with one member of it, and what is still outside after that, where it is
+at most WIDE members, with all members of other components: at most WIDE pairs a member. Pairs of one
+component cannot change the result and are never made.
+
+Buckets that leave more outside (pages of one template just below the threshold) make no such pairs.
+Their members are joined by prefixes of their sets, which loses nothing: shingles are ordered from
+rare to frequent, and two sets that can be linked share one of the few that come first in both, so
+that pages that differ in shingles of their own never meet. How many come first follows from both
+sizes, so sets are dealt into bands of sizes STEP apart and joined band by band. A shingle that one
+set alone has counts in a prefix and is not shuffled to the join.
 
 A pair is made only if it can be linked: a class has a sketch, the parities of the numbers of its
 shingles in each of some thousand classes of their hash (about 3 bits a shingle). Two sets differ in
@@ -41,6 +49,8 @@ ROWS, SHINGLE, MISS = 3, 5, 1e-4
 SKETCH_WORDS, SKETCH_BITS = 8, 3
 #: Links of the operator where nothing else is asked for: a similarity of 0.80 or more.
 PERCENT = 80
+#: Members that a bucket may leave to be compared with all others of it, and the width of a band of sizes.
+WIDE, STEP = 50, 1.03
 
 
 def tables(percent: int) -> int:
@@ -181,6 +191,34 @@ def _held(members: DataFrame, parts: DataFrame) -> DataFrame:
     return held
 
 
+def _prefix_pairs(dense: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of dense (id, c, outside) that can be linked, of two components and not both inside.
+
+    Sets of n and m shingles are linked by ceil(percent * (n + m) / (100 + percent)) common ones at
+    least, so they share one of the first n - that + 1 of the one and m - that + 1 of the other.
+    """
+    sets = dense.join(facts.select("id", "n", "shingles"), "id")
+    tokens = sets.select("id", F.explode("shingles").alias("t"))
+    repeated = cut(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    ranked = tokens.join(repeated, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m", "t"))).alias("ts"))
+    ready = cut(sets.select("id", "c", "outside", "n").join(ranked, "id").withColumn("g", F.floor(F.log("n") / F.lit(math.log(STEP)))))
+
+    apart = math.floor(math.log(100 / percent) / math.log(STEP)) + 1
+
+    def role(partner: str, low: str) -> DataFrame:
+        """The prefix of each set for partners of a band, whose smallest size is rounded down."""
+        least = f"floor(pow({STEP}D, {partner}) * (1 - 1e-9D))"
+        first = f"n - ceil({percent} * (n + {least}) / {100 + percent}.0D - 1e-6D) + 1 - (n - size(ts))"
+        dealt = ready.select("*", F.explode(F.sequence(F.lit(0), F.lit(apart))).alias("d")).withColumn("first", F.expr(f"int({first})"))
+        return dealt.where("first > 0").select(F.expr(low).alias("low"), "d", F.explode(F.expr("slice(ts, 1, first)")).alias("t"), "id", "c", "outside", "n").withColumn("t", F.col("t.t"))
+
+    small, large = role("g + d", "g"), role("g - d", "g - d").toDF("low", "d", "t", "l", "k", "outside2", "o")
+    met = small.join(large, ["low", "d", "t"]).where(f"c <> k AND (outside OR outside2) AND (d > 0 OR id < l) AND 100 * least(n, o) >= {percent} * greatest(n, o)")
+    pairs = cut(met.select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct())
+    release(repeated, ready)
+    return pairs
+
+
 def near_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that give every component of the confirmed ones.
 
@@ -202,14 +240,18 @@ def near_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     before, parts = parts, cut(connected_components(parts.union(_confirmed(more, facts, percent))))
     release(before, held, leader)
 
-    # What is still outside and all members of other components.
+    # What is still outside: few members and all of other components, many by prefixes of their sets.
     held = _held(members, parts)
-    sketched = cut(held.join(facts.select("id", "n", "sketch"), "id").select("key", "id", "c", "inside", "n", F.col("sketch").alias("x")))
+    wide = cut(held.groupBy("key").agg(F.count_if(~F.col("inside")).alias("out")).where(f"out > {WIDE}").select("key"))
+    dense = cut(held.join(wide, "key", "left_semi").groupBy("id").agg(F.min("c").alias("c"), F.max(~F.col("inside")).alias("outside")))
+    sketched = cut(held.join(wide, "key", "left_anti").join(facts.select("id", "n", "sketch"), "id").select("key", "id", "c", "inside", "n", F.col("sketch").alias("x")))
     other = sketched.toDF("key", "l", "d", "inside2", "o", "y")
-    found = sketched.where("not inside").join(other, "key").where(f"c <> d AND (inside2 OR id < l) AND {_can(percent)}").select(*pair).distinct()
-    rest = found.join(tried.union(more), ["a", "b"], "left_anti")
+    found = sketched.where("not inside").join(other, "key").where(f"c <> d AND (inside2 OR id < l) AND {_can(percent)}").select(*pair)
+    if not dense.isEmpty():
+        found = found.union(_possible(_prefix_pairs(dense, facts, percent), facts, percent))
+    rest = found.distinct().join(tried.union(more), ["a", "b"], "left_anti")
     links = cut(parts.toDF("a", "b").union(_confirmed(rest, facts, percent)))
-    release(members, facts, tried, parts, held, more, sketched)
+    release(members, facts, tried, parts, held, more, wide, dense, sketched)
     return links
 
 
