@@ -247,11 +247,12 @@ def near_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sketched = cut(held.join(wide, "key", "left_anti").join(facts.select("id", "n", "sketch"), "id").select("key", "id", "c", "inside", "n", F.col("sketch").alias("x")))
     other = sketched.toDF("key", "l", "d", "inside2", "o", "y")
     found = sketched.where("not inside").join(other, "key").where(f"c <> d AND (inside2 OR id < l) AND {_can(percent)}").select(*pair)
-    if not dense.isEmpty():
-        found = found.union(_possible(_prefix_pairs(dense, facts, percent), facts, percent))
+    shared = [] if dense.isEmpty() else [_prefix_pairs(dense, facts, percent)]
+    for some in shared:
+        found = found.union(_possible(some, facts, percent))
     rest = found.distinct().join(tried.union(more), ["a", "b"], "left_anti")
     links = cut(parts.toDF("a", "b").union(_confirmed(rest, facts, percent)))
-    release(members, facts, tried, parts, held, more, wide, dense, sketched)
+    release(members, facts, tried, parts, held, more, wide, dense, sketched, *shared)
     return links
 
 
