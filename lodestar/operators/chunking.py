@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import together
+
 #: Sizes of passages, windows and sections.
 PASSAGE, WINDOW_LINES, OVERLAP, LONGEST, SMALL_SECTION, SECTION_LINES = 1200, 60, 10, 80, 120, 60
 
@@ -136,7 +138,7 @@ def split_long(sections: DataFrame, lines: DataFrame) -> DataFrame:
     long_ = F.col("end") - F.col("start") + 1 > SECTION_LINES
     own = sections.where(long_).select("path", F.struct("start", "end", *others).alias("section"), F.col("start").cast("bigint").alias("at"), F.lit(0).alias("kind"))
     blank = lines.where(~F.col("text").rlike(r"\S")).join(sections.where(long_).select("path").distinct(), "path", "left_semi").select("path", F.lit(None).cast(own.schema["section"].dataType).alias("section"), F.col("line").cast("bigint").alias("at"), F.lit(1).alias("kind"))
-    ordered = own.unionByName(blank).repartition("path").sortWithinPartitions("path", "at", "kind")
+    ordered = together(own.unionByName(blank), "path").sortWithinPartitions("path", "at", "kind")
     kinds = ", ".join(f"`{c}` {sections.schema[c].dataType.simpleString()}" for c in sections.columns)
     names = sections.columns
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import cut
+from lodestar.session import cut, together
 
 #: Asked ranges of one stream, and how many commits of each are told.
 ASKED, LIMIT = 20_000, 10
@@ -56,7 +56,7 @@ def line_history(asked: DataFrame, hunks: DataFrame, limit: int = LIMIT, asked_t
     name = asked.schema["ask_id"].dataType.simpleString()
     own = asked.join(counts, "path").select("path", F.pmod(F.xxhash64("ask_id"), F.col("streams")).alias("stream"), F.lit(None).cast("bigint").alias("seq"), F.col("ask_id").cast("bigint").alias("ask_id"), *(F.col(c).cast("bigint").alias(k) for c, k in (("start", "a"), ("end", "b"))), *(F.lit(0).cast("bigint").alias(k) for k in ("c", "d")))
     spread = hunks.join(counts, "path").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("streams") - 1)).alias("stream"), F.col("seq").cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("ask_id"), *(F.col(c).cast("bigint").alias(k) for c, k in (("old_start", "a"), ("old_lines", "b"), ("new_start", "c"), ("new_lines", "d"))))
-    ordered = own.unionByName(spread).repartition("path", "stream").sortWithinPartitions("path", "stream", F.col("seq").desc_nulls_first(), "c", "a", "ask_id")
+    ordered = together(own.unionByName(spread), "path", "stream").sortWithinPartitions("path", "stream", F.col("seq").desc_nulls_first(), "c", "a", "ask_id")
     types = pa.schema([(c, pa.int64()) for c in ("ask_id", "n", "seq", "start", "end")])
 
     class Stream:
