@@ -39,16 +39,22 @@ def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = LATENES
 
 
 def within_budget(events: DataFrame, most: int = MOST_CALLS) -> DataFrame:
-    """The first `most` calls of each session, by a counter in keyed state."""
+    """The first `most` calls of each session, by a counter in keyed state.
+
+    What a trigger brings of a session comes as several frames in any order, so its first calls are
+    known once all of them are read; only those are held.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
+        left, first = max(0, most - used), None
         for frame in frames:
-            frame = frame.sort_values("event_id", kind="stable")
-            left = frame.head(max(0, most - used))
             used += len(frame)
-            yield pd.DataFrame({"user_id": left["user_id"], "event_id": left["event_id"]})
+            frame = frame if first is None else pd.concat([first, frame])
+            first = frame.sort_values("event_id", kind="stable").head(left)
         state.update((min(used, 2**31 - 1),))
+        if first is not None:
+            yield pd.DataFrame({"user_id": first["user_id"], "event_id": first["event_id"]})
 
     keyed = events.select("user_id", "event_id").groupBy("user_id")
     return keyed.applyInPandasWithState(run, "user_id bigint, event_id bigint", "used int", "append", GroupStateTimeout.NoTimeout)

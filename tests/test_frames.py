@@ -3,6 +3,21 @@
 from pyspark.sql import functions as F
 
 from lodestar.operators import chunking
+from lodestar.plans import stream_queries
+from lodestar.streaming import sessions
+
+
+def test_budget_over_frames_in_any_order(spark, tmp_path, monkeypatch):
+    """A session's first calls stand in any of the frames of a trigger."""
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(400).select((400 - F.col("id")).alias("event_id"), F.lit(None).cast("timestamp").alias("ts"), (F.col("id") % 2).alias("user_id"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value"), F.lit("x").alias("props"))
+    rows.coalesce(1).write.parquet(folder := str(tmp_path / "in"))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+        kept = stream_queries.drained(sessions.within_budget(spark.readStream.schema(sessions.EVENTS).parquet(folder), 15)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert sorted(tuple(r) for r in kept) == sorted((i % 2, i) for i in range(1, 31))
 
 
 def test_long_sections_of_paths_that_were_grouped(spark):
