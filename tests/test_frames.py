@@ -1,8 +1,10 @@
 """Rows of a key that come in parts, in any order, are taken together."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from lodestar.operators import chunking
+from lodestar.operators import chunking, retrieval
 from lodestar.plans import stream_queries
 from lodestar.streaming import sessions
 
@@ -34,3 +36,12 @@ def test_long_sections_of_paths_that_were_grouped(spark):
         for k, v in held.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     assert sorted((r["path"], r["start"], r["end"]) for r in got) == sorted((f"f{p}", a, b) for p in range(40) for a, b in ((1, 56), (57, 100)))
+
+
+def test_definitions_in_one_order(spark):
+    """Definitions that begin on one line are given in one order, however the rows lie."""
+    rows = [("f", "a.B.f", "a", 1, end) for end in range(40)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        found = retrieval.find_definitions(spark.createDataFrame(rows, "name string, qualified_name string, path string, start_line int, end_line int"), "B.f").collect()
+        assert [r["end_line"] for r in found] == list(range(10))
