@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import cut
+from lodestar.session import BROADCAST_ROWS, cut
 
 #: Vectors of a block, queries of a block, queries that one pass over unpacked vectors takes at most.
 VECTORS, QUERIES, ONE_PASS = 2_048, 512, 4_096
@@ -82,16 +82,24 @@ class Best:
 
     def add(self, query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """scores: a row for each query, a column for each id. query_ids is a block, always the same for its first id."""
-        order = np.argsort(ids, kind="stable")
-        ids, scores = np.broadcast_to(ids[order], scores.shape), np.round(scores[:, order], DIGITS)
-        key = query_ids.tobytes()
-        if key in self.held:
-            old_ids, old_scores = self.held[key]
-            self.size -= old_ids.size
-            ids, scores = np.concatenate([old_ids, ids], axis=1), np.concatenate([old_scores, scores], axis=1)
-        best = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-        self.held[key] = np.take_along_axis(ids, best, 1), np.take_along_axis(scores, best, 1)
-        self.size += self.held[key][0].size
+        key, (n, width) = query_ids.tobytes(), scores.shape
+        old_ids, old_scores = self.held.get(key, (np.zeros((n, 0), dtype=np.int64), np.zeros((n, 0))))
+        self.size -= old_ids.size
+        least = np.full(n, -np.inf)
+        if old_ids.shape[1] == self.k:
+            least = old_scores[:, -1]
+        elif width > self.k:
+            least = np.partition(scores, width - self.k, axis=1)[:, width - self.k]
+        # Only what may be among the best is rounded and sorted; rounding moves a score by half a digit at most.
+        row, column = np.nonzero(~(scores < (least - 10.0**-DIGITS)[:, None]))
+        rows = np.concatenate([np.repeat(np.arange(n), old_ids.shape[1]), row])
+        names = np.concatenate([old_ids.ravel(), ids[column]])
+        values = np.concatenate([old_scores.ravel(), np.round(scores[row, column], DIGITS)])
+        order = np.lexsort((names, -values, rows))
+        place = np.arange(len(rows)) - np.repeat(np.searchsorted(rows[order], np.arange(n)), np.bincount(rows, minlength=n))
+        best = order[place < self.k]
+        self.held[key] = names[best].reshape(n, -1), values[best].reshape(n, -1)
+        self.size += len(best)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """(query_id, id, score) of all that is held, which is then forgotten."""
@@ -142,8 +150,10 @@ def in_one_pass(vectors: DataFrame, names: np.ndarray, matrix: np.ndarray, k: in
         for batch in batches:
             if batch.num_rows:
                 numbers, own = batch.column("id").to_numpy(), matrix_of(batch.column("vector")).T
-                for at in range(0, len(names), QUERIES):
-                    best.add(names[at : at + QUERIES], numbers, matrix[at : at + QUERIES] @ own)
+                for first in range(0, len(numbers), VECTORS):
+                    part = slice(first, first + VECTORS)
+                    for at in range(0, len(names), QUERIES):
+                        best.add(names[at : at + QUERIES], numbers[part], matrix[at : at + QUERIES] @ own[:, part])
         yield from best.rows()
 
     return vectors.where("vector is not null").select(F.col("id").cast("bigint").alias("id"), "vector").mapInArrow(run, RESULT)
@@ -152,12 +162,16 @@ def in_one_pass(vectors: DataFrame, names: np.ndarray, matrix: np.ndarray, k: in
 def candidates(vectors: DataFrame, queries: DataFrame, k: int, one_pass: int = ONE_PASS) -> DataFrame:
     """(query_id, id, score): the best k of each query are among these, at most k a task and query.
 
-    vectors: id, vector; queries: query_id, vector. At most one_pass queries go along with the tasks;
-    more become blocks, each multiplied with each block of vectors.
+    vectors: id, vector; queries: query_id, vector. Vectors are dealt over all cores, as a file of them
+    is small for the work it makes. At most one_pass queries go along with the tasks; more become
+    blocks, each multiplied with each block of vectors.
     """
+    vectors = vectors.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "id")
     asked = queries.where("vector is not null").select(F.col("query_id").cast("bigint").alias("query_id"), "vector")
     first = asked.limit(one_pass + 1).toArrow()
     if first.num_rows <= one_pass:
         return in_one_pass(vectors, first.column("query_id").to_numpy().astype(np.int64), matrix_of(first.column("vector").combine_chunks()), k)
     blocks = cut(query_blocks(asked))
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        blocks = F.broadcast(blocks)
     return products(packed(vectors, VECTORS).crossJoin(blocks), k, wide(asked), wide(vectors))

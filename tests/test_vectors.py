@@ -48,6 +48,30 @@ def test_exact_search(spark, monkeypatch, one_pass):
     assert retrieval.dense_top(v, asked_of(v, []), 6, one_pass).collect() == []
 
 
+def test_best_of_parts_with_ties():
+    """The best of any parts are the best of all, with ties, close scores and scores that are not numbers."""
+    random = np.random.default_rng(4)
+    for k in (1, 3, 10):
+        scores = np.round(random.standard_normal((7, 400)), 1) + random.choice([0, 4e-7, -4e-7], (7, 400))
+        scores[0, :] = 0.5
+        scores[1, 5:390] = np.nan
+        ids = random.permutation(400)
+        best = V.Best(k)
+        for at in [0, 2, 9, 150, 399]:
+            part = slice(at, {0: 2, 2: 9, 9: 150, 150: 399, 399: 400}[at])
+            best.add(np.arange(7), ids[part], scores[:, part])
+        assert best.size == 7 * k
+        got = [x for b in best.rows() for x in zip(*(b.column(c).to_pylist() for c in ("query_id", "id")), strict=True)]
+        rounded = np.round(scores, V.DIGITS)
+        assert got == [(q, int(ids[i])) for q in range(7) for i in sorted(range(400), key=lambda i: (np.isnan(rounded[q, i]), -np.nan_to_num(rounded[q, i]), ids[i]))[:k]]
+
+
+def test_vectors_of_one_file_are_dealt_over_all_cores(spark):
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(50)], "id bigint, vector array<float>").coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0])], "query_id bigint, vector array<float>")
+    assert V.candidates(v, asked, 1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+
+
 def test_packs_keep_keys_apart(spark):
     rows = spark.createDataFrame([(i, [float(i)], i // 5) for i in range(23)], "id bigint, vector array<double>, g int").coalesce(1)
     got = [(r["g"], r["n"], np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["matrix"], "<f8").tolist()) for r in V.packed(rows, 3, ("g",)).collect()]
