@@ -165,6 +165,10 @@ class Store:
         """A version that may not be published yet."""
         return self.spark.read.parquet(f"{self.folder}/{version}")
 
+    def discard(self, version: str) -> None:
+        """Deletes a version that was not published and is not going to be."""
+        self._fs.delete(self._path(f"{self.folder}/{version}"), True)
+
     def publish(self, changes: dict[str, str | None], part: str = "", base: Snapshot | None = None) -> Snapshot:
         """Swaps in versions by table name, for one part, all at once; None drops the part of a table.
 
