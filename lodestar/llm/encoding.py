@@ -21,7 +21,8 @@ import json
 import os
 import re
 import unicodedata
-from itertools import chain
+from itertools import chain, compress, repeat
+from operator import is_, not_
 
 import numpy as np
 import tiktoken
@@ -34,8 +35,8 @@ SPACES = "\t-\r \x85\xa0  -     　"
 BYTE_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: What is not plain has code points whose class may differ between libraries.
 _ODD = re.compile("[^\\x00-\\x1b\\x20-ɏ‐-‧‰-⁞€™]").search
-#: The word vocabulary's pieces of what is plain, for the re library.
-_PLAIN_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^" + SPACES + "0-9²³¹¼-¾a-zA-ZªµºÀ-ÖØ-öø-ɏ]+"
+#: The word vocabulary's pieces of what is plain, for the re library; two letters are lower cases of Ⱥ and Ⱦ.
+_PLAIN_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZªµºÀ-ÖØ-öø-ɏⱥⱦ]+|[0-9²³¹¼-¾]|[^" + SPACES + "0-9²³¹¼-¾a-zA-ZªµºÀ-ÖØ-öø-ɏⱥⱦ]+"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -225,14 +226,16 @@ class ByteEncoder:
 class WordEncoder:
     """Ids of whole texts under a lower-casing word vocabulary whose pieces hold no white space.
 
-    Words between white space are looked up in a memo of the two latest generations of `limit`
-    words. New words of a batch are encoded together: their pieces, each with MARK for the end of a
-    word, go to tiktoken as one string, and the ids are parted again at the tokens that end in MARK.
+    Words between white space are looked up in a memo. Common words come early, so a memo of more
+    than `limit` words takes no more of them; only when it lacks more than half of a batch's words
+    does a new one begin, which takes over what it needs of the old one. New words of a batch are
+    encoded together: their pieces, each with MARK for the end of a word, go to tiktoken as one
+    string, and the ids are parted again at the tokens that end in MARK.
     """
 
     MARK = "\x01"
 
-    def __init__(self, path: str, limit: int = 100_000):
+    def __init__(self, path: str, limit: int = 150_000):
         self.tokenizer = load_tokenizer(path)
         self.specials = _specials(self.tokenizer)
         vocabulary, merges, suffix = _vocabulary(path)
@@ -244,7 +247,8 @@ class WordEncoder:
         self.fast = tiktoken.Encoding("word", pat_str=f"[^{self.MARK}]+{self.MARK}", mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={}).encode_ordinary
         self.named = np.array([named.get(t, -1) for t in order], dtype=np.int64)
         self.ends = np.array([t.endswith(mark) for t in order])
-        self.find = re.compile(_PLAIN_PIECES).findall
+        self.line = order.index(b"\n" + mark)
+        self.find = re.compile(_PLAIN_PIECES + "|\n").findall
         self.limit = limit
         self.now: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit numbers
         self.old: dict[str, bytes] = {}
@@ -253,28 +257,30 @@ class WordEncoder:
         """Empties the memo; called between tasks."""
         self.now, self.old = {}, {}
 
-    def _learn(self, words: set[str]) -> None:
-        """Makes sure that the memo has words."""
-        if len(self.now) > self.limit:
-            self.now, self.old = {}, self.now
-        new = []
-        for word in words.difference(self.now):
-            ids = self.old.get(word)
-            if ids is None:
-                new.append(word)
-            else:
-                self.now[word] = ids
-        if not new:
+    def _learn(self, words: set[str], memo: dict[str, bytes]) -> None:
+        """Puts words into memo."""
+        new = list(words)
+        if self.old:
+            new = []
+            for word in words:
+                if (ids := self.old.get(word)) is None:
+                    new.append(word)
+                else:
+                    memo[word] = ids
+        # A word of letters alone is one piece. The pieces of the others come from one pass over them
+        # all, in which a line end, which no word holds, is a piece of its own after each word.
+        alone = list(map(str.isalpha, new))
+        whole, parted = list(compress(new, alone)), list(compress(new, map(not_, alone)))
+        pieces = whole + self.find("\n".join([*parted, ""]))
+        if not pieces:
             return
-        pieces = [[word] if word.isalpha() else self.find(word) for word in new]
-        ranks = np.array(self.fast(self.MARK.join(chain.from_iterable(pieces)) + self.MARK))
+        ranks = np.array(self.fast(self.MARK.join([*pieces, ""])))
         ids = self.named[ranks].astype("<u4").tobytes()
-        stops = (4 * np.flatnonzero(self.ends[ranks]) + 4).tolist()
-        at = piece = 0
-        for word, own in zip(new, pieces, strict=True):
-            piece += len(own)
-            stop = stops[piece - 1] if own else at
-            self.now[word], at = ids[at:stop], stop
+        lines = np.flatnonzero(ranks == self.line)
+        stops = np.concatenate((np.flatnonzero(self.ends[ranks])[: len(whole)] + 1, lines))
+        starts = np.concatenate(([0], stops[:-1]))
+        starts[len(whole) + 1 :] += 1  # behind the line end
+        memo.update(zip(chain(whole, parted), [ids[a:b] for a, b in zip((4 * starts).tolist(), (4 * stops).tolist(), strict=True)], strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -284,13 +290,25 @@ class WordEncoder:
                 words.append(None)
             else:
                 words.append((text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split())
-        self._learn(set().union(*[w for w in words if w]))
-        known, out = self.now.__getitem__, []
-        for text, own in zip(texts, words, strict=True):
-            if own is None:
+        own = list(chain.from_iterable(filter(None, words)))
+        ids = list(map(self.now.get, own))
+        if lacking := list(compress(range(len(ids)), map(is_, ids, repeat(None)))):
+            memo = self.now
+            if len(memo) > self.limit:
+                self.old, memo = {}, {}
+                if 2 * len(lacking) > len(own):
+                    self.now, self.old = memo, self.now
+            asked = list(map(own.__getitem__, lacking))
+            self._learn(set(asked), memo)
+            for i, x in zip(lacking, map(memo.__getitem__, asked), strict=True):
+                ids[i] = x
+        out, at = [], 0
+        for text, some in zip(texts, words, strict=True):
+            if some is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
             else:
-                out.append(np.frombuffer(b"".join(map(known, own)), dtype="<u4"))
+                out.append(np.frombuffer(b"".join(ids[at : at + len(some)]), dtype="<u4"))
+                at += len(some)
         return out
 
     def encode(self, text: str) -> list[int]:

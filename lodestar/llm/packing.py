@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -56,19 +56,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 # ---- one island -------------------------------------------------------------------------------
 def best_fit(bins: list[list[int]], loads: list[int], items, sizes: list[int], capacity: int) -> None:
     """Puts items, in their order, each into the bin with the least room that holds it."""
-    rooms = sorted((capacity - load, b) for b, load in enumerate(loads))
+    many = len(loads) + len(items)  # room and bin in one number: room * many + bin
+    rooms = sorted((capacity - load) * many + b for b, load in enumerate(loads) if load < capacity)
     for item in items:
         size = sizes[item]
-        at = bisect_left(rooms, (size, -1))
+        at = bisect_left(rooms, size * many)
         if at == len(rooms):
             room, b = capacity, len(bins)
             bins.append([])
             loads.append(0)
         else:
-            room, b = rooms.pop(at)
+            room, b = divmod(rooms.pop(at), many)
         bins[b].append(item)
         loads[b] += size
-        insort(rooms, (room - size, b))
+        if room > size:
+            insort(rooms, (room - size) * many + b)
 
 
 def fitness(packing: tuple[list[list[int]], list[int]], capacity: int) -> tuple[int, float]:
@@ -78,23 +80,27 @@ def fitness(packing: tuple[list[list[int]], list[int]], capacity: int) -> tuple[
 
 def exchanged(bins: list[list[int]], loads: list[int], loose: list[int], sizes: list[int], capacity: int) -> list[int]:
     """Fills bins by giving up a piece for a larger displaced one that still fits; returns what is displaced then."""
-    order = sorted((sizes[i], i) for i in loose)
+    many = len(sizes)  # size and piece in one number: size * many + piece
+    order = sorted(sizes[i] * many + i for i in loose)
     for b, items in enumerate(bins):
+        room = capacity - loads[b]
         for at, item in enumerate(items):
-            if not (room := capacity - loads[b]):
+            if not room:
                 break
-            k = bisect_right(order, (sizes[item] + room, len(sizes))) - 1
-            if k >= 0 and order[k][0] > sizes[item]:
-                size, other = order.pop(k)
-                insort(order, (sizes[item], item))
-                loads[b] += size - sizes[item]
+            own = sizes[item]
+            k = bisect_left(order, (own + room + 1) * many) - 1
+            if k >= 0 and order[k] >= (own + 1) * many:
+                size, other = divmod(order.pop(k), many)
+                insort(order, own * many + item)
+                room -= size - own
                 items[at] = other
-    return [i for _, i in order]
+        loads[b] = capacity - room
+    return [x % many for x in order]
 
 
 def crossover(one, other, sizes: list[int], capacity: int, dice: random.Random):
     """A child of one with some of the well-filled bins of other."""
-    order = sorted(range(len(other[1])), key=lambda b: (-other[1][b], dice.random()))
+    order = sorted(range(len(other[1])), key=[(-load, dice.random()) for load in other[1]].__getitem__)
     pool = order[: max(1, len(order) // 2)]
     taken = dice.sample(pool, max(1, int(len(pool) * dice.uniform(0.1, 0.6))))
     inside = {item for b in taken for item in other[0][b]}
@@ -115,7 +121,9 @@ def crossover(one, other, sizes: list[int], capacity: int, dice: random.Random):
     for b in taken:
         bins.append(list(other[0][b]))
         loads.append(other[1][b])
-    best_fit(bins, loads, sorted(loose, key=lambda i: (-sizes[i], i)), sizes, capacity)
+    loose.sort()
+    loose.sort(key=sizes.__getitem__, reverse=True)
+    best_fit(bins, loads, loose, sizes, capacity)
     return bins, loads
 
 
@@ -128,7 +136,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites=(), generations: i
         spread = 0.0 if not people else 0.02 * 2 ** (len(people) % 5)
         bins: list[list[int]] = []
         loads: list[int] = []
-        best_fit(bins, loads, sorted(range(n), key=lambda i: (-sizes[i] * (1 + dice.gauss(0, spread)), i)), sizes, capacity)
+        best_fit(bins, loads, sorted(range(n), key=[-size * (1 + dice.gauss(0, spread)) for size in sizes].__getitem__), sizes, capacity)
         people.append((bins, loads))
         if len(loads) == bound:
             break
